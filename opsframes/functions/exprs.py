@@ -112,3 +112,21 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
+
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def event_time(ts: str | Column = "timestamp") -> Column:
+    """A ``timestamp_ntz`` wall-clock value as an event-time instant (wall clock read as UTC).
+
+    Watermarks need ``timestamp``; going through epoch microseconds keeps
+    window boundaries on wall-clock days/hours whatever the session zone.
+    """
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), col(ts))
+    return F.timestamp_micros(micros)
+
+
+def wall_clock(instant: str | Column) -> Column:
+    """Inverse of :func:`event_time`: back to ``timestamp_ntz``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(instant)), F.expr(_EPOCH_NTZ))

@@ -20,23 +20,26 @@ from ..functions.params import latest, since, where_all
 _MEASURES = ("response_time", "error_rate", "throughput")
 
 
-def metrics_rollup(requests: DataFrame) -> DataFrame:
-    """Hourly per-endpoint metrics from request rows.
+def api_measures() -> list:
+    """Aggregates of one endpoint-period: mean latency, error percentage, requests/minute.
 
-    ``requests``: (timestamp, endpoint, severity, latency_ms). Response time
-    is the mean latency, error rate the percentage of ERROR/CRITICAL rows,
-    throughput requests per minute. Sums stay exact (decimal/integer) and
-    are divided once, so the result does not depend on summation order.
+    Sums stay exact (decimal/integer) and are divided once, so the result
+    does not depend on summation order.
     """
     n = F.count(F.lit(1))
     errors = F.count_if(F.col("severity").isin(S.ERROR_SEVERITIES))
+    return [
+        (F.sum("latency_ms").cast("double") / n).alias("response_time"),
+        (F.lit(100.0) * errors.cast("double") / n).alias("error_rate"),
+        (n.cast("double") / F.lit(60)).alias("throughput"),
+    ]
+
+
+def metrics_rollup(requests: DataFrame) -> DataFrame:
+    """Hourly per-endpoint metrics from request rows (timestamp, endpoint, severity, latency_ms)."""
     return (requests
             .groupBy(hour_start("timestamp").alias("timestamp"), "endpoint")
-            .agg(
-                (F.sum("latency_ms").cast("double") / n).alias("response_time"),
-                (F.lit(100.0) * errors.cast("double") / n).alias("error_rate"),
-                (n.cast("double") / F.lit(60)).alias("throughput"),
-            ))
+            .agg(*api_measures()))
 
 
 def infra_rollup(samples: DataFrame) -> DataFrame:

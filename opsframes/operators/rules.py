@@ -110,7 +110,7 @@ RULE_SEVERITY = {
 }
 
 
-def _as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind: str, entity: Column,
+def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind: str, entity: Column,
                ident: Column | None = None) -> DataFrame:
     """Map rule findings to the generated-alert schema.
 
@@ -142,20 +142,20 @@ def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activitie
     day = F.col("date").cast("timestamp_ntz")
     act = F.col("activity_id")
     parts = [
-        _as_alerts(alert_high_error_rate(api, error_rate), "High Error Rate", "error_rate", ts, "endpoint", ep),
-        _as_alerts(alert_service_unavailable(logs, critical_logs), "Service Unavailable", "unavailable", ts,
+        as_alerts(alert_high_error_rate(api, error_rate), "High Error Rate", "error_rate", ts, "endpoint", ep),
+        as_alerts(alert_service_unavailable(logs, critical_logs), "Service Unavailable", "unavailable", ts,
                    "endpoint", ep),
-        _as_alerts(alert_slow_response(api, response_ms), "Slow Response Time", "slow_response", ts, "endpoint", ep),
-        _as_alerts(alert_high_cpu(infra, cpu), "High CPU Usage", "high_cpu", ts, "server", srv),
-        _as_alerts(alert_memory_leak(infra, leak_samples), "Memory Leak", "memory_leak", ts, "server", srv),
-        _as_alerts(suspicious_failed_logins(logs, failed_logins), "Suspicious Activity", "failed_logins", day,
+        as_alerts(alert_slow_response(api, response_ms), "Slow Response Time", "slow_response", ts, "endpoint", ep),
+        as_alerts(alert_high_cpu(infra, cpu), "High CPU Usage", "high_cpu", ts, "server", srv),
+        as_alerts(alert_memory_leak(infra, leak_samples), "Memory Leak", "memory_leak", ts, "server", srv),
+        as_alerts(suspicious_failed_logins(logs, failed_logins), "Suspicious Activity", "failed_logins", day,
                    "user", usr),
-        _as_alerts(suspicious_access_time(activities, *hours), "Suspicious Activity", "access_time", ts,
+        as_alerts(suspicious_access_time(activities, *hours), "Suspicious Activity", "access_time", ts,
                    "user", usr, act),
-        _as_alerts(suspicious_new_location(activities), "Suspicious Activity", "new_location", ts, "user", usr, act),
-        _as_alerts(suspicious_export_volume(activities, exports), "Suspicious Activity", "export_volume", day,
+        as_alerts(suspicious_new_location(activities), "Suspicious Activity", "new_location", ts, "user", usr, act),
+        as_alerts(suspicious_export_volume(activities, exports), "Suspicious Activity", "export_volume", day,
                    "user", usr),
-        _as_alerts(suspicious_deletions(activities, deletions), "Suspicious Activity", "deletions", ts, "user", usr),
+        as_alerts(suspicious_deletions(activities, deletions), "Suspicious Activity", "deletions", ts, "user", usr),
     ]
     out = parts[0]
     for p in parts[1:]:

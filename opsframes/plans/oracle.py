@@ -255,7 +255,25 @@ SELECT a.alert_id, a."timestamp", a.type, a.severity, a.priority, a.description,
 FROM alerts a LEFT JOIN (
   SELECT alert_id, arg_max(new_status, (acted, new_status)) AS new_status, max(acted) AS acted
   FROM alert_actions GROUP BY alert_id) l ON a.alert_id = l.alert_id"""
+    sev_all = _in(S.SEVERITY_LEVELS)
+    wm = P.STREAM["watermark"]
+    stream_volume = f"""
+SELECT date, severity, count FROM (
+  SELECT CAST("timestamp" AS DATE) AS date, severity, count(*) AS count
+  FROM logs WHERE severity IN {sev_all} GROUP BY 1, 2) v
+WHERE CAST(date AS TIMESTAMP) + INTERVAL '{P.STREAM['window']}'
+      <= (SELECT max("timestamp") FROM logs WHERE severity IN {sev_all}) - INTERVAL '{wm}'"""
+    closed = f"\"timestamp\" + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '{wm}'"
+    stream_alerts = " UNION ALL ".join([
+        _generated("High Error Rate", "error_rate", f"{error_rate} AND {closed}", '"timestamp"', "endpoint",
+                   "endpoint"),
+        _generated("Slow Response Time", "slow_response", f"{slow} AND {closed}", '"timestamp"', "endpoint",
+                   "endpoint"),
+    ])
     return {
+        "export_table": 'SELECT *, CAST("timestamp" AS DATE) AS date FROM logs',
+        "stream_log_volume": stream_volume,
+        "stream_alerts": stream_alerts,
         "metrics_rollup": "SELECT * FROM api_metrics",
         "alert_high_error_rate": error_rate,
         "alert_service_unavailable": unavailable,

@@ -34,3 +34,4 @@ RULES = {
     "exports": 2,
     "deletions": 2,
 }
+STREAM = {"window": "1 day", "watermark": "1 hour"}

@@ -18,7 +18,10 @@ from ..operators import logs as L
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import views as V
+from ..sources.files import scratch_path, write_table
 from ..sources.tables import Tables, load
+from ..streaming import alerts as stream_alerts
+from ..streaming import log_volume as stream_log_volume
 from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,23 @@ def _flags(df: DataFrame, rules) -> DataFrame:
     return flagged.withColumn("flags", F.array_join("flags", ","))
 
 
+def _export_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``logs`` as Parquet partitioned by date, then scan the written table."""
+    path = scratch_path(spark, "export_logs")
+    write_table(load(spark, sf_dir).logs, path)
+    return spark.read.parquet(path)
+
+
+def _stream_log_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stream_log_volume.run_log_volume(spark, sf_dir, P.STREAM["window"], P.STREAM["watermark"])
+    return out.select("date", "severity", "count")
+
+
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_alerts.run_alerts(spark, sf_dir, P.RULES["error_rate"], P.RULES["response_ms"],
+                                    P.STREAM["watermark"])
+
+
 def _rules(t: Tables) -> dict:
     p = P.RULES
     return dict(error_rate=p["error_rate"], critical_logs=p["critical_logs"], response_ms=p["response_ms"],
@@ -111,6 +131,10 @@ QUERIES: dict[str, Query] = {
     "generate_alerts": _t(lambda t: R.generate_alerts(t.logs, t.api_metrics, t.infra_metrics, t.user_activities,
                                                       **_rules(t))),
     "apply_alert_actions": _t(lambda t: AL.apply_alert_actions(t.alerts, t.alert_actions)),
+    # sinks and streams (run when called; the result is read back from the written output)
+    "export_table": _export_logs,
+    "stream_log_volume": _stream_log_volume,
+    "stream_alerts": _stream_alerts,
 }
 
 

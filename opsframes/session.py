@@ -31,6 +31,7 @@ def build_session(app: str = "opsframes", master: str | None = None, shuffle_par
     builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
     conf = dict(SQL_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "8g")
     conf.update(extra or {})

@@ -66,10 +66,14 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def api_metrics_from_events(events: DataFrame) -> DataFrame:
+def requests_from_events(events: DataFrame) -> DataFrame:
+    """API request rows (timestamp, endpoint, severity, latency_ms); the event value is the latency."""
     ev = event_base(events)
-    requests = ev.select(F.col("ts").alias("timestamp"), "endpoint", "severity", F.col("value").alias("latency_ms"))
-    return metrics.metrics_rollup(requests)
+    return ev.select(F.col("ts").alias("timestamp"), "endpoint", "severity", F.col("value").alias("latency_ms"))
+
+
+def api_metrics_from_events(events: DataFrame) -> DataFrame:
+    return metrics.metrics_rollup(requests_from_events(events))
 
 
 def infra_metrics_from_events(events: DataFrame) -> DataFrame:
