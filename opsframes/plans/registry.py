@@ -1,7 +1,8 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Each entry loads the tables from ``sf_dir`` (lazily, nothing is computed
-here) and applies one query with the parameters of :mod:`.params`.
+Each entry takes the telemetry tables derived from ``sf_dir`` (derived and
+stored once per application by :func:`opsframes.sources.catalog.catalog`)
+and applies one query with the parameters of :mod:`.params`.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import views as V
 from ..sources.files import scratch_path, write_table
-from ..sources.tables import Tables, load
+from ..sources.catalog import catalog
+from ..sources.tables import Tables
 from ..streaming import alerts as stream_alerts
 from ..streaming import log_volume as stream_log_volume
 from . import params as P
@@ -29,7 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _t(fn: Callable[[Tables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(load(spark, sf_dir))
+        return fn(catalog(spark, sf_dir))
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
@@ -43,7 +45,7 @@ def _flags(df: DataFrame, rules) -> DataFrame:
 def _export_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write ``logs`` as Parquet partitioned by date, then scan the written table."""
     path = scratch_path(spark, "export_logs")
-    write_table(load(spark, sf_dir).logs, path)
+    write_table(catalog(spark, sf_dir).logs, path)
     return spark.read.parquet(path)
 
 
