@@ -2,8 +2,10 @@
 
 Event time is the log's wall-clock timestamp; the watermark bounds state
 to the open windows, and rows older than the watermark are dropped (the
-batch query keeps them). In append mode a window is emitted once it
-closes, so the newest day appears only after later data or the final
+batch query keeps them). As in Spark 4, a micro-batch drops rows against
+the watermark of the batch before it, so a row is late once its window
+closed at least one batch earlier. In append mode a window is emitted once
+it closes, so the newest day appears only after later data or the final
 no-data batch moves the watermark past it.
 """
 
