@@ -51,10 +51,12 @@ def table_page(df: DataFrame, filters: Mapping | None = None, sort: Sort = (), p
     """Page ``page`` (0-based) of ``size`` rows after filtering and sorting.
 
     ``key`` (a unique column) is appended to the sort so pages are disjoint
-    and cover the table.
+    and cover the table; with neither sort nor key the row order is unspecified.
     """
     filtered = where_all(df, *[column_filter(n, s) for n, s in (filters or {}).items()])
-    return filtered.orderBy(*_order(sort, key)).offset(page * size).limit(size)
+    order = _order(sort, key)
+    ordered = filtered.orderBy(*order) if order else filtered
+    return ordered.offset(page * size).limit(size)
 
 
 def _after(sort: Sort, last: Sequence) -> Column:
