@@ -91,6 +91,15 @@ def endpoint_response_series(api: DataFrame, endpoint: str = S.ENDPOINTS[0], ran
             .orderBy("timestamp"))
 
 
+def _gauges(snapshot: DataFrame, servers: Sequence[str]) -> DataFrame:
+    order = F.array_position(F.array(*[F.lit(s) for s in servers]), F.col("server"))
+    return (snapshot
+            .select("timestamp", "server", "cpu_usage",
+                    cpu_band("cpu_usage").alias("band"),
+                    (F.col("cpu_usage") > S.CPU_BREACH).alias("breach"))
+            .orderBy(order, "server"))
+
+
 def cpu_gauges(infra: DataFrame, servers: Sequence[str] = S.SERVERS) -> DataFrame:
     """CPU of each server at the globally latest timestamp, with band and breach.
 
@@ -100,12 +109,17 @@ def cpu_gauges(infra: DataFrame, servers: Sequence[str] = S.SERVERS) -> DataFram
     snapshot = (infra.where(F.col("timestamp") == latest(infra))
                 .groupBy("timestamp", "server")
                 .agg(F.max("cpu_usage").alias("cpu_usage")))
-    order = F.array_position(F.array(*[F.lit(s) for s in servers]), F.col("server"))
-    return (snapshot
-            .select("timestamp", "server", "cpu_usage",
-                    cpu_band("cpu_usage").alias("band"),
-                    (F.col("cpu_usage") > S.CPU_BREACH).alias("breach"))
-            .orderBy(order, "server"))
+    return _gauges(snapshot, servers)
+
+
+def cpu_gauges_per_server(infra: DataFrame, servers: Sequence[str] = S.SERVERS) -> DataFrame:
+    """Each server's own latest CPU sample (servers silent at the global latest
+    instant keep their last reading). ``max(struct(timestamp, cpu))`` combines
+    map-side, so a server with most of the samples is no hot spot."""
+    last = F.max(F.struct("timestamp", "cpu_usage")).alias("last")
+    snapshot = infra.groupBy("server").agg(last).select(
+        F.col("last.timestamp").alias("timestamp"), "server", F.col("last.cpu_usage").alias("cpu_usage"))
+    return _gauges(snapshot, servers)
 
 
 def _server_rows(infra: DataFrame, server: str, range_code: str | None, as_of) -> DataFrame:

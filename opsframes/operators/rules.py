@@ -9,11 +9,13 @@ findings into rows of the alert schema.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import event_date, fill_template, hour_start, priority_of
+from ..functions.exprs import event_date, fill_template, hour_start
 from ..functions.windows import rising_run
 
 LOGIN_ENDPOINT = "/api/auth/login"
@@ -118,7 +120,7 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
     """
     values = {"endpoint": F.lit(""), "server": F.lit(""), "user": F.lit("")}
     values[kind] = entity
-    severity = F.lit(RULE_SEVERITY[alert_type])
+    severity = RULE_SEVERITY[alert_type]
     key_parts = [F.lit(rule), entity, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")]
     if ident is not None:
         key_parts.append(ident.cast("string"))
@@ -126,8 +128,8 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
         F.concat_ws("|", *key_parts).alias("alert_key"),
         ts.cast("timestamp_ntz").alias("timestamp"),
         F.lit(alert_type).alias("type"),
-        severity.alias("severity"),
-        priority_of(severity).alias("priority"),
+        F.lit(severity).alias("severity"),
+        F.lit(S.PRIORITY_OF_SEVERITY[severity]).alias("priority"),
         fill_template(S.ALERT_DESCRIPTIONS[alert_type], **values).alias("description"),
         F.lit("active").alias("status"),
     )
@@ -137,7 +139,11 @@ def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activitie
                     error_rate: float = 50.0, critical_logs: int = 1, response_ms: float = 1000.0,
                     cpu: float = S.CPU_BREACH, leak_samples: int = 3, failed_logins: int = 2,
                     hours: tuple[int, int] = (6, 22), exports: int = 2, deletions: int = 2) -> DataFrame:
-    """Every rule's findings as alerts (``unionByName`` of narrow projections)."""
+    """Every rule's findings as alerts: a union of narrow projections.
+
+    Every part comes out of :func:`as_alerts` with the same columns in the
+    same order, so a positional ``union`` is exact.
+    """
     ts, ep, srv, usr = F.col("timestamp"), F.col("endpoint"), F.col("server"), F.col("user_id")
     day = F.col("date").cast("timestamp_ntz")
     act = F.col("activity_id")
@@ -157,7 +163,4 @@ def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activitie
                    "user", usr),
         as_alerts(suspicious_deletions(activities, deletions), "Suspicious Activity", "deletions", ts, "user", usr),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.union, parts)

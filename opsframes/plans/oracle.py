@@ -188,6 +188,8 @@ def _flags(rules) -> str:
     return "concat_ws(',', " + ", ".join(parts) + ")"
 
 
+_CPU_BAND = ("CASE " + " ".join(f"WHEN cpu_usage < {hi} THEN {_q(lab)}" for hi, lab in S.CPU_BANDS)
+             + f" ELSE {_q(S.CPU_BAND_TOP)} END")
 _LOG_COLS = 'log_id, "timestamp", severity, endpoint, user_id, message, log_class'
 _ACT_COLS = 'activity_id, "timestamp", user_id, action, ip_address, is_suspicious, reason'
 _ALERT_COLS = 'alert_id, "timestamp", type, severity, priority, description, status'
@@ -349,10 +351,14 @@ SELECT "timestamp", response_time FROM api_metrics WHERE endpoint = {_q(p.ENDPOI
         # infrastructure
         "cpu_gauges": f"""
 SELECT "timestamp", server, cpu_usage,
-       CASE WHEN cpu_usage < 60 THEN 'normal' WHEN cpu_usage < 80 THEN 'elevated' ELSE 'high' END AS band,
-       cpu_usage > 90 AS breach
+       {_CPU_BAND} AS band, cpu_usage > {S.CPU_BREACH} AS breach
 FROM (SELECT "timestamp", server, max(cpu_usage) AS cpu_usage FROM infra_metrics
       WHERE "timestamp" = (SELECT max("timestamp") FROM infra_metrics) GROUP BY 1, 2) s""",
+        "cpu_gauges_per_server": f"""
+SELECT "timestamp", server, cpu_usage, {_CPU_BAND} AS band, cpu_usage > {S.CPU_BREACH} AS breach
+FROM (SELECT "timestamp", server, cpu_usage,
+             row_number() OVER (PARTITION BY server ORDER BY "timestamp" DESC, cpu_usage DESC) AS rn
+      FROM infra_metrics) s WHERE rn = 1""",
         "server_trend": f"""
 SELECT "timestamp", cpu_usage, memory_usage, disk_usage FROM infra_metrics
 WHERE server = {_q(p.SERVER)} AND {_since('infra_metrics', p.SERVER_RANGE)} ORDER BY "timestamp\"""",

@@ -93,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "endpoint_response_series": _t(lambda t: M.endpoint_response_series(t.api_metrics, P.ENDPOINT)),
     # infrastructure
     "cpu_gauges": _t(lambda t: M.cpu_gauges(t.infra_metrics)),
+    "cpu_gauges_per_server": _t(lambda t: M.cpu_gauges_per_server(t.infra_metrics)),
     "server_trend": _t(lambda t: M.server_trend(t.infra_metrics, P.SERVER, P.SERVER_RANGE)),
     "server_network": _t(lambda t: M.server_network(t.infra_metrics, P.SERVER)),
     # user activity

@@ -104,6 +104,16 @@ def test_snapshot_skips_servers_missing_at_latest_timestamp(spark):
     assert got == [("server-1", 30.0)]
 
 
+def test_per_server_snapshot_keeps_silent_servers(spark):
+    infra = make_infra(spark, [
+        ("2024-01-05 10:00:00", "server-2", 20.0, 1.0, 1.0, 1.0, 1.0),
+        ("2024-01-05 09:00:00", "server-2", 95.0, 1.0, 1.0, 1.0, 1.0),
+        ("2024-01-05 11:00:00", "server-1", 30.0, 1.0, 1.0, 1.0, 1.0),
+    ])
+    got = rows(M.cpu_gauges_per_server(infra), "server", "cpu_usage", "band")
+    assert got == [("server-1", 30.0, "normal"), ("server-2", 20.0, "normal")]
+
+
 def test_cpu_bands_half_open_and_breach_strict(spark):
     infra = make_infra(spark, [
         ("2024-01-05 10:00:00", s, cpu, 1.0, 1.0, 1.0, 1.0)
