@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .files import scratch_path
+from .files import scratch_path, write_table
 from .tables import Tables, load
 
 TIME_COLUMN = {
@@ -49,8 +49,7 @@ def store_table(df: DataFrame, path: str, time_col: str = "timestamp", rollup: b
     dated = df.withColumn("date", F.to_date(F.col(time_col)))
     if rollup:
         dated = dated.repartition("date")
-    (dated.sortWithinPartitions("date", time_col)
-          .write.mode("overwrite").partitionBy("date").parquet(path))
+    write_table(dated, path, partition_by="date", date_from=time_col)
 
 
 def store(tables: Tables, path: str, parallel: int = len(S.TABLE_SCHEMAS)) -> None:

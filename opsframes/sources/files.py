@@ -79,11 +79,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
                 date_from: str = "timestamp", mode: str = "overwrite") -> None:
     """Write a query result, partitioned by calendar date when it has a timestamp.
 
-    Each task writes its own files (no coalesce to one writer); the output
-    commit protocol makes retried tasks safe.
+    Each task writes its own files (no coalesce to one writer) after a
+    per-task sort on (date, time), so every file covers a contiguous time
+    range and timestamp filters skip files by their min/max statistics. The
+    output commit protocol makes retried tasks safe.
     """
     if partition_by and partition_by not in df.columns and date_from in df.columns:
         df = df.withColumn(partition_by, F.to_date(F.col(date_from)))
+    if partition_by and partition_by in df.columns:
+        order = [partition_by] + ([date_from] if date_from in df.columns else [])
+        df = df.sortWithinPartitions(*order)
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")
