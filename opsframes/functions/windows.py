@@ -18,30 +18,32 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1 << 16
 
 
-def positions(df: DataFrame, key: str, order: str, tiebreak: Sequence[str] = (), name: str = "_pos") -> DataFrame:
+def positions(df: DataFrame, key: str, order: str, tiebreak: Sequence[str] = (), name: str = "_pos",
+              bucket: str = "day") -> DataFrame:
     """0-based position of each row within its key, in (order, *tiebreak) order.
 
-    Positions are computed per (key, day): the day sizes (a tiny table of
-    keys x days) give each day's starting offset through a running sum, and
-    a row_number inside the day adds the rest.
+    Positions are computed per (key, time bucket): the bucket sizes (a small
+    table of keys x buckets) give each bucket's starting offset through a
+    running sum, and a row_number inside the bucket adds the rest. Only the
+    row_number sees whole buckets, so ``bucket`` ('day', 'hour', 'minute')
+    bounds the largest task: use a finer unit for dense raw series.
     """
-    day = F.to_date(F.col(order)).alias("_day")
-    dated = df.withColumn("_day", day)
-    starts = (dated.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    dated = df.withColumn("_bucket", F.date_trunc(bucket, F.col(order)))
+    starts = (dated.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_start", F.coalesce(
-                  F.sum("_n").over(Window.partitionBy(key).orderBy("_day")
+                  F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")
                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .drop("_n"))
-    within = Window.partitionBy(key, "_day").orderBy(order, *tiebreak)
-    return (dated.join(starts, [key, "_day"])
+    within = Window.partitionBy(key, "_bucket").orderBy(order, *tiebreak)
+    return (dated.join(starts, [key, "_bucket"])
             .withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
-            .drop("_day", "_start"))
+            .drop("_bucket", "_start"))
 
 
 def with_lags(df: DataFrame, key: str, order: str, value: str, lags: int, tiebreak: Sequence[str] = (),
-              block: int = BLOCK_ROWS) -> DataFrame:
+              block: int = BLOCK_ROWS, bucket: str = "day") -> DataFrame:
     """Append ``{value}_lag1 .. {value}_lag{lags}``: the value 1..lags rows earlier in the key's series."""
-    pos = positions(df, key, order, tiebreak)
+    pos = positions(df, key, order, tiebreak, bucket=bucket)
     blk = F.floor(F.col("_pos") / block)
     in_halo = (F.col("_pos") % block) >= (block - lags) if lags > 0 else F.lit(False)
     copies = pos.select("*", F.posexplode(F.when(in_halo, F.array(blk, blk + 1)).otherwise(F.array(blk)))
@@ -61,9 +63,9 @@ def strictly_rising(value: str, length: int) -> Column:
 
 
 def rising_run(df: DataFrame, key: str, order: str, value: str, length: int,
-               block: int = BLOCK_ROWS) -> DataFrame:
+               block: int = BLOCK_ROWS, bucket: str = "day") -> DataFrame:
     """``df`` plus boolean ``rising``: the row ends ``length`` strictly rising samples of its key."""
     lags = max(length - 1, 0)
-    lagged = with_lags(df, key, order, value, lags, tiebreak=(value,), block=block)
+    lagged = with_lags(df, key, order, value, lags, tiebreak=(value,), block=block, bucket=bucket)
     return lagged.withColumn("rising", strictly_rising(value, length)) \
         .drop(*[f"{value}_lag{i}" for i in range(1, lags + 1)])

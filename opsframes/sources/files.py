@@ -58,11 +58,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a folder under the
-    system temp directory set as the checkpoint dir.
+    Only a local-mode session without one (tests) gets a folder under the
+    system temp directory; on a cluster a machine-local folder would not be
+    shared, so a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         import tempfile
 
         d = tempfile.mkdtemp(prefix="opsframes-ckpt-")

@@ -52,10 +52,12 @@ def test_positions_are_dense_per_key(spark):
 def test_rising_run_matches_brute_force_with_tiny_blocks(spark):
     series, rows = _data()
     infra = make_infra(spark, rows).select("timestamp", "server", "memory_usage")
-    for length, block in [(3, 4), (3, 1 << 16), (2, 3), (4, 5), (1, 2)]:
+    for length, block, bucket in [(3, 4, "day"), (3, 1 << 16, "day"), (2, 3, "hour"), (4, 5, "day"),
+                                  (1, 2, "day"), (3, 7, "minute")]:
         got = {(r["server"], r["timestamp"]): r["rising"]
-               for r in rising_run(infra, "server", "timestamp", "memory_usage", length, block=block).collect()}
-        assert got == _brute_rising(series, length), (length, block)
+               for r in rising_run(infra, "server", "timestamp", "memory_usage", length, block=block,
+                                   bucket=bucket).collect()}
+        assert got == _brute_rising(series, length), (length, block, bucket)
 
 
 def test_memory_leak_rule_rows(spark):
