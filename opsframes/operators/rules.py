@@ -112,9 +112,9 @@ RULE_SEVERITY = {
 }
 
 
-def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind: str, entity: Column,
-               ident: Column | None = None) -> DataFrame:
-    """Map rule findings to the generated-alert schema.
+def alert_fields(alert_type: str, rule: str, ts: Column, kind: str, entity: Column,
+                 ident: Column | None = None) -> list[Column]:
+    """The generated-alert columns of one finding.
 
     ``alert_key`` = rule | entity | time [| row id], unique per finding.
     """
@@ -124,7 +124,7 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
     key_parts = [F.lit(rule), entity, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")]
     if ident is not None:
         key_parts.append(ident.cast("string"))
-    return findings.select(
+    return [
         F.concat_ws("|", *key_parts).alias("alert_key"),
         ts.cast("timestamp_ntz").alias("timestamp"),
         F.lit(alert_type).alias("type"),
@@ -132,7 +132,13 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
         F.lit(S.PRIORITY_OF_SEVERITY[severity]).alias("priority"),
         fill_template(S.ALERT_DESCRIPTIONS[alert_type], **values).alias("description"),
         F.lit("active").alias("status"),
-    )
+    ]
+
+
+def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind: str, entity: Column,
+              ident: Column | None = None) -> DataFrame:
+    """Map rule findings to the generated-alert schema."""
+    return findings.select(*alert_fields(alert_type, rule, ts, kind, entity, ident))
 
 
 def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activities: DataFrame,
