@@ -24,6 +24,7 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,16 +67,28 @@ def store(tables: Tables, path: str, parallel: int = len(S.TABLE_SCHEMAS)) -> No
 
 
 class StoredTables:
-    """Stored telemetry tables, read with their declared schemas."""
+    """Stored telemetry tables, read with their declared schemas.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``cached`` tables are also kept in executor memory (spilling to disk).
+    By default only the hourly rollups are: their size is bounded by hours x
+    keys, not by event volume, and every metric query reads them. A lost
+    cached block is re-read from the stored files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cached: tuple[str, ...] = ROLLUPS):
         self.spark = spark
         self.path = path
+        self.cached = tuple(cached)
 
     def _read(self, name: str) -> DataFrame:
         schema = S.TABLE_SCHEMAS[name]
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return df.select(*schema.fieldNames())
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.fieldNames())
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if name in self.cached else df
+
+    def warm(self) -> None:
+        """Materialize the cached tables now rather than on first use."""
+        for name in self.cached:
+            getattr(self, name).count()
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -124,5 +137,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> StoredTables:
         if found is None:
             path = scratch_path(spark, "catalog")
             store(load(spark, sf_dir), path)
-            found = _CATALOGS[key] = StoredTables(spark, path)
+            found = StoredTables(spark, path)
+            found.warm()
+            _CATALOGS[key] = found
         return found
