@@ -99,11 +99,23 @@ def with_share(counts: DataFrame, count_col: str = "count", name: str = "share")
     return counts.withColumn(name, F.col(count_col).cast("double") / total.cast("double"))
 
 
+def group_count(df: DataFrame, *keys: str | tuple[str, Column], name: str = "count") -> DataFrame:
+    """Rows per group, leaving out rows with a null key (pandas ``groupby`` semantics).
+
+    A key is a column name or a ``(name, expression)`` pair.
+    """
+    exprs = [(k, F.col(k)) if isinstance(k, str) else k for k in keys]
+    not_null = None
+    for _, e in exprs:
+        not_null = e.isNotNull() if not_null is None else not_null & e.isNotNull()
+    return (df.where(not_null)
+            .groupBy(*[e.alias(n) for n, e in exprs])
+            .agg(F.count(F.lit(1)).alias(name)))
+
+
 def value_counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     """Rows per non-null ``key`` value, largest first (ties by key)."""
-    return (df.where(F.col(key).isNotNull())
-            .groupBy(key).agg(F.count(F.lit(1)).alias(name))
-            .orderBy(F.desc(name), F.asc(key)))
+    return group_count(df, key, name=name).orderBy(F.desc(name), F.asc(key))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

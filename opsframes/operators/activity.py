@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import distinct_count, event_date, value_counts, with_share
+from ..functions.exprs import distinct_count, event_date, group_count, value_counts, with_share
 from ..functions.params import one_of, where_all
 
 
@@ -18,9 +18,7 @@ def action_counts(activities: DataFrame) -> DataFrame:
 
 def activity_by_date(activities: DataFrame) -> DataFrame:
     """Rows per calendar date."""
-    return (activities.groupBy(event_date("timestamp").alias("date"))
-            .agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("date"))
+    return group_count(activities, ("date", event_date("timestamp"))).orderBy("date")
 
 
 def suspicious_only(activities: DataFrame) -> DataFrame:
@@ -29,9 +27,7 @@ def suspicious_only(activities: DataFrame) -> DataFrame:
 
 def suspicious_by_reason(activities: DataFrame) -> DataFrame:
     """Suspicious rows per reason; rows without a reason are not grouped."""
-    return (suspicious_only(activities).where(F.col("reason").isNotNull())
-            .groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("reason"))
+    return group_count(suspicious_only(activities), "reason").orderBy("reason")
 
 
 def top_users(activities: DataFrame, k: int = 10) -> DataFrame:
@@ -40,10 +36,7 @@ def top_users(activities: DataFrame, k: int = 10) -> DataFrame:
     Partial aggregation per user, then a per-task top-k and one merge of
     ``tasks x k`` rows (TakeOrderedAndProject): no global sort.
     """
-    return (activities.where(F.col("user_id").isNotNull())
-            .groupBy("user_id").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc("user_id"))
-            .limit(k))
+    return group_count(activities, "user_id").orderBy(F.desc("count"), F.asc("user_id")).limit(k)
 
 
 def activity_summary(activities: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import distinct_count, event_date, value_counts, with_share
+from ..functions.exprs import distinct_count, event_date, group_count, value_counts, with_share
 from ..functions.params import date_between, equal_unless_all, one_of, where_all
 
 
@@ -24,9 +24,7 @@ def newest_first():
 def log_volume(logs: DataFrame, severities: Iterable[str] | None = None) -> DataFrame:
     """Rows per (date, severity); an empty selection means every level."""
     chosen = list(severities) if severities else S.SEVERITY_LEVELS
-    return (logs.where(F.col("severity").isin(chosen))
-            .groupBy(event_date("timestamp").alias("date"), "severity")
-            .agg(F.count(F.lit(1)).alias("count")))
+    return group_count(logs.where(F.col("severity").isin(chosen)), ("date", event_date("timestamp")), "severity")
 
 
 def logs_by_endpoint(logs: DataFrame) -> DataFrame:
@@ -90,16 +88,12 @@ def error_logs_only(logs: DataFrame) -> DataFrame:
 
 def error_trend(logs: DataFrame) -> DataFrame:
     """ERROR/CRITICAL rows per (date, severity)."""
-    return (error_logs_only(logs)
-            .groupBy(event_date("timestamp").alias("date"), "severity")
-            .agg(F.count(F.lit(1)).alias("count")))
+    return group_count(error_logs_only(logs), ("date", event_date("timestamp")), "severity")
 
 
 def errors_by_endpoint(logs: DataFrame) -> DataFrame:
     """ERROR/CRITICAL rows per (endpoint, severity), largest first."""
-    return (error_logs_only(logs)
-            .groupBy("endpoint", "severity")
-            .agg(F.count(F.lit(1)).alias("count"))
+    return (group_count(error_logs_only(logs), "endpoint", "severity")
             .orderBy(F.desc("count"), "endpoint", "severity"))
 
 

@@ -57,7 +57,7 @@ def infra_rollup(samples: DataFrame) -> DataFrame:
 
 
 def _means(df: DataFrame, key: str = "endpoint") -> DataFrame:
-    return df.groupBy(key).agg(*[F.avg(m).alias(m) for m in _MEASURES])
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.avg(m).alias(m) for m in _MEASURES])
 
 
 def api_avg_last_day(api: DataFrame) -> DataFrame:

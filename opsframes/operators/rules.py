@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import event_date, fill_template, hour_start
+from ..functions.exprs import event_date, fill_template, group_count, hour_start
 from ..functions.windows import rising_run
 
 LOGIN_ENDPOINT = "/api/auth/login"
@@ -28,9 +28,8 @@ def alert_high_error_rate(api: DataFrame, threshold: float = 50.0) -> DataFrame:
 
 def alert_service_unavailable(logs: DataFrame, min_count: int = 1) -> DataFrame:
     """Endpoint-hours with at least ``min_count`` CRITICAL logs."""
-    return (logs.where(F.col("severity") == "CRITICAL")
-            .groupBy(hour_start("timestamp").alias("timestamp"), "endpoint")
-            .agg(F.count(F.lit(1)).alias("critical_count"))
+    critical = logs.where(F.col("severity") == "CRITICAL")
+    return (group_count(critical, ("timestamp", hour_start("timestamp")), "endpoint", name="critical_count")
             .where(F.col("critical_count") >= min_count))
 
 
@@ -53,9 +52,8 @@ def alert_memory_leak(infra: DataFrame, samples: int = 3) -> DataFrame:
 
 def suspicious_failed_logins(logs: DataFrame, min_count: int = 2) -> DataFrame:
     """(user, date) with at least ``min_count`` failed requests to the login endpoint."""
-    return (logs.where((F.col("endpoint") == LOGIN_ENDPOINT) & F.col("severity").isin(S.ERROR_SEVERITIES))
-            .groupBy("user_id", event_date("timestamp").alias("date"))
-            .agg(F.count(F.lit(1)).alias("failures"))
+    failed = logs.where((F.col("endpoint") == LOGIN_ENDPOINT) & F.col("severity").isin(S.ERROR_SEVERITIES))
+    return (group_count(failed, "user_id", ("date", event_date("timestamp")), name="failures")
             .where(F.col("failures") >= min_count))
 
 
@@ -72,10 +70,11 @@ def suspicious_new_location(activities: DataFrame) -> DataFrame:
     they combine map-side; the join then meets one row per user with one row
     per (user, ip) — no window over a whole user's history.
     """
-    first_seen = (activities
+    known = activities.where(F.col("user_id").isNotNull() & F.col("ip_address").isNotNull())
+    first_seen = (known
                   .groupBy("user_id", "ip_address")
                   .agg(F.min(F.struct("timestamp", "activity_id", "action")).alias("f")))
-    user_first = (activities.groupBy("user_id")
+    user_first = (known.groupBy("user_id")
                   .agg(F.min(F.struct("timestamp", "activity_id")).alias("u")))
     return (first_seen.join(user_first, "user_id")
             .where(F.col("f.activity_id") != F.col("u.activity_id"))
@@ -84,9 +83,7 @@ def suspicious_new_location(activities: DataFrame) -> DataFrame:
 
 
 def _action_bursts(activities: DataFrame, action: str, period: Column, min_count: int) -> DataFrame:
-    return (activities.where(F.col("action") == action)
-            .groupBy("user_id", period.alias("timestamp"))
-            .agg(F.count(F.lit(1)).alias("count"))
+    return (group_count(activities.where(F.col("action") == action), "user_id", ("timestamp", period))
             .where(F.col("count") >= min_count))
 
 

@@ -217,10 +217,12 @@ SELECT "timestamp", server, memory_usage FROM (
 WHERE {' AND '.join(['memory_usage > lag1'] + [f"lag{i} > lag{i + 1}" for i in range(1, p['leak_samples'] - 1)])}"""
     unavailable = f"""
 SELECT {_hour('"timestamp"')} AS "timestamp", endpoint, count(*) AS critical_count
-FROM logs WHERE severity = 'CRITICAL' GROUP BY 1, 2 HAVING count(*) >= {p['critical_logs']}"""
+FROM logs WHERE severity = 'CRITICAL' AND "timestamp" IS NOT NULL AND endpoint IS NOT NULL
+GROUP BY 1, 2 HAVING count(*) >= {p['critical_logs']}"""
     failed = f"""
 SELECT user_id, CAST("timestamp" AS DATE) AS date, count(*) AS failures
-FROM logs WHERE endpoint = '/api/auth/login' AND severity IN {_ERR}
+FROM logs WHERE endpoint = '/api/auth/login' AND severity IN {_ERR} AND user_id IS NOT NULL
+  AND "timestamp" IS NOT NULL
 GROUP BY 1, 2 HAVING count(*) >= {p['failed_logins']}"""
     h1, h2 = p["hours"]
     access = f'SELECT {_ACT_COLS} FROM user_activities WHERE hour("timestamp") < {h1} OR hour("timestamp") >= {h2}'
@@ -228,14 +230,16 @@ GROUP BY 1, 2 HAVING count(*) >= {p['failed_logins']}"""
 SELECT activity_id, "timestamp", user_id, action, ip_address FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, ip_address ORDER BY "timestamp", activity_id) AS rn_pair,
             row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", activity_id) AS rn_user
-  FROM user_activities) x
+  FROM user_activities WHERE user_id IS NOT NULL AND ip_address IS NOT NULL) x
 WHERE rn_pair = 1 AND rn_user > 1"""
     exports = f"""
 SELECT user_id, CAST("timestamp" AS DATE) AS date, count(*) AS count
-FROM user_activities WHERE action = 'export_data' GROUP BY 1, 2 HAVING count(*) >= {p['exports']}"""
+FROM user_activities WHERE action = 'export_data' AND user_id IS NOT NULL AND "timestamp" IS NOT NULL
+GROUP BY 1, 2 HAVING count(*) >= {p['exports']}"""
     deletions = f"""
 SELECT user_id, {_hour('"timestamp"')} AS "timestamp", count(*) AS count
-FROM user_activities WHERE action = 'delete_resource' GROUP BY 1, 2 HAVING count(*) >= {p['deletions']}"""
+FROM user_activities WHERE action = 'delete_resource' AND user_id IS NOT NULL AND "timestamp" IS NOT NULL
+GROUP BY 1, 2 HAVING count(*) >= {p['deletions']}"""
     error_rate = f"SELECT * FROM api_metrics WHERE error_rate > {p['error_rate']}"
     slow = f"SELECT * FROM api_metrics WHERE response_time > {p['response_ms']}"
     cpu = f"SELECT * FROM infra_metrics WHERE cpu_usage > {p['cpu']}"
@@ -311,7 +315,7 @@ def statements() -> dict[str, str]:
         # logs
         "log_volume": f"""
 SELECT CAST("timestamp" AS DATE) AS date, severity, count(*) AS count
-FROM logs WHERE severity IN {sev_all} GROUP BY 1, 2""",
+FROM logs WHERE severity IN {sev_all} AND "timestamp" IS NOT NULL GROUP BY 1, 2""",
         "logs_by_endpoint": "SELECT endpoint, count(*) AS count FROM logs WHERE endpoint IS NOT NULL GROUP BY 1",
         "recent_logs": f'SELECT {_LOG_COLS} FROM logs ORDER BY "timestamp" DESC, log_id DESC LIMIT {p.RECENT_N}',
         "search_logs": f"""
@@ -325,9 +329,10 @@ WHERE log_class IN {_in(p.CLASSIFIED['classes'])} AND severity IN {_in(p.CLASSIF
   AND CAST("timestamp" AS DATE) BETWEEN DATE '{lo}' AND DATE '{hi}'""",
         "error_trend": f"""
 SELECT CAST("timestamp" AS DATE) AS date, severity, count(*) AS count
-FROM logs WHERE severity IN {_ERR} GROUP BY 1, 2""",
+FROM logs WHERE severity IN {_ERR} AND "timestamp" IS NOT NULL GROUP BY 1, 2""",
         "errors_by_endpoint": f"""
-SELECT endpoint, severity, count(*) AS count FROM logs WHERE severity IN {_ERR} GROUP BY 1, 2""",
+SELECT endpoint, severity, count(*) AS count FROM logs WHERE severity IN {_ERR} AND endpoint IS NOT NULL
+GROUP BY 1, 2""",
         "error_summary": f"""
 SELECT count(*) FILTER (WHERE severity = 'ERROR') AS errors,
        count(*) FILTER (WHERE severity = 'CRITICAL') AS critical,
@@ -369,7 +374,8 @@ SELECT "timestamp", 'network_out' AS metric, network_out AS value FROM infra_met
         # user activity
         "action_counts": _share("action", "user_activities"),
         "activity_by_date": """
-SELECT CAST("timestamp" AS DATE) AS date, count(*) AS count FROM user_activities GROUP BY 1""",
+SELECT CAST("timestamp" AS DATE) AS date, count(*) AS count FROM user_activities WHERE "timestamp" IS NOT NULL
+GROUP BY 1""",
         "suspicious_by_reason": """
 SELECT reason, count(*) AS count FROM user_activities WHERE is_suspicious AND reason IS NOT NULL GROUP BY 1""",
         "top_users": f"""

@@ -191,3 +191,21 @@ def test_priority_order_and_summary(spark):
     assert s == {"active": 2, "acknowledged": 1, "resolved": 1, "critical": 1}
     assert AL.filter_alerts(alerts, None, "low").count() == 2
     assert [r[0] for r in rows(AL.active_alerts(alerts), "alert_id")] == [3, 2]
+
+
+def test_null_group_keys_are_left_out(spark):
+    from pyspark.sql import types as T
+
+    from opsframes import schemas as S
+    from conftest import ts
+
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in S.LOGS])
+    logs = spark.createDataFrame([
+        (1, ts("2024-01-01 01:00:00"), "ERROR", None, "user_1", "m", "Network"),
+        (2, None, "ERROR", "/api/users", "user_1", "m", None),
+        (3, ts("2024-01-01 02:00:00"), "ERROR", "/api/users", "user_1", "m", "Network"),
+    ], nullable)
+    assert rows(L.errors_by_endpoint(logs)) == [("/api/users", "ERROR", 2)]
+    assert rows(L.error_trend(logs), "count") == [(2,)]
+    assert rows(L.log_class_counts(logs), "log_class", "count") == [("Network", 2)]
+    assert L.error_summary(logs).collect()[0]["affected_endpoints"] == 2  # null counts as a value
