@@ -85,6 +85,21 @@ class StoredTables:
         df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.fieldNames())
         return df.persist(StorageLevel.MEMORY_AND_DISK) if name in self.cached else df
 
+    def between(self, name: str, start=None, end=None) -> DataFrame:
+        """Table ``name`` limited to the calendar dates [start, end] by partition pruning.
+
+        Only the matching ``date=`` folders are listed and read; the result has
+        the table's declared columns, so every query accepts it unchanged.
+        Either bound may be omitted.
+        """
+        schema = S.TABLE_SCHEMAS[name]
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        if start:
+            df = df.where(F.col("date") >= F.lit(str(start)[:10]).cast("date"))
+        if end:
+            df = df.where(F.col("date") <= F.lit(str(end)[:10]).cast("date"))
+        return df.select(*schema.fieldNames())
+
     def warm(self) -> None:
         """Materialize the cached tables now rather than on first use."""
         for name in self.cached:

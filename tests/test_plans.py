@@ -42,6 +42,15 @@ def test_date_range_reaches_the_scan(spark, tables):
     assert "LessThan(timestamp,2024-01-13T00:00)" in p
 
 
+def test_known_date_range_prunes_partitions(spark, tables):
+    df = L.classified_logs(tables.between("logs", "2024-01-10", "2024-01-12"), start="2024-01-10",
+                           end="2024-01-12")
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(date" in p and "(date#" in p, p
+    assert "date" not in df.columns
+    assert df.count() == L.classified_logs(tables.logs, start="2024-01-10", end="2024-01-12").count()
+
+
 def test_scan_reads_only_needed_columns(spark, tables):
     p = plan(L.log_volume(tables.logs))
     assert "ReadSchema: struct<timestamp:timestamp_ntz,severity:string>" in p, p
