@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Text timestamps: the dashboard's "%Y-%m-%d %H:%M:%S", with an optional
+# fraction of 1-6 digits when parsing; written back with microseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+TIMESTAMP_WRITE_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -95,6 +98,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")
+    if fmt in ("csv", "json"):
+        writer = (writer.option("timestampNTZFormat", TIMESTAMP_WRITE_FORMAT)
+                  .option("timestampFormat", TIMESTAMP_WRITE_FORMAT))
     if partition_by and partition_by in df.columns:
         writer = writer.partitionBy(partition_by)
     writer.save(path)

@@ -38,3 +38,14 @@ def test_write_table_partitions_by_date(spark):
     assert back.count() == logs.count()
     one_day = back.where("date = date'2024-01-05'")
     assert "PartitionFilters: [isnotnull(date" in one_day._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orc_and_csv_round_trip(spark):
+    logs = load(spark, SF_SMALL).logs
+    base = tempfile.mkdtemp(prefix="fmt-")
+    for fmt in ("orc", "csv", "json"):
+        out = f"{base}/{fmt}"
+        write_table(logs, out, fmt=fmt)
+        back = read_table(spark, out, S.LOGS, fmt=fmt)
+        assert back.columns[:len(S.LOGS.fieldNames())] == S.LOGS.fieldNames()
+        assert sorted(rows(back.select(*S.LOGS.fieldNames()))) == sorted(rows(logs)), fmt
