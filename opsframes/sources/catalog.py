@@ -146,7 +146,7 @@ def _source_stamp(sf_dir: str) -> tuple:
 def catalog(spark: SparkSession, sf_dir: str) -> StoredTables:
     """The stored tables derived from ``sf_dir``, built on first use in this application."""
     where = sf_dir.rstrip("/") if "://" in sf_dir else os.path.realpath(sf_dir)
-    key = (spark.sparkContext.applicationId, where) + _source_stamp(sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), where) + _source_stamp(sf_dir)
     with _LOCK:
         found = _CATALOGS.get(key)
         if found is None:

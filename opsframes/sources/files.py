@@ -63,16 +63,19 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local-mode session without one (tests) gets a folder under the
     system temp directory; on a cluster a machine-local folder would not be
-    shared, so a missing setting is an error.
+    shared, so a missing setting is an error. Reads session settings only,
+    so it also works over Spark Connect.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        import tempfile
+        d = spark.sparkContext.getCheckpointDir()
+        if not d:
+            import tempfile
 
-        d = tempfile.mkdtemp(prefix="opsframes-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+            d = tempfile.mkdtemp(prefix="opsframes-ckpt-")
+            spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
