@@ -22,6 +22,9 @@ SQL_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batch jobs, not notebooks: skip capturing the Python call site for every
+    # Column built (used only to point error messages at user code).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
