@@ -79,3 +79,23 @@ def test_crosstab_matches_model(spark, data):
     for r in L.log_class_by_severity(df).collect():
         for sev in sorted(S.SEVERITY_LEVELS):
             assert r[sev] == want.get((r["log_class"], sev), 0)
+
+
+@SETTINGS
+@given(data=log_rows, size=st.integers(1, 5))
+def test_keyset_paging_with_mixed_directions(spark, data, size):
+    df, rows = _frame(spark, data)
+    sort = [("severity", "asc"), ("timestamp", "desc"), ("log_id", "asc")]
+    model = sorted(rows, key=lambda r: (r[2], -r[1].timestamp(), r[0]))
+    after, seen = None, []
+    while True:
+        page = V.page_after(df, sort, after, size=size).select("severity", "timestamp", "log_id").collect()
+        if not page:
+            break
+        seen.extend(r[2] for r in page)
+        after = tuple(page[-1])
+    assert seen == [r[0] for r in model]
+    offset_pages = []
+    for p in range((len(model) + size - 1) // size):
+        offset_pages.extend(r[0] for r in V.table_page(df, sort=sort, page=p, size=size).select("log_id").collect())
+    assert offset_pages == seen
