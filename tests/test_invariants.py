@@ -79,3 +79,18 @@ def test_log_flags_single_label(t):
     got = rows(V.row_flags(t.logs, V.LOG_ROW_RULES).select("severity", "flags").distinct())
     expect = {"ERROR": ["error"], "CRITICAL": ["critical"], "WARNING": ["warning"], "INFO": []}
     assert {r[0]: r[1] for r in got} == expect
+
+
+def test_generated_alert_keys_unique_and_mapped(t):
+    from pyspark.sql import functions as F
+
+    from opsframes import schemas as S
+    from opsframes.operators import rules as R
+
+    alerts = R.generate_alerts(t.logs, t.api_metrics, t.infra_metrics, t.user_activities, response_ms=100.0)
+    n, keys = alerts.agg(F.count(F.lit(1)), F.count_distinct("alert_key")).collect()[0]
+    assert n == keys and n > 0
+    for r in alerts.groupBy("type", "severity", "priority", "status").count().collect():
+        assert r["type"] in S.ALERT_TYPES and r["status"] == "active"
+        assert r["severity"] == R.RULE_SEVERITY[r["type"]]
+        assert r["priority"] == S.PRIORITY_OF_SEVERITY[r["severity"]]
