@@ -14,13 +14,16 @@ SQL_CONF = {
     # Timestamps are timestamp_ntz wall-clock values; hour truncation and
     # the streaming cast to event time go through the session zone.
     "spark.sql.session.timeZone": "UTC",
-    # AQE: coalesce small shuffle partitions, split skewed ones, and pick
-    # broadcast joins from measured (not estimated) sizes.
+    # AQE: coalesce small shuffle partitions and split skewed ones. Broadcast
+    # joins are chosen from size estimates; file-based estimates are scaled
+    # by 3 (Parquet expands when decoded) so only sides whose in-memory size
+    # is likely under 32 MB are broadcast, everything else sort-merge joins.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    "spark.sql.sources.fileCompressionFactor": "3.0",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batch jobs, not notebooks: skip capturing the Python call site for every
     # Column built (used only to point error messages at user code).
