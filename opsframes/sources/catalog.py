@@ -30,16 +30,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .files import scratch_path, write_table
-from .tables import Tables, load
+from .tables import Tables, TableSet, load
 
-TIME_COLUMN = {
-    "logs": "timestamp",
-    "api_metrics": "timestamp",
-    "infra_metrics": "timestamp",
-    "user_activities": "timestamp",
-    "alerts": "timestamp",
-    "alert_actions": "acted",
-}
+TIME_COLUMN = TableSet.TIME_COLUMN
 
 
 ROLLUPS = ("api_metrics", "infra_metrics")
@@ -66,7 +59,7 @@ def store(tables: Tables, path: str, parallel: int = len(S.TABLE_SCHEMAS)) -> No
             f.result()
 
 
-class StoredTables:
+class StoredTables(TableSet):
     """Stored telemetry tables, read with their declared schemas.
 
     ``cached`` tables are also kept in executor memory (spilling to disk).

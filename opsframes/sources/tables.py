@@ -132,8 +132,36 @@ def alert_actions_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+class TableSet:
+    """What every table catalog offers besides its six table attributes."""
+
+    TIME_COLUMN = {
+        "logs": "timestamp",
+        "api_metrics": "timestamp",
+        "infra_metrics": "timestamp",
+        "user_activities": "timestamp",
+        "alerts": "timestamp",
+        "alert_actions": "acted",
+    }
+
+    def between(self, name: str, start=None, end=None) -> DataFrame:
+        """Table ``name`` limited to the calendar dates [start, end] (either bound optional)."""
+        df = getattr(self, name)
+        t = F.col(self.TIME_COLUMN[name])
+        if start:
+            df = df.where(t >= F.lit(str(start)[:10]).cast("date").cast(T.TimestampNTZType()))
+        if end:
+            df = df.where(t < F.date_add(F.lit(str(end)[:10]).cast("date"), 1).cast(T.TimestampNTZType()))
+        return df
+
+    def register(self, prefix: str = "") -> None:
+        """Expose every table as a temp view for ``spark.sql``."""
+        for name in S.TABLE_SCHEMAS:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+
+
 @dataclass
-class Tables:
+class Tables(TableSet):
     """The telemetry catalog, each table built lazily from one ``events`` frame."""
 
     events: DataFrame
@@ -162,11 +190,6 @@ class Tables:
     def alert_actions(self) -> DataFrame:
         return alert_actions_from_events(self.events)
 
-    def register(self, prefix: str = "") -> None:
-        """Expose every table as a temp view for ``spark.sql``."""
-        for name in S.TABLE_SCHEMAS:
-            getattr(self, name).createOrReplaceTempView(prefix + name)
-
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(read_events(spark, sf_dir))

@@ -94,3 +94,14 @@ def test_generated_alert_keys_unique_and_mapped(t):
         assert r["type"] in S.ALERT_TYPES and r["status"] == "active"
         assert r["severity"] == R.RULE_SEVERITY[r["type"]]
         assert r["priority"] == S.PRIORITY_OF_SEVERITY[r["severity"]]
+
+
+def test_between_same_rows_lazy_and_stored(spark, t):
+    from opsframes.sources.tables import load
+
+    lazy = load(spark, SF_SMALL)
+    a = sorted(rows(t.between("logs", "2024-01-03", "2024-01-04").select("log_id")))
+    b = sorted(rows(lazy.between("logs", "2024-01-03", "2024-01-04").select("log_id")))
+    assert a == b and a
+    t.register("t_")
+    assert spark.sql("select count(*) from t_logs").collect()[0][0] == t.logs.count()
