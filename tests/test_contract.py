@@ -20,7 +20,7 @@ def _norm(v):
     if v is None:
         return (0, "")
     if isinstance(v, float):
-        return (1, "nan") if math.isnan(v) else (2, repr(round(v, 9)))
+        return (1, "nan") if math.isnan(v) else (2, repr(v))
     if hasattr(v, "isoformat"):
         return (3, v.isoformat())
     return (4, repr(v))
