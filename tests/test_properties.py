@@ -99,3 +99,31 @@ def test_keyset_paging_with_mixed_directions(spark, data, size):
     for p in range((len(model) + size - 1) // size):
         offset_pages.extend(r[0] for r in V.table_page(df, sort=sort, page=p, size=size).select("log_id").collect())
     assert offset_pages == seen
+
+
+series_rows = st.lists(
+    st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 3 * 24 * 60), st.integers(0, 5)),
+    min_size=1, max_size=50, unique_by=lambda r: (r[0], r[1]),
+)
+
+
+@SETTINGS
+@given(data=series_rows, length=st.integers(1, 4), block=st.integers(1, 6),
+       bucket=st.sampled_from(["day", "hour", "minute"]))
+def test_rising_run_matches_model(spark, data, length, block, bucket):
+    from pyspark.sql import types as T
+
+    from opsframes.functions.windows import rising_run
+
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.TimestampNTZType()),
+                           T.StructField("v", T.DoubleType())])
+    df = spark.createDataFrame([(k, BASE + dt.timedelta(minutes=m), float(v)) for k, m, v in data], schema)
+    want = {}
+    for key in {r[0] for r in data}:
+        pts = sorted((m, v) for k, m, v in data if k == key)
+        for i, (m, v) in enumerate(pts):
+            want[(key, BASE + dt.timedelta(minutes=m))] = i >= length - 1 and all(
+                pts[j][1] > pts[j - 1][1] for j in range(i - length + 2, i + 1))
+    got = {(r["k"], r["t"]): r["rising"]
+           for r in rising_run(df, "k", "t", "v", length, block=block, bucket=bucket).collect()}
+    assert got == want
