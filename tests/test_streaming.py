@@ -81,3 +81,14 @@ def test_alert_stream_only_closed_hours(spark):
 
     for r in alerts.select("timestamp").collect():
         assert r[0] + dt.timedelta(hours=1) <= last - dt.timedelta(hours=1)
+
+
+def test_rocksdb_state_store_gives_same_result(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rocks = _counts(run_log_volume(spark, SF_SMALL))
+    finally:
+        spark.conf.set(key, before)
+    assert rocks == _counts(run_log_volume(spark, SF_SMALL))
