@@ -66,10 +66,6 @@ def hour_start(ts: str | Column = "timestamp") -> Column:
     return F.date_trunc("hour", col(ts)).cast(T.TimestampNTZType())
 
 
-def day_start(ts: str | Column = "timestamp") -> Column:
-    return F.to_date(col(ts)).cast(T.TimestampNTZType())
-
-
 def priority_of(severity: str | Column = "severity") -> Column:
     return lookup(S.PRIORITY_OF_SEVERITY, severity)
 
