@@ -92,3 +92,24 @@ def test_rocksdb_state_store_gives_same_result(spark):
     finally:
         spark.conf.set(key, before)
     assert rocks == _counts(run_log_volume(spark, SF_SMALL))
+
+
+def test_restart_from_checkpoint_adds_without_duplicates(spark):
+    import datetime as dt
+
+    d = tempfile.mkdtemp(prefix="restart-", dir=os.environ.get("TMPDIR", "/tmp"))
+    day = dt.datetime(2024, 1, 1)
+    _event_file(f"{d}/events-0.parquet", [(1, day + dt.timedelta(hours=1)), (2, day + dt.timedelta(days=1, hours=2))])
+    out, ckpt = sinks.fresh_paths(spark, "test_restart")
+
+    def run():
+        logs = logs_from_events(sinks.read_event_stream(spark, d))
+        sinks.run_to_completion(sinks.to_files(log_volume_stream(logs), out, ckpt))
+        return sorted((str(r[0]), r[1], r[2]) for r in rows(spark.read.parquet(out), "date", "severity", "count"))
+
+    first = run()
+    assert first == [("2024-01-01", "INFO", 1)]
+    # new data arrives; the restarted query resumes from its checkpoint
+    _event_file(f"{d}/events-1.parquet", [(3, day + dt.timedelta(days=1, hours=5)), (4, day + dt.timedelta(days=3))])
+    second = run()
+    assert second == [("2024-01-01", "INFO", 1), ("2024-01-02", "INFO", 2)]
