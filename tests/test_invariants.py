@@ -105,3 +105,14 @@ def test_between_same_rows_lazy_and_stored(spark, t):
     assert a == b and a
     t.register("t_")
     assert spark.sql("select count(*) from t_logs").collect()[0][0] == t.logs.count()
+
+
+def test_range_codes(t):
+    import datetime as dt
+
+    n = {c: M.server_trend(t.infra_metrics, "server-1", c).count() for c in ("1w", "bogus", None, "24h")}
+    assert n["bogus"] == n["1w"]
+    latest = t.infra_metrics.agg({"timestamp": "max"}).collect()[0][0]
+    want = t.infra_metrics.where(
+        (t.infra_metrics.server == "server-1") & (t.infra_metrics.timestamp >= latest - dt.timedelta(days=1))).count()
+    assert n["24h"] == want

@@ -92,3 +92,14 @@ def test_new_location_joins_aggregated_sides(spark, tables):
     p = optimized(suspicious_new_location(tables.user_activities))
     # both sides of the join are aggregates: a hot user is collapsed before the shuffle
     assert p.count("Aggregate") >= 2 and "Window" not in p
+
+
+def test_hot_paths_run_in_whole_stage_codegen(spark, tables):
+    """Scan, filter, projection and partial aggregation fuse into generated code (``*(n)`` nodes)."""
+    import re
+
+    for df in (L.log_volume(tables.logs), L.error_summary(tables.logs), A.top_users(tables.user_activities),
+               L.classified_logs(tables.logs, severities=["ERROR"])):
+        df.collect()  # executes this DataFrame's own plan, so AQE's final plan is what we read
+        p = plan(df)
+        assert re.search(r"\*\(\d+\) (Filter|HashAggregate|Project|ColumnarToRow)", p), p
