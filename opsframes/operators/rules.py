@@ -67,16 +67,19 @@ def suspicious_access_time(activities: DataFrame, start_hour: int = 6, end_hour:
 def suspicious_new_location(activities: DataFrame) -> DataFrame:
     """First activity of each (user, ip) pair, unless it is the user's first activity.
 
-    Both "firsts" are min-aggregates of a (timestamp, activity_id) struct, so
-    they combine map-side; the join then meets one row per user with one row
-    per (user, ip) — no window over a whole user's history.
+    One pass over the activities: the first sighting per (user, ip) is a
+    min-aggregate of a (timestamp, activity_id, action) struct, combined
+    map-side. A user's first activity is the min of its pairs' firsts, so
+    the second aggregate and the join run on the (user, ip) table, never on
+    raw rows or a window over a whole user's history.
     """
     known = activities.where(F.col("user_id").isNotNull() & F.col("ip_address").isNotNull())
     first_seen = (known
                   .groupBy("user_id", "ip_address")
                   .agg(F.min(F.struct("timestamp", "activity_id", "action")).alias("f")))
-    user_first = (known.groupBy("user_id")
-                  .agg(F.min(F.struct("timestamp", "activity_id")).alias("u")))
+    user_first = (first_seen.groupBy("user_id")
+                  .agg(F.min(F.struct(F.col("f.timestamp").alias("timestamp"),
+                                      F.col("f.activity_id").alias("activity_id"))).alias("u")))
     return (first_seen.join(user_first, "user_id")
             .where(F.col("f.activity_id") != F.col("u.activity_id"))
             .select(F.col("f.activity_id").alias("activity_id"), F.col("f.timestamp").alias("timestamp"),

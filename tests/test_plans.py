@@ -89,9 +89,14 @@ def test_no_python_udfs_in_registered_queries(spark, tables):
 def test_new_location_joins_aggregated_sides(spark, tables):
     from opsframes.operators.rules import suspicious_new_location
 
-    p = optimized(suspicious_new_location(tables.user_activities))
+    df = suspicious_new_location(tables.user_activities)
+    p = optimized(df)
     # both sides of the join are aggregates: a hot user is collapsed before the shuffle
     assert p.count("Aggregate") >= 2 and "Window" not in p
+    # the per-user firsts come from the per-(user, ip) firsts: the activities are scanned once
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1, final
 
 
 def test_hot_paths_run_in_whole_stage_codegen(spark, tables):
