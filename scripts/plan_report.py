@@ -94,7 +94,7 @@ def main() -> None:
         if name in SIDE_EFFECT_KEYS:
             continue
         df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()  # run this DataFrame's own plan, so its AQE final plan is the one read
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
         scans = "; ".join(
             x["table"] + (f" [{x['columns']} cols]" if x["columns"] else "")
