@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from opsframes.llm._common import keep, only
 
 UNKNOWN = "unknown"
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 SAMPLE = 4_000
 FALSE_RATE = 0.001
 CONFIRM = 0.8
@@ -123,8 +123,9 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def templates(spark: SparkSession) -> DataFrame:
     """family, line, shingles of each written template; a few hundred rows at most."""
     rows = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
-    words = words_of(F.col("line"))
-    return rows.withColumn("shingles", F.when(F.size(words) < SHINGLE, F.array(F.array_join(words, " "))).otherwise(_grams(words, SHINGLE)))
+    words = F.col("words")
+    rows = rows.withColumn("words", words_of(F.col("line")))
+    return rows.withColumn("shingles", F.when(F.size(words) < SHINGLE, F.array(F.array_join(words, " "))).otherwise(_grams(words, SHINGLE))).drop("words")
 
 
 def _examples(spark: SparkSession, background: DataFrame) -> DataFrame:
@@ -150,11 +151,11 @@ class Classifier:
         # a background line resembles no template: it shares no five-word shingle with one
         known = templates(spark).select(F.explode("shingles").alias("shingle")).distinct()
         drawn = lines.where(h < part).select("line", (h % 2).alias("half")).distinct()
-        shingle = F.explode(_grams(words_of(F.col("line")), SHINGLE))
-        alike = drawn.select("line", shingle.alias("shingle")).join(F.broadcast(known), "shingle").select("line").distinct()
+        spelt = drawn.withColumn("words", words_of(F.col("line")))
+        alike = spelt.select("line", F.explode(_grams(F.col("words"), SHINGLE)).alias("shingle")).join(F.broadcast(known), "shingle").select("line").distinct()
         background = keep(drawn.join(alike, "line", "left_anti"), "licenses-background")
-        examples = keep(_features(_examples(spark, background.where("half = 0").select("line"))).drop("words"), "licenses-examples")
-        self.model = LogisticRegression(maxIter=60, regParam=1e-3, family="multinomial").fit(examples)
+        examples = keep(_features(_examples(spark, background.where("half = 0").select("line"))).drop("words").coalesce(4), "licenses-examples")
+        self.model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(examples)
         unseen = self._family(_features(background.where("half = 1").select("line")))
         worst = unseen.agg(F.percentile("p", 1 - FALSE_RATE)).first()[0]
         self.threshold = max(0.5, worst or 0.0)
@@ -170,8 +171,8 @@ class Classifier:
     def predict(self, lines: DataFrame) -> DataFrame:
         """``lines`` with family and p, where the probability passes and a template confirms."""
         likely = self._family(_features(lines)).where(F.col("p") >= self.threshold)
-        words = F.array_join("words", " ")
-        inside = F.filter("shingles", lambda s: F.contains(F.concat(F.lit(" "), words, F.lit(" ")), F.concat(F.lit(" "), s, F.lit(" "))))
+        likely = likely.withColumn("words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+        inside = F.filter("shingles", lambda s: F.contains(F.col("words"), F.concat(F.lit(" "), s, F.lit(" "))))
         met = likely.join(F.broadcast(templates(lines.sparkSession).select("family", "shingles")), "family")
         share = F.size(inside) / F.size("shingles")
         return met.where(share >= CONFIRM).drop("shingles", "words").distinct()
