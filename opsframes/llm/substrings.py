@@ -195,14 +195,15 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
                .join(first.select("sha", F.col("first_id").alias("id")), ["sha", "id"], "left_semi")
                .dropDuplicates(["id", "sha"])
                .select("id", "tag", F.explode("anchors").alias("anchor")))
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = keep(anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "substrings-shared")
     suspects = (anchors.join(shared.select("anchor"), "anchor", "left_semi")
                 .groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors")))
     suspects = keep(_with_text(rows, suspects), "substrings-suspects")
     windows = keep(suspects.mapInArrow(lambda it: _counted(it, width),
                                        f"h1 long, h2 long, id {id_type}, tag long, pos int"), "substrings-windows")
-    least = (windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-             .where("lo < hi").select("h1", "h2", "lo"))
+    # written, so that the join has an exchange of its own on either side, which splits hot passages
+    least = keep(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                 .where("lo < hi").select("h1", "h2", "lo"), "substrings-least")
     hits = (windows.join(least, ["h1", "h2"]).where("id > lo")
             .groupBy("id", "tag").agg(F.collect_set("pos").alias("starts")))
     cut = suspects.select("id", "tag", "text").join(hits, ["id", "tag"]).mapInArrow(
