@@ -13,9 +13,9 @@ and emit weights, which the clause machine composes:
 
 Clause scores, not isolated words, are then summed up per document and a
 logistic regression over these sums, fitted on the same labelled documents,
-gives the probability. Lexicon statistics come from all usable labelled rows, the
-regression is fitted on a sample of at most ``SAMPLE`` of them, and the
-lexicon holds at most ``LEXICON`` entries.
+gives the probability. Lexicon and regression are fitted on a sample of about
+``SAMPLE`` labelled rows (all, if there are fewer), picked by a hash of the id;
+the lexicon holds at most ``LEXICON`` entries.
 
 Edge cases: null and empty texts get the score of a text without any match.
 Rows of ``labels`` with null id or toxic, and labels of unknown documents, are
@@ -166,9 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn the grammar from the labelled rows that are not held out."""
     told = (only(labels, id=id_col, toxic=label_col).where("id is not null and toxic in (0, 1)")
             .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")))
+    part = min(1 << 20, -(-sample * (1 << 20) // max(1, told.count())))
+    # about `sample` short rows, so texts need no shuffle to meet their labels
+    told = F.broadcast(told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part))
     rows = only(docs, id=id_col, text=text_col).join(told, "id")
     counts = rows.select("text", "toxic").mapInArrow(_words, "entry string, clean long, toxic long")
-    seen = {r["toxic"]: r["count"] for r in told.join(only(docs, id=id_col), "id").groupBy("toxic").count().collect()}
+    seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     grammar = Grammar()
     if not seen.get(0) or not seen.get(1):
         return grammar
@@ -177,9 +180,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .where(F.col("toxic") >= LEAST_DOCS).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
               .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry").limit(lexicon).collect())
     grammar.entries = {r["entry"]: r["weight"] for r in listed}
-    n = sum(seen.values())
-    part = min(1 << 20, -(-sample * (1 << 20) // n))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part).select("text", "toxic")
     blank = Grammar(entries=grammar.entries)
 
     def features(batches):
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [blank.features((t or b"").decode(), memo) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
-    fitted = drawn.mapInArrow(features, "x array<double>, toxic int").collect()  # about `sample` short rows
+    fitted = rows.select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect()  # about `sample` short rows
     y = np.array([r["toxic"] for r in fitted], dtype=float)
     if 0 < y.sum() < len(y):
         x = np.array([r["x"] for r in fitted])
