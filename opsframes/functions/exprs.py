@@ -62,8 +62,9 @@ def event_date(ts: str | Column = "timestamp") -> Column:
 
 
 def hour_start(ts: str | Column = "timestamp") -> Column:
-    """Start of the hour of a ``timestamp_ntz``, kept as ``timestamp_ntz``."""
-    return F.date_trunc("hour", col(ts)).cast(T.TimestampNTZType())
+    """Start of the hour of a ``timestamp_ntz``, kept as ``timestamp_ntz``; no session zone takes part."""
+    ts = col(ts)
+    return F.to_date(ts).cast(T.TimestampNTZType()) + F.make_dt_interval(F.lit(0), F.hour(ts))
 
 
 def priority_of(severity: str | Column = "severity") -> Column:
@@ -114,6 +115,11 @@ def value_counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     return group_count(df, key, name=name).orderBy(F.desc(name), F.asc(key))
 
 
+def value_shares(df: DataFrame, key: str) -> DataFrame:
+    """``value_counts`` with shares; the sort comes last, so it orders the result."""
+    return with_share(group_count(df, key)).orderBy(F.desc("count"), F.asc(key))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column; used to compare averages across engines."""
     return df.select(*[

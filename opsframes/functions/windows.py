@@ -44,6 +44,7 @@ def with_lags(df: DataFrame, key: str, order: str, value: str, lags: int, tiebre
               block: int = BLOCK_ROWS, bucket: str = "day") -> DataFrame:
     """Append ``{value}_lag1 .. {value}_lag{lags}``: the value 1..lags rows earlier in the key's series."""
     pos = positions(df, key, order, tiebreak, bucket=bucket)
+    block = max(block, lags, 1)  # a row's lags reach back one block at most
     blk = F.floor(F.col("_pos") / block)
     in_halo = (F.col("_pos") % block) >= (block - lags) if lags > 0 else F.lit(False)
     copies = pos.select("*", F.posexplode(F.when(in_halo, F.array(blk, blk + 1)).otherwise(F.array(blk)))

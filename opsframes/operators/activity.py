@@ -7,13 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import distinct_count, event_date, group_count, value_counts, with_share
+from ..functions.exprs import distinct_count, event_date, group_count, value_shares
 from ..functions.params import one_of, where_all
 
 
 def action_counts(activities: DataFrame) -> DataFrame:
     """Rows per action with its share."""
-    return with_share(value_counts(activities, "action"))
+    return value_shares(activities, "action")
 
 
 def activity_by_date(activities: DataFrame) -> DataFrame:

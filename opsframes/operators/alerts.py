@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import priority_rank, value_counts, with_share
+from ..functions.exprs import priority_rank, value_counts, value_shares
 from ..functions.params import equal_unless_all, where_all
 
 
 def alerts_by_type(alerts: DataFrame) -> DataFrame:
     """Rows per alert type with share."""
-    return with_share(value_counts(alerts, "type"))
+    return value_shares(alerts, "type")
 
 
 def alerts_by_priority(alerts: DataFrame) -> DataFrame:

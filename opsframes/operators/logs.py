@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import distinct_count, event_date, group_count, value_counts, with_share
+from ..functions.exprs import distinct_count, event_date, group_count, value_counts, value_shares
 from ..functions.params import date_between, equal_unless_all, one_of, where_all
 
 
@@ -23,8 +23,7 @@ def newest_first():
 
 def log_volume(logs: DataFrame, severities: Iterable[str] | None = None) -> DataFrame:
     """Rows per (date, severity); an empty selection means every level."""
-    chosen = list(severities) if severities else S.SEVERITY_LEVELS
-    return group_count(logs.where(F.col("severity").isin(chosen)), ("date", event_date("timestamp")), "severity")
+    return group_count(where_all(logs, one_of("severity", severities)), ("date", event_date("timestamp")), "severity")
 
 
 def logs_by_endpoint(logs: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def recent_logs(logs: DataFrame, n: int = 100) -> DataFrame:
 
 def search_condition(term: str, columns: Sequence[str] = ("message", "endpoint", "user_id")):
     """Case-insensitive regular-expression match on any of ``columns``."""
-    pattern = "(?i)" + term
+    pattern = "(?iu)" + term
     cond = None
     for c in columns:
         hit = F.col(c).rlike(pattern)
@@ -56,16 +55,22 @@ def search_logs(logs: DataFrame, term: str | None, n: int = 100) -> DataFrame:
 
 def log_class_counts(logs: DataFrame) -> DataFrame:
     """Rows per log class with its share of all classified rows."""
-    return with_share(value_counts(logs, "log_class"))
+    return value_shares(logs, "log_class")
+
+
+def _observed_levels(logs: DataFrame) -> list[str]:
+    seen = logs.where("log_class is not null and severity is not null").select("severity").distinct().collect()
+    return sorted({r[0] for r in seen} | set(S.SEVERITY_LEVELS))
 
 
 def log_class_by_severity(logs: DataFrame, severities: Sequence[str] | None = None) -> DataFrame:
     """Cross-tab log_class x severity, absent cells 0.
 
     One conditional count per severity in a single hash aggregate (no pivot
-    pass); columns are in the given order, default alphabetical.
+    pass); columns are in the given order, default alphabetical: the fixed
+    levels and any others that occur.
     """
-    levels = list(severities) if severities else sorted(S.SEVERITY_LEVELS)
+    levels = list(severities) if severities else _observed_levels(logs)
     return (logs.where(F.col("log_class").isNotNull())
             .groupBy("log_class")
             .agg(*[F.count_if(F.col("severity") == F.lit(v)).alias(v) for v in levels]))

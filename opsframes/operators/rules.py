@@ -122,7 +122,7 @@ def alert_fields(alert_type: str, rule: str, ts: Column, kind: str, entity: Colu
     values = {"endpoint": F.lit(""), "server": F.lit(""), "user": F.lit("")}
     values[kind] = entity
     severity = RULE_SEVERITY[alert_type]
-    key_parts = [F.lit(rule), entity, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")]
+    key_parts = [F.lit(rule), entity, F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)]
     if ident is not None:
         key_parts.append(ident.cast("string"))
     return [

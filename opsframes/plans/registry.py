@@ -21,7 +21,7 @@ from ..operators import rules as R
 from ..operators import views as V
 from ..sources.files import scratch_path, write_table
 from ..sources.catalog import catalog
-from ..sources.tables import Tables
+from ..sources.tables import Tables, load
 from ..streaming import alerts as stream_alerts
 from ..streaming import log_volume as stream_log_volume
 from . import params as P
@@ -122,7 +122,7 @@ QUERIES: dict[str, Query] = {
     "row_flags_suspicious": _t(lambda t: _flags(A.suspicious_activities(t.user_activities), V.SUSPICIOUS_ROW_RULES)),
     "row_flags_alerts": _t(lambda t: _flags(t.alerts, V.ALERT_ROW_RULES)),
     # rules
-    "metrics_rollup": _t(lambda t: t.api_metrics),
+    "metrics_rollup": lambda spark, sf_dir: load(spark, sf_dir).api_metrics,
     "alert_high_error_rate": _t(lambda t: R.alert_high_error_rate(t.api_metrics, P.RULES["error_rate"])),
     "alert_service_unavailable": _t(lambda t: R.alert_service_unavailable(t.logs, P.RULES["critical_logs"])),
     "alert_slow_response": _t(lambda t: R.alert_slow_response(t.api_metrics, P.RULES["response_ms"])),

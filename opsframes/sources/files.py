@@ -105,5 +105,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
         writer = (writer.option("timestampNTZFormat", TIMESTAMP_WRITE_FORMAT)
                   .option("timestampFormat", TIMESTAMP_WRITE_FORMAT))
     if partition_by and partition_by in df.columns:
-        writer = writer.partitionBy(partition_by)
+        # an overwrite replaces the dates it writes and leaves all others
+        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     writer.save(path)

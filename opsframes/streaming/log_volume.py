@@ -16,8 +16,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..functions.exprs import event_time, wall_clock
+from ..functions.params import one_of, where_all
 from ..sources.tables import logs_from_events
 from . import sinks
 
@@ -25,8 +25,7 @@ from . import sinks
 def log_volume_stream(logs: DataFrame, window: str = "1 day", watermark: str = "1 hour",
                       severities: Iterable[str] | None = None) -> DataFrame:
     """Streaming counts per (window, severity); output (date, window_start, severity, count)."""
-    chosen = list(severities) if severities else S.SEVERITY_LEVELS
-    counted = (logs.where(F.col("severity").isin(chosen))
+    counted = (where_all(logs, one_of("severity", severities)).where(F.col("severity").isNotNull())
                .withColumn("event_time", event_time("timestamp"))
                .withWatermark("event_time", watermark)
                .groupBy(F.window("event_time", window).alias("w"), "severity")

@@ -22,11 +22,14 @@ from ..sources.files import scratch_path
 
 def read_event_stream(spark: SparkSession, source_dir: str, glob: str = "events*.parquet",
                       files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the event files of a folder (schema declared, no inference)."""
-    reader = spark.readStream.schema(S.EVENTS).option("pathGlobFilter", glob)
+    """Stream the event tables of a folder (schema declared, no inference).
+
+    ``glob`` names tables, each a single file or a folder of part files.
+    """
+    reader = spark.readStream.schema(S.EVENTS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(source_dir)
+    return reader.parquet(f"{source_dir}/{glob}")
 
 
 def _trigger(writer, trigger: dict | None):
