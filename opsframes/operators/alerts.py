@@ -59,8 +59,8 @@ def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Alerts with the status set by their latest action; alerts without one keep theirs.
 
     Both join sides are keyed by alert_id after aggregation, so the join is
-    skew-free; AQE turns it into a broadcast join at run time only when the
-    measured action side is under the broadcast threshold.
+    skew-free. The planner broadcasts a side only if its static size estimate
+    is under the threshold.
     """
     last = latest_actions(actions)
     joined = alerts.join(last, "alert_id", "left")
