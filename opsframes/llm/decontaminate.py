@@ -116,7 +116,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_
     """``docs`` without the documents in which a benchmark window occurs; columns as they are."""
     names = docs.columns
     hits, _ = _hits(docs, items, width, id_col, text_col, item_col, item_text_col)
-    gone = hits.select("id", "tag").distinct()
+    # written, so that the planner knows its size: ids are broadcast where they are few, else both sides are sorted
+    gone = keep(hits.select("id", "tag").distinct(), "decontaminate-gone")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"),
                         F.xxhash64(F.col(f"`{text_col}`")).alias("tag"))
     return keyed.join(gone, _same(keyed, gone), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
