@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.params import conjunction, where_all
 
 _OPS = {
@@ -22,7 +23,8 @@ _OPS = {
     "<=": lambda c, v: c <= F.lit(v),
     ">": lambda c, v: c > F.lit(v),
     ">=": lambda c, v: c >= F.lit(v),
-    "contains": lambda c, v: c.contains(F.lit(v)),
+    "contains": lambda c, v: c.cast("string").contains(F.lit(v)),
+    "datestartswith": lambda c, v: c.cast("string").startswith(F.lit(v)),
     "in": lambda c, v: c.isin(list(v)),
 }
 
@@ -30,15 +32,25 @@ Sort = Sequence[tuple[str, str]]
 
 
 def column_filter(name: str, spec) -> Column:
-    """``value`` (equality), ``[values]`` (membership) or ``(op, value)``."""
+    """``"text"`` (contains, as typed into a table's filter row), ``[values]`` (membership),
+    ``(op, value)`` with ``op`` of :data:`_OPS`, or any other bare value (equality).
+
+    ``datestartswith`` takes the leading part of an ISO date or time, e.g. ``2024-01-1``."""
     c = F.col(name)
     if isinstance(spec, tuple) and len(spec) == 2 and spec[0] in _OPS:
         return _OPS[spec[0]](c, spec[1])
     if isinstance(spec, (list, set, frozenset)):
         return c.isin(list(spec))
+    if isinstance(spec, str):
+        return _OPS["contains"](c, spec)
     return c == F.lit(spec)
 
 
+def table_view(df: DataFrame, name: str) -> DataFrame:
+    """The columns that the dashboard's table ``name`` shows, so a scan reads only those."""
+    return df.select(*S.VIEW_COLUMNS[name])
+
+
 def _order(sort: Sort, key: str | None) -> list[Column]:
     cols = [F.desc(c) if d.lower().startswith("desc") else F.asc(c) for c, d in sort]
     if key and key not in [c for c, _ in sort]:

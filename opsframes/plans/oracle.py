@@ -417,6 +417,24 @@ ORDER BY "timestamp" DESC, log_id DESC LIMIT {tp['size']} OFFSET {tp['page'] * t
 SELECT {_ACT_COLS}, {_flags(_SUSP_RULES)} AS flags FROM user_activities WHERE is_suspicious""",
         "row_flags_alerts": f"SELECT {_ALERT_COLS}, {_flags(_ALERT_RULES)} AS flags FROM alerts",
     }
+    pa, tf = p.PAGE_AFTER, p.TYPED_FILTER
+    out["page_after"] = f"""
+SELECT {_LOG_COLS} FROM logs
+WHERE "timestamp" < TIMESTAMP {_q(pa['timestamp'])}
+   OR ("timestamp" = TIMESTAMP {_q(pa['timestamp'])} AND log_id < {pa['log_id']})
+ORDER BY "timestamp" DESC, log_id DESC LIMIT {pa['size']}"""
+    out["table_page_typed"] = f"""
+SELECT {_ALERT_COLS} FROM alerts
+WHERE contains(description, {_q(tf['description'])}) AND status = {_q(tf['status'])}
+  AND starts_with(CAST("timestamp" AS VARCHAR), {_q(tf['timestamp'])})
+ORDER BY "timestamp" DESC, alert_id DESC LIMIT {tf['size']}"""
+    out["view_logs"] = 'SELECT "timestamp", severity, endpoint, user_id, message FROM logs'
+    for view, source, columns in [
+            ("view_classified_logs", "classified_logs", '"timestamp", log_class, severity, endpoint, message'),
+            ("view_error_logs", "error_logs", '"timestamp", severity, endpoint, user_id, message'),
+            ("view_suspicious_activities", "suspicious_activities", '"timestamp", user_id, action, ip_address, reason'),
+            ("view_alerts", "filter_alerts", '"timestamp", type, priority, description, status')]:
+        out[view] = f"SELECT {columns} FROM ({out[source]})"
     out.update(_rules_sql())
     return out
 

@@ -23,6 +23,10 @@ SERVER_RANGE = "1w"
 REASONS = ["Unusual access time", "Access from new location"]
 ALERT_FILTER = {"status": "active", "priority": "high"}
 TABLE_PAGE = {"severity": "ERROR", "page": 2, "size": 10}
+# Rows after this (time, id), newest first.
+PAGE_AFTER = {"timestamp": "2024-01-12 00:00:00", "log_id": 0, "size": 10}
+# A filter row as typed: text that the column contains, and the start of a date.
+TYPED_FILTER = {"description": "server", "timestamp": "2024-01-1", "status": "active", "size": 20}
 RULES = {
     "error_rate": 50.0,
     "critical_logs": 1,

@@ -115,9 +115,25 @@ QUERIES: dict[str, Query] = {
     "filter_alerts": _t(lambda t: AL.filter_alerts(t.alerts, **P.ALERT_FILTER)),
     # table views
     "table_page": _t(lambda t: V.table_page(
-        t.logs, filters={"severity": P.TABLE_PAGE["severity"]},
+        t.logs, filters={"severity": ("=", P.TABLE_PAGE["severity"])},
         sort=[("timestamp", "desc"), ("log_id", "desc")],
         page=P.TABLE_PAGE["page"], size=P.TABLE_PAGE["size"])),
+    "page_after": _t(lambda t: V.page_after(
+        t.logs, sort=[("timestamp", "desc"), ("log_id", "desc")],
+        after=(F.lit(P.PAGE_AFTER["timestamp"]).cast("timestamp_ntz"), P.PAGE_AFTER["log_id"]),
+        size=P.PAGE_AFTER["size"])),
+    "table_page_typed": _t(lambda t: V.table_page(
+        t.alerts, filters={"description": P.TYPED_FILTER["description"],
+                           "timestamp": ("datestartswith", P.TYPED_FILTER["timestamp"]),
+                           "status": ("=", P.TYPED_FILTER["status"])},
+        sort=[("timestamp", "desc"), ("alert_id", "desc")], size=P.TYPED_FILTER["size"])),
+    "view_logs": _t(lambda t: V.table_view(t.logs, "logs")),
+    "view_classified_logs": _t(lambda t: V.table_view(L.classified_logs(
+        t.between("logs", P.CLASSIFIED["start"], P.CLASSIFIED["end"]), **P.CLASSIFIED), "classified_logs")),
+    "view_error_logs": _t(lambda t: V.table_view(L.error_logs(t.logs, **P.ERROR_LOGS), "error_logs")),
+    "view_suspicious_activities": _t(lambda t: V.table_view(
+        A.suspicious_activities(t.user_activities, P.REASONS), "suspicious_activities")),
+    "view_alerts": _t(lambda t: V.table_view(AL.filter_alerts(t.alerts, **P.ALERT_FILTER), "alerts")),
     "row_flags_logs": _t(lambda t: _flags(t.logs, V.LOG_ROW_RULES)),
     "row_flags_suspicious": _t(lambda t: _flags(A.suspicious_activities(t.user_activities), V.SUSPICIOUS_ROW_RULES)),
     "row_flags_alerts": _t(lambda t: _flags(t.alerts, V.ALERT_ROW_RULES)),

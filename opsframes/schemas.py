@@ -67,6 +67,14 @@ CPU_BREACH = 90.0
 # Time-range codes of the range selectors; anything else means one week.
 RANGE_CODES = {"24h": "1 day", "3d": "3 days"}
 RANGE_DEFAULT = "7 days"
+# The columns each dashboard table shows, in order.
+VIEW_COLUMNS = {
+    "logs": ["timestamp", "severity", "endpoint", "user_id", "message"],
+    "classified_logs": ["timestamp", "log_class", "severity", "endpoint", "message"],
+    "error_logs": ["timestamp", "severity", "endpoint", "user_id", "message"],
+    "suspicious_activities": ["timestamp", "user_id", "action", "ip_address", "reason"],
+    "alerts": ["timestamp", "type", "priority", "description", "status"],
+}
 # ---------------------------------------------------------------------------
 
 ERROR_SEVERITIES = ["ERROR", "CRITICAL"]

@@ -62,6 +62,13 @@ def test_keyset_pages_equal_offset_pages(t):
 
 
 def test_column_filter_ops(t):
+    everything = 10 ** 6
+    typed = rows(V.table_page(t.logs, {"message": "Invalid"}, size=everything), "log_id")
+    assert typed and sorted(typed) == sorted(rows(V.table_page(t.logs, {"message": ("contains", "Invalid")}, size=everything), "log_id"))
+    assert V.table_page(t.logs, {"message": ("=", "Invalid")}, size=everything).count() == 0
+    day = str(t.logs.agg({"timestamp": "min"}).first()[0])[:10]
+    assert V.table_page(t.logs, {"timestamp": ("datestartswith", day)}, size=everything).count() == \
+        t.logs.where(f"date(timestamp) = date'{day}'").count() > 0
     assert V.table_page(t.logs, {"message": ("contains", "Invalid")}, size=10 ** 6).count() == \
         t.logs.where("severity = 'ERROR'").count()
     assert V.table_page(t.logs, {"log_id": (">=", 990)}, size=10 ** 6).count() == 10
