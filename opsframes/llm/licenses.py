@@ -1,14 +1,17 @@
 """License scans by a trained paragraph classifier.
 
-Every paragraph (line) of every document becomes sparse counts of hashed word
-1-grams and 2-grams. A multinomial logistic regression names the licence
-family, or ``unknown``. It learns from the written templates below, as they
-stand, cut to their sentences and set between other words, and from a bounded
-sample of the corpus' own paragraphs as ``unknown``. A second sample, which
-the fit does not see, calibrates the unknown class: a paragraph needs a family
-probability above all but ``FALSE_RATE`` of those. A prediction counts only if
-the family's template confirms it: a sentence of a template whose five-word
-shingles are in the paragraph to ``CONFIRM`` or more.
+Every paragraph (line) of every document is cut into overlapping windows of
+``WINDOW`` words that cover it whole. A window becomes sparse counts of hashed
+word 1-grams and 2-grams, of those that the templates have. A multinomial
+logistic regression gives each licence family's odds against ``unknown``. It
+learns from the written templates below, alone and set between other words,
+and from a bounded sample of the corpus' own windows as ``unknown``. A second
+sample, which the fit does not see, calibrates the unknown class: a family
+needs odds above all but ``FALSE_RATE`` of those, but never more than the
+templates themselves reach among other words. A family counts only if its
+template confirms it: a sentence of a template whose five-word shingles are in
+the window to ``CONFIRM`` or more. So windows that cannot be confirmed, as no
+anchor word of a template is in them, are not classified.
 
 DataFrame functions and Spark's own feature and regression stages only.
 
@@ -34,6 +37,12 @@ FALSE_RATE = 0.001
 CONFIRM = 0.8
 MIXED = 20
 SHINGLE = 5
+WINDOW = 64
+STEP = 32
+SPLIT = r"\r?\n"
+# Some anchor is in every text that a template can confirm (see may_grant).
+ANCHORS = ["licen", "permission", "redistribut", "copyright", "compliance", "software", "granted", "binary", "permitted"]
+SHORT_ANCHOR = r"cc(?![a-z])"
 
 # Notices and sentences of public licences (fixed values).
 TEMPLATES = {
@@ -107,16 +116,32 @@ def _grams(words: Column, n: int) -> Column:
                                          lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _features(df: DataFrame) -> DataFrame:
-    terms = df.withColumn("words", words_of(F.col("line")))
-    terms = terms.withColumn("terms", F.concat("words", F.transform(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 1 << 30).alias("b")),
-                                                                     lambda p: F.concat_ws(" ", p["a"], F.coalesce(p["b"], F.lit("$"))))))
-    return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features").transform(terms).drop("terms")
+def _terms(words: Column) -> Column:
+    return F.concat(words, _grams(words, 2))
+
+
+def may_grant(text: Column) -> Column:
+    """False only where no template can be confirmed: each has one of the anchors in more than 1 - ``CONFIRM`` of its shingles."""
+    low = F.lower(text)
+    found = F.rlike(low, F.lit(SHORT_ANCHOR))
+    for a in ANCHORS:
+        found = found | F.contains(low, F.lit(a))
+    return found
+
+
+def windows(lines: DataFrame) -> DataFrame:
+    """``lines`` with words in place of line: overlapping runs of ``WINDOW`` words that cover each whole line.
+
+    Any ``STEP`` + 1 words in a row lie in one window, so every template does."""
+    words = F.col("words")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - F.lit(WINDOW - STEP)), F.lit(STEP))
+    spelt = lines.withColumn("words", words_of(F.col("line"))).drop("line").where(F.size(words) > 0)
+    return spelt.withColumn("words", F.explode(F.transform(starts, lambda i: F.slice(words, i, WINDOW))))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, line): the non-blank lines of every text."""
-    rows = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("tag"), F.explode(F.split("text", r"\r?\n")).alias("line"))
+    rows = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("tag"), F.explode(F.split("text", SPLIT)).alias("line"))
     return rows.where(F.trim("line") != "")
 
 
@@ -129,18 +154,21 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def _examples(spark: SparkSession, background: DataFrame) -> DataFrame:
-    """Labelled paragraphs: templates alone and among ``MIXED`` snippets of the corpus; background as unknown."""
-    label = {n: float(i + 1) for i, n in enumerate(TEMPLATES)}
-    snippets = [r[0] for r in background.select(F.substring("line", 1, 60)).limit(MIXED).collect()]
-    told = [(label[f], around.format(t)) for f, ts in TEMPLATES.items() for t in ts
-            for around in ("{}", *(p for s in snippets for p in (s.replace("{", "").replace("}", "") + " {}",)))]
-    plain = [(0.0, t) for t in BACKGROUND]
-    return (spark.createDataFrame(told + plain, "label double, line string")
-            .unionByName(background.select(F.lit(0.0).alias("label"), "line")))
+    """label, words: templates alone and before, after and amid ``MIXED`` windows of the corpus; background as unknown."""
+    label = F.create_map(*[F.lit(x) for i, n in enumerate(TEMPLATES) for x in (n, float(i + 1))])
+    told = templates(spark).select(label[F.col("family")].alias("label"), words_of(F.col("line")).alias("t"))
+    around = background.select(F.col("words").alias("w")).limit(MIXED)
+    rest = F.lit(WINDOW) - F.size("t")
+    amid = [F.concat("t", F.slice("w", F.lit(1), rest)), F.concat(F.slice("w", F.lit(1), rest), "t"),
+            F.concat(F.slice("w", F.lit(1), F.floor(rest / 2).cast("int")), "t", F.slice("w", F.floor(rest / 2).cast("int") + 1, F.floor(rest / 2).cast("int")))]
+    mixed = told.crossJoin(F.broadcast(around)).select("label", F.explode(F.array(*amid)).alias("words"))
+    plain = spark.createDataFrame([(0.0, t) for t in BACKGROUND], "label double, line string").select("label", words_of(F.col("line")).alias("words"))
+    return (told.select("label", F.col("t").alias("words")).unionByName(mixed).unionByName(plain)
+            .unionByName(background.select(F.lit(0.0).alias("label"), "words")))
 
 
 class Classifier:
-    """The fitted regression and the probability a family must exceed."""
+    """The fitted regression and the odds a family must exceed."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
         spark = docs.sparkSession
@@ -148,30 +176,43 @@ class Classifier:
         n = lines.count()
         part = min(1 << 30, -(-2 * sample * (1 << 30) // max(1, n)))
         h = F.pmod(F.xxhash64("line"), F.lit(1 << 30))
-        # a background line resembles no template: it shares no five-word shingle with one
-        known = templates(spark).select(F.explode("shingles").alias("shingle")).distinct()
-        drawn = lines.where(h < part).select("line", (h % 2).alias("half")).distinct()
-        spelt = drawn.withColumn("words", words_of(F.col("line")))
-        alike = spelt.select("line", F.explode(_grams(F.col("words"), SHINGLE)).alias("shingle")).join(F.broadcast(known), "shingle").select("line").distinct()
-        background = keep(drawn.join(alike, "line", "left_anti"), "licenses-background")
-        examples = keep(_features(_examples(spark, background.where("half = 0").select("line"))).drop("words").coalesce(4), "licenses-examples")
+        known = templates(spark)
+        # features are the words and word pairs of the templates, so other words around a notice don't weigh
+        self.vocabulary = sorted({t for r in known.select(_terms(words_of(F.col("line"))).alias("terms")).collect() for t in r["terms"]})
+        # a background window resembles no template: it shares no five-word shingle with one
+        shingles = sorted({s for r in known.select("shingles").collect() for s in r["shingles"]})
+        drawn = windows(lines.where(h < part).select("line")).distinct()
+        drawn = drawn.where(~F.arrays_overlap(_grams(F.col("words"), SHINGLE), F.lit(shingles)))
+        drawn = drawn.withColumn("h", F.xxhash64("words")).orderBy("h").limit(2 * sample)
+        background = keep(drawn.select("words", (F.pmod("h", F.lit(2))).alias("half")), "licenses-background")
+        examples = keep(self._features(_examples(spark, background.where("half = 0").select("words"))).drop("words").coalesce(4), "licenses-examples")
         self.model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(examples)
-        unseen = self._family(_features(background.where("half = 1").select("line")))
-        worst = unseen.agg(F.percentile("p", 1 - FALSE_RATE)).first()[0]
-        self.threshold = max(0.5, worst or 0.0)
-
-    def _family(self, featured: DataFrame) -> DataFrame:
+        unseen = self._odds(self._features(background.where("half = 1").select("words")))
+        worst = unseen.agg(F.percentile(F.array_max("odds"), 1 - FALSE_RATE)).first()[0] or 0.0
+        own = F.element_at("odds", F.col("label").cast("int"))
+        least = self._odds(examples.where("label > 0")).agg(F.min(own)).first()[0]
+        # never above what the templates themselves reach among other words
+        self.threshold = min(max(0.5, worst), least)
+
+    def _features(self, df: DataFrame) -> DataFrame:
+        terms = df.withColumn("terms", F.array_intersect(_terms(F.col("words")), F.lit(self.vocabulary)))
+        return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features").transform(terms).drop("terms")
+
+    def _odds(self, featured: DataFrame) -> DataFrame:
+        """With odds: per family, its probability when only it and unknown are possible."""
         scored = self.model.transform(featured).withColumn("ps", vector_to_array("probability"))
-        known = F.slice("ps", 2, 1 << 30)
-        p = F.array_max(known)
-        names = F.array(*[F.lit(n) for n in TEMPLATES])
-        return scored.withColumn("p", p).withColumn("family", names[F.array_position(known, p).cast("int") - 1]).drop(
+        none = F.col("ps")[0]
+        return scored.withColumn("odds", F.transform(F.slice("ps", 2, len(TEMPLATES)), lambda p: p / (p + none))).drop(
             "features", "rawPrediction", "probability", "prediction", "ps")
 
     def predict(self, lines: DataFrame) -> DataFrame:
-        """``lines`` with family and p, where the probability passes and a template confirms."""
-        likely = self._family(_features(lines)).where(F.col("p") >= self.threshold)
-        likely = likely.withColumn("words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+        """The columns of ``lines`` but for line, with family and p: families whose odds pass and a template confirms, in any window."""
+        text = F.array_join("words", " ")
+        parts = windows(lines.where(may_grant(F.col("line")))).where(may_grant(text))
+        names = F.lit(list(TEMPLATES))
+        likely = self._odds(self._features(parts)).withColumn("words", F.concat(F.lit(" "), text, F.lit(" ")))
+        likely = likely.select("*", F.explode(F.arrays_zip(names.alias("family"), F.col("odds").alias("p"))).alias("of")).select(
+            "*", "of.family", "of.p").drop("of", "odds").where(F.col("p") >= self.threshold)
         inside = F.filter("shingles", lambda s: F.contains(F.col("words"), F.concat(F.lit(" "), s, F.lit(" "))))
         met = likely.join(F.broadcast(templates(lines.sparkSession).select("family", "shingles")), "family")
         share = F.size(inside) / F.size("shingles")
@@ -179,14 +220,14 @@ class Classifier:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: id, families (sorted, comma-joined; empty if none), n_paragraphs, n_licensed, score (largest probability, else 0)."""
+    """Per input row: id, families (sorted, comma-joined; empty if none), n_paragraphs, n_licensed, score (largest odds, else 0)."""
     model = Classifier(docs, id_col, text_col)
     lines = paragraphs(docs, id_col, text_col)
-    found = (model.predict(lines.select("id", "tag", "line")).groupBy("id", "tag")
-             .agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct("line").alias("n_licensed"),
+    found = (model.predict(lines.select("id", "tag", F.xxhash64("line").alias("paragraph"), "line")).groupBy("id", "tag")
+             .agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct("paragraph").alias("n_licensed"),
                   F.max("p").alias("score")))
     found = keep(found, "licenses")
-    split = F.split("text", r"\r?\n")
+    split = F.split("text", SPLIT)
     rows = only(docs, id=id_col, text=text_col).select(
         "id", F.xxhash64("text").alias("tag"), F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_paragraphs"))
     same = rows["id"].eqNullSafe(found["id"]) & (rows["tag"] == found["tag"])

@@ -210,6 +210,33 @@ def test_licences_found_and_nothing_else(spark):
     assert all(r.families == ",".join(sorted(f for f, s in says.items() if s in r.text)) for r in got)
 
 
+OTHER = "rain river stone market garden winter bread evening letter window".split()
+
+
+def among(text, n, rng):
+    """``text`` between ``n`` other words, on one line."""
+    k = rng.randint(0, n)
+    words = [rng.choice(OTHER) + str(rng.randint(1, 99)) * rng.randint(0, 1) for _ in range(n)]
+    return " ".join(words[:k] + [text] + words[k:])
+
+
+@pytest.mark.parametrize("n", [200, 1000, 20_000])
+def test_templates_found_in_long_paragraphs(spark, n):
+    rng = random.Random(n)
+    told = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [among(t, n, rng) for _, t in told] + [among("", n, rng) for _ in range(20)]
+    got = {r.doc_id: r.families for r in licenses.scan(docs(spark, texts)).collect()}
+    assert not [(f, t) for i, (f, t) in enumerate(told) if f not in got[i].split(",")]
+    assert not any(got[i] for i in range(len(told), len(texts)))
+
+
+def test_every_template_has_anchors_and_fits_a_window(spark):
+    held = F.filter("shingles", lambda s: licenses.may_grant(s))
+    short = licenses.templates(spark).where((F.size("shingles") - F.size(held)) / F.size("shingles") >= licenses.CONFIRM)
+    assert not short.collect()
+    assert not licenses.templates(spark).where(F.size(licenses.words_of(F.col("line"))) > licenses.STEP + 1).collect()
+
+
 def test_plan_uses_each_piece_once_and_fills_exactly():
     rng = random.Random(2)
     for _ in range(50):
