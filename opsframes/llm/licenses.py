@@ -1,6 +1,7 @@
 """License scans by a trained paragraph classifier.
 
-Every paragraph (line) of every document is cut into overlapping windows of
+Every paragraph of every document (lines up to a blank one, or one of comment
+marks alone; joined without their comment marks) is cut into overlapping windows of
 ``WINDOW`` words that cover it whole. A window becomes sparse counts of hashed
 word 1-grams and 2-grams, of those that the templates have. A multinomial
 logistic regression gives each licence family's odds against ``unknown``. It
@@ -39,7 +40,10 @@ MIXED = 20
 SHINGLE = 5
 WINDOW = 64
 STEP = 32
-SPLIT = r"\r?\n"
+# Paragraphs end at blank lines, or lines of marks alone as in comments.
+SPLIT = r"\n[^\p{L}\p{N}\n]*+\n[^\p{L}\p{N}]*+"
+# Words that mark a comment line; other markers are no letters and fall out of the words.
+MARKERS = r"(?m)^[ \t]*(?:rem|dnl)\b"
 # Some anchor is in every text that a template can confirm (see may_grant).
 ANCHORS = ["licen", "permission", "redistribut", "copyright", "compliance", "software", "granted", "binary", "permitted"]
 SHORT_ANCHOR = r"cc(?![a-z])"
@@ -105,7 +109,7 @@ BACKGROUND = [
 
 
 def words_of(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), MARKERS, ""), r"[^\p{L}\p{N}]+", " "))
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -140,7 +144,7 @@ def windows(lines: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tag, line): the non-blank lines of every text."""
+    """(id, tag, line): the non-blank paragraphs of every text, each as one line or more."""
     rows = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("tag"), F.explode(F.split("text", SPLIT)).alias("line"))
     return rows.where(F.trim("line") != "")
 

@@ -230,6 +230,55 @@ def test_templates_found_in_long_paragraphs(spark, n):
     assert not any(got[i] for i in range(len(told), len(texts)))
 
 
+HEADERS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL,": """You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL": """You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software""",
+    "AGPL": """You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:""",
+    "BSD,": """Use of this source code is governed by a BSD-style
+license that can be found in the LICENSE file.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "CC-BY": """This work is licensed under a Creative Commons
+Attribution 4.0 International License.""",
+    "CC-BY-SA": """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License.""",
+    "CC-BY-NC": """This work is licensed under a Creative Commons
+Attribution-NonCommercial 4.0 International License.""",
+    "CC0": """To the extent possible under law, the author has waived all copyright
+and related or neighboring rights to this work.""",
+}
+
+
+def test_wrapped_headers_found_behind_comment_marks(spark):
+    marks = [("", "\n", ""), ("# ", "\n# ", "\n"), ("/*\n * ", "\r\n * ", "\n */"), ("<!--\n", "\n", "\n-->"), ("REM ", "\nREM ", ""), ("dnl ", "\ndnl ", "")]
+    told = [(f.rstrip(","), begin + t.replace("\n", mark) + end) for f, t in HEADERS.items() for begin, mark, end in marks]
+    texts = ["A title\n\n" + t + "\n\nint main() {}\n" for _, t in told]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert not [(f, t) for i, (f, t) in enumerate(told) if got[i].families != f]
+    assert all(got[i].n_licensed == 1 and got[i].n_paragraphs == 3 for i, t in enumerate(texts) if "/*" not in t and "<!" not in t)
+
+
 def test_every_template_has_anchors_and_fits_a_window(spark):
     held = F.filter("shingles", lambda s: licenses.may_grant(s))
     short = licenses.templates(spark).where((F.size("shingles") - F.size(held)) / F.size("shingles") >= licenses.CONFIRM)
