@@ -45,62 +45,127 @@ SPLIT = r"\n[^\p{L}\p{N}\n]*+\n[^\p{L}\p{N}]*+"
 # Words that mark a comment line; other markers are no letters and fall out of the words.
 MARKERS = r"(?m)^[ \t]*(?:rem|dnl)\b"
 # Some anchor is in every text that a template can confirm (see may_grant).
-ANCHORS = ["licen", "permission", "redistribut", "copyright", "compliance", "software", "granted", "binary", "permitted"]
-SHORT_ANCHOR = r"cc(?![a-z])"
+ANCHORS = ["licen", "permission", "redistribut", "copyright", "compliance", "software", "granted", "binary", "permitted", "gpl", "creative",
+           "mozilla"]
+SHORT_ANCHOR = r"cc(?![a-z])|(?<![a-z])mpl(?![a-uw-z])"
 
-# Notices and sentences of public licences (fixed values).
+# Notices, sentences of licence bodies and SPDX lines of public licences (fixed values). Verbs and version numbers are free
+# slots (see SLOTS); each is short enough that another family's name in it, or another version of Apache or MPL, fails CONFIRM.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache 2.0 license.",
+        "Apache License, Version 2.0, January 2004",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license",
+        "SPDX-License-Identifier: Apache-2.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
+        "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
+        "SPDX-License-Identifier: Apache-2.0 OR MIT",
     ],
     "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "Licensed under the GNU General Public License",
+        "Licensed under the GNU GPL",
+        "Licensed under the GPL v3",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+        "SPDX-License-Identifier: GPL-3.0",
     ],
     "LGPL": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License",
+        "Licensed under the GNU LGPL",
+        "Licensed under the LGPL v3",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: LGPL-2.1",
     ],
     "AGPL": [
-        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License",
+        "Licensed under the GNU AGPL",
+        "Licensed under the AGPL v3",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL-3.0",
     ],
     "BSD": [
         "Released under the BSD 3-Clause License.",
+        "Released under the 3-Clause BSD License.",
+        "Released under the BSD License.",
+        "Released under the New BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License 2.0.",
+        "Licensed under the MPL 2.0.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under a Creative Commons Attribution 4.0",
+        "creativecommons.org/licenses/by/4.0",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0",
+        "Licensed under a Creative Commons Attribution-Share Alike 4.0",
+        "creativecommons.org/licenses/by-sa/4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under a Creative Commons Attribution-NonCommercial 4.0",
+        "Licensed under a Creative Commons Attribution-Non-Commercial 4.0",
+        "creativecommons.org/licenses/by-nc/4.0",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "CC0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "CC0 1.0 Universal",
+        "Licensed under the CC0 license.",
+        "creativecommons.org/publicdomain/zero/1.0",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
 }
+# What is read alike, over lower-case words with single blanks: spellings, verbs of release, articles after "under", and
+# version numbers as "#". Version 2 of Apache and MPL is "two", as those families name it.
+SLOTS = [
+    (r"\blicence", "license"),
+    (r"\b(?:licenced|released|distributed|available|published|provided|offered|shared|covered) under\b", "licensed under"),
+    (r"\bunder (?:the terms (?:and conditions )?of )?(?:(?:the|an?) )?", "under the "),
+    (r"\b([al]?gpl|mpl)v?(\d)", "$1 $2"),
+    (r"\b((?:apache|mozilla|mpl)(?: org| software| public| licenses?| mpl)*)(?: version| v)? v?2(?: 0)?\b(?! \d{1,2}\b)", "$1 two"),
+    (r"\b(?:(?:version|v) )?v?\d+(?: \d+)*\b", "#"),
+]
+# Windows that speak of one of the families, or say "licensed under", are no examples of unknown.
+ALIKE = (r"\b(?:licensed under|spdx license identifier|mit license|bsd|[al]?gpl|gnu|apache license|mozilla public|mpl|creative ?commons|cc by|cc0|"
+         r"isc license|public domain)\b")
 # Sentences that speak of licences, permission or copyright without granting any (background).
 BACKGROUND = [
     "All rights reserved.", "Copyright 2020 the authors.", "He got his driving license last year.", "The public library is open.",
@@ -110,6 +175,8 @@ BACKGROUND = [
 
 def words_of(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), MARKERS, ""), r"[^\p{L}\p{N}]+", " "))
+    for found, slot in SLOTS:
+        plain = F.regexp_replace(plain, found, slot)
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -120,6 +187,10 @@ def _grams(words: Column, n: int) -> Column:
                                          lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _alike(words: Column) -> Column:
+    return F.rlike(F.array_join(words, " "), F.lit(ALIKE))
+
+
 def _terms(words: Column) -> Column:
     return F.concat(words, _grams(words, 2))
 
@@ -183,10 +254,10 @@ class Classifier:
         known = templates(spark)
         # features are the words and word pairs of the templates, so other words around a notice don't weigh
         self.vocabulary = sorted({t for r in known.select(_terms(words_of(F.col("line"))).alias("terms")).collect() for t in r["terms"]})
-        # a background window resembles no template: it shares no five-word shingle with one
+        # a background window resembles no template: it shares no five-word shingle with one, and names no family
         shingles = sorted({s for r in known.select("shingles").collect() for s in r["shingles"]})
         drawn = windows(lines.where(h < part).select("line")).distinct()
-        drawn = drawn.where(~F.arrays_overlap(_grams(F.col("words"), SHINGLE), F.lit(shingles)))
+        drawn = drawn.where(~F.arrays_overlap(_grams(F.col("words"), SHINGLE), F.lit(shingles)) & ~_alike(F.col("words")))
         drawn = drawn.withColumn("h", F.xxhash64("words")).orderBy("h").limit(2 * sample)
         background = keep(drawn.select("words", (F.pmod("h", F.lit(2))).alias("half")), "licenses-background")
         examples = keep(self._features(_examples(spark, background.where("half = 0").select("words"))).drop("words").coalesce(4), "licenses-examples")
