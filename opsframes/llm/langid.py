@@ -35,6 +35,7 @@ BLOCK = 512
 TEXTS = 64
 PIECE = 2_000
 CHARACTERS = 24_000
+DENSE = 1 << 24
 UNKNOWN = "und"
 
 
@@ -48,7 +49,8 @@ class Letters:
     def __init__(self, letters: list[str]):
         self.size = len(letters) + 2
         self.symbol = {ord(c): i + 1 for i, c in enumerate(letters)}
-        self.table = np.zeros(0x3000, dtype=np.uint8)
+        self.kind = np.uint8 if self.size <= 256 else np.int32
+        self.table = np.zeros(0x10000, dtype=self.kind)
         for point in range(len(self.table)):
             self.table[point] = self._of(point)
         self.far: dict[int, int] = {}
@@ -71,8 +73,25 @@ class Letters:
         return out[(out > 0) | np.concatenate(([True], out[:-1] > 0))] if len(out) else out
 
 
-def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Transitions of the suffix automaton, one row per state, -1 for none; state 0 is the start."""
+class Sparse:
+    """Transitions as sorted keys state * size + symbol, with the states they lead to."""
+
+    def __init__(self, following: list[dict[int, int]], size: int):
+        keys = np.array([state * size + c for state, steps in enumerate(following) for c in steps], dtype=np.int64)
+        to = np.array([t for steps in following for t in steps.values()], dtype=np.int32)
+        order = np.argsort(keys)
+        self.keys, self.to, self.size = keys[order], to[order], size
+
+    def take(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.to[at], -1).astype(np.int32)
+
+
+def automaton(symbols: np.ndarray, size: int) -> np.ndarray | Sparse:
+    """Transitions of the suffix automaton; state 0 is the start. One row per state, -1 for none, or sparse
+    where such a table has more than ``DENSE`` cells."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -98,6 +117,8 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    if len(following) * size > DENSE:
+        return Sparse(following, size)
     out = np.full((len(following), size), -1, dtype=np.int32)
     for state, steps in enumerate(following):
         for c, to in steps.items():
@@ -105,17 +126,18 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def phrases(blocks: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def phrases(blocks: np.ndarray, lengths: np.ndarray, steps: np.ndarray | Sparse) -> np.ndarray:
     """Phrases that each block (a column of symbols) needs; ``lengths`` descending."""
     state = np.zeros(blocks.shape[1], dtype=np.int32)
     count = np.ones(blocks.shape[1], dtype=np.int64)
-    size = steps.shape[1]
-    flat = steps.ravel()
-    start = np.maximum(steps[0], 0)  # a symbol unknown to the text is a phrase of its own
+    sparse = isinstance(steps, Sparse)
+    size = steps.size if sparse else steps.shape[1]
+    flat = steps if sparse else steps.ravel()
+    start = np.maximum(flat.take(np.arange(size)), 0)  # a symbol unknown to the text is a phrase of its own
     width = np.searchsorted(-lengths, -np.arange(1, len(blocks) + 1), side="right")
     for row, w in zip(blocks, width):
         c = row[:w]
-        to = flat.take(state[:w] * size + c)
+        to = flat.take((state[:w].astype(np.int64) if sparse else state[:w]) * size + c)
         broken = np.flatnonzero(to < 0)
         if len(broken):
             fresh = state[broken] == 0
@@ -131,13 +153,13 @@ class Languages:
 
     def __init__(self, samples: dict[str, list[str]], block: int = BLOCK):
         seen = {c for texts in samples.values() for t in texts for c in t.lower() if unicodedata.category(c).startswith("L")}
-        self.letters = Letters(sorted(seen)[:200])
+        self.letters = Letters(sorted(seen))
         self.block = block
         self.names = sorted(samples)
         self.steps = []
         for name in self.names:
             parts = [self.letters.read(t)[:PIECE] for t in samples[name]]
-            joined = np.concatenate([np.append(p, np.uint8(0)) for p in parts] or [np.zeros(1, np.uint8)])[:CHARACTERS]
+            joined = np.concatenate([np.append(p, p.dtype.type(0)) for p in parts] or [np.zeros(1, self.letters.kind)])[:CHARACTERS]
             self.steps.append(automaton(joined, self.letters.size))
 
     def tell(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -152,7 +174,7 @@ class Languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        blocks = np.zeros((int(lengths.max()), len(parts)), dtype=np.uint8)
+        blocks = np.zeros((int(lengths.max()), len(parts)), dtype=self.letters.kind)
         for column, k in enumerate(order):
             blocks[:lengths[k], column] = parts[k]
         owner = np.array(owner)[order]

@@ -203,6 +203,28 @@ def test_phrases_equal_greedy_parsing():
         assert abs(int(got) - n) <= s.count("?") + 1
 
 
+def test_scripts_of_many_letters_are_told_apart(monkeypatch):
+    rng = random.Random(4)
+
+    def pieces(words, k):
+        return ["".join(rng.choice(words) + (" " if rng.random() < 0.2 else "") for _ in range(k)) for _ in range(12)]
+
+    # the same rate of blanks, so that only the letters tell; Cyrillic, Latin, Greek and Arabic fill the low code points
+    low = {"ru": (0x400, 96), "en": (0x61, 26), "de": (0xC0, 190), "el": (0x3B1, 24), "ar": (0x621, 26)}
+    high = {"zh": (0x4E00, 900), "ja": (0x6E00, 900), "ko": (0xAC00, 900)}
+    words = {n: ["".join(chr(a + rng.randrange(k)) for _ in range(3)) for _ in range(400)] for n, (a, k) in (low | high).items()}
+    model = langid.Languages({n: pieces(w, 400) for n, w in words.items()})
+    fresh = [(n, t) for n, w in words.items() for t in pieces(w, 40)]
+    assert model.tell([t for _, t in fresh])[0] == [n for n, _ in fresh]
+    assert len(set(model.letters.symbol.values())) == model.letters.size - 2 > 1_500
+    again = langid.Languages({"x": ["abc abd abe"], "y": ["bca bda eba"]})
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.Languages({"x": ["abc abd abe"], "y": ["bca bda eba"]})
+    assert all(isinstance(s, langid.Sparse) for s in sparse.steps) and not any(isinstance(s, langid.Sparse) for s in again.steps)
+    texts = ["".join(rng.choice("abcdez ") for _ in range(60)) for _ in range(50)]
+    assert sparse.tell(texts) == again.tell(texts)
+
+
 def test_licences_found_and_nothing_else(spark):
     table = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     got = licenses.scan(table).join(table, "doc_id").collect()
