@@ -6,10 +6,10 @@ marks alone; joined without their comment marks) is cut into overlapping windows
 word 1-grams and 2-grams, of those that the templates have. A multinomial
 logistic regression gives each licence family's odds against ``unknown``. It
 learns from the written templates below, alone and set between other words,
-and from a bounded sample of the corpus' own windows as ``unknown``. A second
-sample, which the fit does not see, calibrates the unknown class: a family
-needs odds above all but ``FALSE_RATE`` of those, but never more than the
-templates themselves reach among other words. A family counts only if its
+and from a bounded sample of the corpus' own windows as ``unknown``. All
+windows that are classified and don't resemble a template calibrate the unknown
+class: a family needs odds above all but ``FALSE_RATE`` of those, but never
+more than the templates themselves reach among other words. A family counts only if its
 template confirms it: a sentence of a template whose five-word shingles are in
 the window to ``CONFIRM`` or more. So windows that cannot be confirmed, as no
 anchor word of a template is in them, are not classified.
@@ -243,31 +243,28 @@ def _examples(spark: SparkSession, background: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """The fitted regression and the odds a family must exceed."""
+    """The fitted regression; it is fitted on a sample, its threshold comes from all windows it classifies."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
         spark = docs.sparkSession
-        lines = paragraphs(docs, id_col, text_col)
-        n = lines.count()
+        lines = paragraphs(docs, id_col, text_col).select("line", F.xxhash64("line").alias("h"))
+        n = lines.agg(F.approx_count_distinct("h")).first()[0]
         part = min(1 << 30, -(-2 * sample * (1 << 30) // max(1, n)))
-        h = F.pmod(F.xxhash64("line"), F.lit(1 << 30))
         known = templates(spark)
         # features are the words and word pairs of the templates, so other words around a notice don't weigh
         self.vocabulary = sorted({t for r in known.select(_terms(words_of(F.col("line"))).alias("terms")).collect() for t in r["terms"]})
-        # a background window resembles no template: it shares no five-word shingle with one, and names no family
-        shingles = sorted({s for r in known.select("shingles").collect() for s in r["shingles"]})
-        drawn = windows(lines.where(h < part).select("line")).distinct()
-        drawn = drawn.where(~F.arrays_overlap(_grams(F.col("words"), SHINGLE), F.lit(shingles)) & ~_alike(F.col("words")))
-        drawn = drawn.withColumn("h", F.xxhash64("words")).orderBy("h").limit(2 * sample)
-        background = keep(drawn.select("words", (F.pmod("h", F.lit(2))).alias("half")), "licenses-background")
-        examples = keep(self._features(_examples(spark, background.where("half = 0").select("words"))).drop("words").coalesce(4), "licenses-examples")
+        self.shingles = sorted({s for r in known.select("shingles").collect() for s in r["shingles"]})
+        drawn = windows(lines.where(F.pmod("h", F.lit(1 << 30)) < part).select("line")).distinct()
+        drawn = drawn.where(~self._alike()).withColumn("h", F.xxhash64("words")).orderBy("h").limit(sample)
+        background = keep(drawn.select("words"), "licenses-background")
+        examples = keep(self._features(_examples(spark, background)).drop("words").coalesce(4), "licenses-examples")
         self.model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(examples)
-        unseen = self._odds(self._features(background.where("half = 1").select("words")))
-        worst = unseen.agg(F.percentile(F.array_max("odds"), 1 - FALSE_RATE)).first()[0] or 0.0
         own = F.element_at("odds", F.col("label").cast("int"))
-        least = self._odds(examples.where("label > 0")).agg(F.min(own)).first()[0]
-        # never above what the templates themselves reach among other words
-        self.threshold = min(max(0.5, worst), least)
+        self.least = self._odds(examples.where("label > 0")).agg(F.min(own)).first()[0]
+
+    def _alike(self) -> Column:
+        """Windows that are no background: they share a five-word shingle with a template, or name a family."""
+        return F.arrays_overlap(_grams(F.col("words"), SHINGLE), F.lit(self.shingles)) | _alike(F.col("words"))
 
     def _features(self, df: DataFrame) -> DataFrame:
         terms = df.withColumn("terms", F.array_intersect(_terms(F.col("words")), F.lit(self.vocabulary)))
@@ -280,25 +277,37 @@ class Classifier:
         return scored.withColumn("odds", F.transform(F.slice("ps", 2, len(TEMPLATES)), lambda p: p / (p + none))).drop(
             "features", "rawPrediction", "probability", "prediction", "ps")
 
-    def predict(self, lines: DataFrame) -> DataFrame:
-        """The columns of ``lines`` but for line, with family and p: families whose odds pass and a template confirms, in any window."""
+    def score(self, lines: DataFrame) -> DataFrame:
+        """Per window that may be confirmed: the columns of ``lines`` but for line, words (as text), alike, odds and the best of them."""
         text = F.array_join("words", " ")
         parts = windows(lines.where(may_grant(F.col("line")))).where(may_grant(text))
+        scored = self._odds(self._features(parts.withColumn("alike", self._alike())))
+        return scored.withColumn("words", text).withColumn("best", F.array_max("odds"))
+
+    def predict(self, scored: DataFrame) -> DataFrame:
+        """The columns of the lines scored, with family and p: families whose odds pass and a template confirms, in any window."""
+        likely = scored.withColumn("words", F.concat(F.lit(" "), "words", F.lit(" "))).where(F.col("best") >= (least := self.threshold(scored)))
         names = F.lit(list(TEMPLATES))
-        likely = self._odds(self._features(parts)).withColumn("words", F.concat(F.lit(" "), text, F.lit(" ")))
         likely = likely.select("*", F.explode(F.arrays_zip(names.alias("family"), F.col("odds").alias("p"))).alias("of")).select(
-            "*", "of.family", "of.p").drop("of", "odds").where(F.col("p") >= self.threshold)
+            "*", "of.family", "of.p").drop("of", "odds", "best", "alike").where(F.col("p") >= least)
         inside = F.filter("shingles", lambda s: F.contains(F.col("words"), F.concat(F.lit(" "), s, F.lit(" "))))
-        met = likely.join(F.broadcast(templates(lines.sparkSession).select("family", "shingles")), "family")
+        met = likely.join(F.broadcast(templates(scored.sparkSession).select("family", "shingles")), "family")
         share = F.size(inside) / F.size("shingles")
         return met.where(share >= CONFIRM).drop("shingles", "words").distinct()
 
+    def threshold(self, scored: DataFrame) -> float:
+        """Odds above all but ``FALSE_RATE`` of the distinct background windows; never above what the templates reach among other words."""
+        unseen = scored.where(~F.col("alike")).groupBy(F.xxhash64("words")).agg(F.max("best").alias("best"))
+        worst = unseen.agg(F.percentile_approx("best", F.lit(1 - FALSE_RATE), F.lit(100_000))).first()[0]
+        return min(max(0.5, worst or 0.0), self.least)
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: id, families (sorted, comma-joined; empty if none), n_paragraphs, n_licensed, score (largest odds, else 0)."""
     model = Classifier(docs, id_col, text_col)
     lines = paragraphs(docs, id_col, text_col)
-    found = (model.predict(lines.select("id", "tag", F.xxhash64("line").alias("paragraph"), "line")).groupBy("id", "tag")
+    scored = keep(model.score(lines.select("id", "tag", F.xxhash64("line").alias("paragraph"), "line")), "licenses-scored")
+    found = (model.predict(scored).groupBy("id", "tag")
              .agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct("paragraph").alias("n_licensed"),
                   F.max("p").alias("score")))
     found = keep(found, "licenses")

@@ -329,6 +329,19 @@ def test_licences_in_other_words(spark):
     assert not [(f, t, got[i]) for i, (f, t) in enumerate(told) if got[i] != f]
 
 
+def test_licence_threshold_reads_all_windows_and_the_draw_counts_distinct_lines(spark):
+    rng = random.Random(8)
+    texts = ["This software was granted, day " + " ".join(rng.choice(OTHER) for _ in range(12)) for _ in range(300)]
+    table = docs(spark, texts + ["one boilerplate line"] * 3_000)
+    model = licenses.Classifier(table, sample=100)
+    scored = model.score(licenses.paragraphs(table)).cache()
+    assert scored.count() == 300 and not scored.where("alike").count()
+    worst = sorted(r.best for r in scored.select("best").collect())
+    assert model.threshold(scored.withColumn("best", F.col("best") * 0)) == min(0.5, model.least)
+    high = scored.withColumn("best", F.when(F.col("best") >= worst[-1], F.lit(0.75)).otherwise(F.lit(0.1)))
+    assert model.threshold(high) == min(0.75, model.least)
+
+
 def test_every_template_has_anchors_and_fits_a_window(spark):
     held = F.filter("shingles", lambda s: licenses.may_grant(F.regexp_replace(s, "licensed under", "published under")))
     short = licenses.templates(spark).where((F.size("shingles") - F.size(held)) / F.size("shingles") >= licenses.CONFIRM)
