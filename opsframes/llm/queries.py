@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframes.llm import (ann, decontaminate, hardneg, langid, licenses, packing, resample, sharding, simhash, substrings, toxicity, warc)
+from opsframes.llm import (ann, decontaminate, hardneg, langid, licenses, packing, pfp, resample, sharding, simhash, substrings, toxicity, warc)
 from opsframes.llm._common import table
 
 #: The tokenizer file's name among the installed public vocabularies.
@@ -66,6 +66,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.removal_report(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash, op2_nearest, op3_toxicity, op4_substrings, op5_licenses, op6_decontamination, op7_language, op8_packing, op9_warc,
-    op10_sharding, op11_hard_negatives, op13_resample)}
+    op10_sharding, op11_hard_negatives, op12_repeated_bytes, op13_resample)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _WORDS6 = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
