@@ -57,7 +57,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``keep`` gave and nothing reads any more, as all that used them has been written."""
+    for df in frames:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def delete_at_exit(spark: SparkSession, path: str) -> None:

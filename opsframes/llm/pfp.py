@@ -15,7 +15,8 @@ whatever the text.
    of least digest (fewer phrases: all of them). Equal windows have equal
    anchors, so only windows whose anchor occurs twice in the corpus go on.
    Neighbouring windows with one anchor form a block. Windows without a trigger
-   always go on, in blocks of ``BARE`` starts.
+   (short periods) have the least hash inside them as anchor and always go on,
+   in blocks of ``BARE`` starts at most.
 2. Blocks that equal another, byte for byte (128-bit digest), are repeated in
    all their windows. That is the inside of every repeated passage.
 3. What is left, the blocks at the edges of repeated passages and those whose
@@ -23,7 +24,9 @@ whatever the text.
    anchor into chunks. In each chunk the suffix array of the dictionary of
    phrases and that of the parse give the order of all suffixes; neighbours in
    that order with ``width`` bytes in common (compared as bytes) are one class.
-   Classes of all chunks meet by a 128-bit digest of their ``width`` bytes.
+   Chunks end between anchors, so a class is whole but for anchors too frequent
+   for one chunk or cut by a task's edge: their classes meet by a 128-bit digest
+   of their ``width`` bytes.
 4. Starts found merge into maximal runs per text, and copies take their text's result.
 
 Edge cases: a null or empty text has no bytes. Texts under ``width`` bytes keep
@@ -44,7 +47,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframes.llm._common import in_slices, keep, only, utf8
+from opsframes.llm._common import forget, in_slices, keep, only, utf8
 
 WIDTH = 400
 HASHED = 8
@@ -100,12 +103,12 @@ def _run_digests(digests: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def blocks(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor) of the blocks of windows; anchor 0: none, the windows hold no trigger."""
+def blocks(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, anchor, whether the windows hold no trigger) of the blocks of windows."""
     last = len(text) - width
     if last < 0:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty.astype(bool)
     c = triggers(text)
     # a cell: the starts whose windows hold the same contexts, those from a to b
     begin = np.unique(np.concatenate(([0], c + 1, c - (width - CONTEXT))))
@@ -138,15 +141,27 @@ def blocks(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         bare = b[first] < a[first]
     else:
         bare = b < a
-    anchor[bare] = 0
-    if (bare & (end - begin >= BARE)).any():
-        pieces = []
-        for x, y, cut in zip(begin.tolist(), end.tolist(), bare.tolist()):
-            step = BARE if cut else y - x + 1
-            pieces += [(z, min(z + step - 1, y)) for z in range(x, y + 1, step)]
-        anchor = anchor[np.searchsorted(begin, [z for z, _ in pieces], "right") - 1]
-        begin, end = np.array(pieces).T
-    return begin, end, anchor.view(np.int64)
+    if bare.any():
+        pieces = list(zip(begin[~bare].tolist(), end[~bare].tolist(), anchor[~bare].tolist(), bare[~bare].tolist()))
+        for x, y in zip(begin[bare].tolist(), end[bare].tolist()):
+            for z in range(x, y + 1, BARE):
+                pieces += _bare_blocks(text, z, min(z + BARE - 1, y), width)
+        columns = zip(*sorted(pieces))
+        begin, end, anchor, bare = (np.array(x, dtype=k) for x, k in zip(columns, (np.int64, np.int64, np.uint64, bool)))
+    return begin, end, anchor.view(np.int64), bare
+
+
+def _bare_blocks(text: bytes, first: int, last: int, width: int) -> list[tuple[int, int, int, bool]]:
+    """Blocks of starts whose windows hold no trigger: the anchor is the least hash in the window."""
+    low = _hashes(np.frombuffer(text, dtype=np.uint8, count=last - first + width, offset=first))
+    size, reach = width - HASHED + 1, 1
+    while 2 * reach <= size:
+        low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
+    if size > reach:
+        low = np.minimum(low[:reach - size], low[size - reach:])
+    begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    end = np.append(begin[1:], len(low)) - 1
+    return [(first + x, first + y, v * 0x9E3779B97F4A7C15 % (1 << 64), True) for x, y, v in zip(begin.tolist(), end.tolist(), low[begin].tolist())]
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -238,9 +253,11 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             one, two = struct.unpack(">qq", digest[:16])
             t1.append(one)
             t2.append(two)
-            found, n = np.unique(blocks(text, width)[2], return_counts=True)
+            *_, of, bare = blocks(text, width)
+            found, n = np.unique(of, return_counts=True)
             anchors.append(found)
-            twice.append(found[(n > 1) | (found == 0)])
+            # windows of one block can be equal if they hold no trigger
+            twice.append(np.union1d(found[n > 1], of[bare]))
         lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x), pa.int64()))
                  for x in (anchors, twice)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(sha, pa.string()), pa.array(t1, pa.int64()),
@@ -257,7 +274,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         out: list[list] = [[] for _ in names]
         for t1, t2, text, shared in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), utf8(batch.column("text")),
                                         batch.column("shared").to_pylist()):
-            lo, hi, anchor = blocks(text, width)
+            lo, hi, anchor, _ = blocks(text, width)
             for k in np.flatnonzero(np.isin(anchor, np.array(shared, dtype=np.int64))).tolist():
                 b, e = int(lo[k]), int(hi[k])
                 for column, value in zip(out, (t1, t2, b, e, int(anchor[k]), *_longs(xxhash.xxh3_128_intdigest(text[b:e + width])))):
@@ -278,42 +295,64 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         yield from in_slices([whole], "bytes", 8 << 20)
 
 
-def _order_chunk(rows: list[tuple[int, int, int, bytes]], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t1, t2, first start, bytes): each window's class digest, and whether the chunk holds it twice."""
-    texts = [r[3] for r in rows]
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+def _order_chunk(rows: list[tuple[int, int, int, int, bytes]], width: int, split: set[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, t1, t2, first start, bytes) in suffix order.
+
+    Gives the starts of windows that the chunk holds twice, as ranges per text.
+    All windows equal to one have its anchor, so for anchors that the chunk holds
+    whole this is all. For the anchors in ``split`` a row follows for each class:
+    its digest, and its start, which is ``sure`` if the chunk holds the class twice."""
+    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     n = sizes - width + 1
     row = np.repeat(np.arange(len(rows)), n)
     inner = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    order = Order(texts, width)
+    order = Order([r[4] for r in rows], width)
     starts, new = order.classes(begin[row] + inner, width)
     head = np.flatnonzero(new)
     many = np.diff(np.append(head, len(new))) > 1
-    raw, digest = order.raw.tobytes(), np.empty((len(head), 2), dtype=np.int64)
-    for k, s in enumerate(starts[head].tolist()):
-        digest[k] = _longs(xxhash.xxh3_128_intdigest(raw[s:s + width]))
-    of = np.cumsum(new) - 1
-    owner = np.searchsorted(begin, starts, "right") - 1
-    t = np.array([r[:3] for r in rows], dtype=np.int64)
-    pos = (t[owner, 2] + starts - begin[owner]).astype(np.int32)
-    for i in range(0, len(starts), 100_000):
-        j = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[of[j], 0], digest[of[j], 1], t[owner[j], 0], t[owner[j], 1], pos[j], many[of[j]])],
-                                         names=["c1", "c2", "t1", "t2", "pos", "many"])
-
-
-def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    t = np.array([r[1:4] for r in rows], dtype=np.int64)
+
+    def batch(digests, lo, hi, sure):
+        owner = np.searchsorted(begin, lo, "right") - 1
+        first = t[owner, 2] - begin[owner]
+        one, two = (pa.nulls(len(lo), pa.int64()),) * 2 if digests is None else map(pa.array, digests.T)
+        return pa.RecordBatch.from_arrays([one, two, pa.array(t[owner, 0]), pa.array(t[owner, 1]), pa.array((lo + first).astype(np.int32)),
+                                           pa.array((hi + first).astype(np.int32)), pa.array(sure)],
+                                          names=["c1", "c2", "t1", "t2", "lo", "hi", "sure"])
+
+    twice = np.sort(starts[np.repeat(many, np.diff(np.append(head, len(new))))])
+    if len(twice):
+        owner = np.searchsorted(begin, twice, "right") - 1
+        edge = np.flatnonzero((np.diff(twice) > 1) | (np.diff(owner) > 0))
+        lo, hi = twice[np.append(0, edge + 1)], twice[np.append(edge, len(twice) - 1)]
+        yield batch(None, lo, hi, np.ones(len(lo), dtype=bool))
+    is_split = np.array([r[0] in split for r in rows])
+    if is_split.any():
+        heads = starts[head]
+        mine = np.flatnonzero(is_split[np.searchsorted(begin, heads, "right") - 1])
+        raw = order.raw.tobytes()
+        for i in range(0, len(mine), 100_000):
+            at = mine[i:i + 100_000]
+            digests = np.array([_longs(xxhash.xxh3_128_intdigest(raw[x:x + width])) for x in heads[at].tolist()], dtype=np.int64).reshape(-1, 2)
+            yield batch(digests, heads[at], heads[at], many[at])
+
+
+def _starts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by anchor, chunk by chunk; a chunk ends between two anchors unless one fills it twice over."""
+    held, size, split = [], 0, set()
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "lo", "bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "t1", "t2", "lo", "bytes"))):
+            if not held and not split:
+                split.add(row[0])  # the task's first anchor may have begun in another one
+            if size >= CHUNK_BYTES and (row[0] != held[-1][0] or size >= 2 * CHUNK_BYTES):
+                cut = {row[0]} if row[0] == held[-1][0] else set()
+                yield from _order_chunk(held, width, split | cut)
+                held, size, split = [], 0, cut | {None}
             held.append(row)
-            size += len(row[3])
-            if size >= CHUNK_BYTES:
-                yield from _order_chunk(held, width)
-                held, size = [], 0
+            size += len(row[4])
     if held:
-        yield from _order_chunk(held, width)
+        yield from _order_chunk(held, width, split | {held[-1][0]})
 
 
 def _merged(found: list[dict], width: int) -> list[list[int]]:
@@ -377,11 +416,13 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     marked = anchors.join(shared, "anchor", "left_semi").groupBy("name", *both).agg(F.collect_set("anchor").alias("shared"))
     named = rows.select(name.alias("name"), *_text_key(F.col("text")), "text")
     suspects = keep(named.join(marked, ["name", *both]).dropDuplicates(["name", *both]).drop("name"), "pfp-suspects")
+    forget(shared)
 
-    found = keep(suspects.mapInArrow(lambda it: _blocks(it, width), "t1 long, t2 long, lo int, hi int, anchor long, s1 long, s2 long"), "pfp-blocks")
+    alike = keep(suspects.mapInArrow(lambda it: _blocks(it, width), "t1 long, t2 long, lo int, hi int, anchor long, s1 long, s2 long"), "pfp-blocks")
     # written, so that the join has an exchange of its own on either side, which splits hot passages
-    equal = keep(found.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("t1").alias("first")), "pfp-equal")
-    told = keep(found.join(equal, ["s1", "s2"]).drop("s1", "s2"), "pfp-told")
+    equal = keep(alike.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("t1").alias("first")), "pfp-equal")
+    told = keep(alike.join(equal, ["s1", "s2"]).drop("s1", "s2"), "pfp-told")
+    forget(alike, equal)
     single, settled = told.where("n = 1"), told.where("n > 1")
     partners = settled.where("t1 = first").join(single.select("anchor").distinct(), "anchor", "left_semi")
     columns = [*both, "lo", "hi", "anchor"]
@@ -390,11 +431,13 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     cut = keep(suspects.select(*both, "text").join(parts, both)
                .mapInArrow(lambda it: _cut_blocks(it, width), "t1 long, t2 long, lo int, hi int, anchor long, bytes binary"), "pfp-cut")
     size = cut.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    windows = keep(cut.repartitionByRange(max(1, -(-size // TASK_BYTES)), "anchor", "t1").sortWithinPartitions("anchor", "t1")
-                   .mapInArrow(lambda it: _classes(it, width), "c1 long, c2 long, t1 long, t2 long, pos int, many boolean"), "pfp-windows")
-    twice = keep(windows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2"), "pfp-classes")
-    again = windows.where("many").select(*both, "pos").union(windows.where("not many").join(twice, ["c1", "c2"], "left_semi").select(*both, "pos"))
-    starts = settled.select(*both, "lo", "hi").union(again.select(*both, "pos", F.col("pos").alias("hi")))
+    found = keep(cut.repartitionByRange(max(1, -(-size // TASK_BYTES)), "anchor", "t1").sortWithinPartitions("anchor", "t1")
+                 .mapInArrow(lambda it: _starts(it, width), "c1 long, c2 long, t1 long, t2 long, lo int, hi int, sure boolean"), "pfp-starts")
+    forget(cut)
+    classes = found.where("c1 is not null")
+    twice = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
+    again = found.where("sure").union(classes.where("not sure").join(twice, ["c1", "c2"], "left_semi").select(*found.columns))
+    starts = settled.select(*both, "lo", "hi").union(again.select(*both, "lo", "hi"))
     starts = starts.groupBy(*both).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     changed = suspects.select(*both, "text").join(starts, both).mapInArrow(
         lambda it: _changed(it, width),
