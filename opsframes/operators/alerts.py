@@ -46,26 +46,42 @@ def filter_alerts(alerts: DataFrame, status: str | None = "all", priority: str |
 def latest_actions(actions: DataFrame) -> DataFrame:
     """The latest action per alert (ties on time: the later status name wins).
 
-    ``max(struct(acted, new_status))`` is an ordinary partial aggregate: a
-    hot alert with millions of actions collapses map-side to one row per task.
+    Two fixed-width aggregates, so both hash: the latest time per alert and
+    status, then per alert. A hot alert with millions of actions collapses
+    map-side to a row per task and status.
     """
-    latest = F.max(F.struct("acted", "new_status"))
-    return (actions.groupBy("alert_id")
-            .agg(latest.alias("last"))
-            .select("alert_id", F.col("last.new_status").alias("new_status"), F.col("last.acted").alias("acted")))
+    per_status = actions.groupBy("alert_id", "new_status").agg(F.max("acted").alias("acted"))
+    latest = per_status.groupBy("alert_id").agg(F.max("acted").alias("acted"))
+    # an alert has few statuses, so the names at the latest time are few
+    return (per_status.join(latest, ["alert_id", "acted"])
+            .groupBy("alert_id", "acted").agg(F.array_max(F.collect_list("new_status")).alias("new_status"))
+            .select("alert_id", "new_status", "acted"))
 
 
-def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Alerts with the status set by their latest action; alerts without one keep theirs.
+def actions_within(alerts: DataFrame, actions: DataFrame, within: str) -> DataFrame:
+    """The actions that come within ``within`` after their alert; an action on no alert goes."""
+    raised = alerts.select("alert_id", F.col("timestamp").alias("_raised"))
+    return (actions.join(raised, "alert_id")
+            .where((F.col("acted") >= F.col("_raised")) & (F.col("acted") <= F.col("_raised") + F.expr(f"INTERVAL {within}")))
+            .drop("_raised"))
 
-    Both join sides are keyed by alert_id after aggregation, so the join is
-    skew-free. The planner broadcasts a side only if its static size estimate
-    is under the threshold.
-    """
-    last = latest_actions(actions)
-    joined = alerts.join(last, "alert_id", "left")
+
+def with_last_action(joined: DataFrame) -> DataFrame:
+    """Alert rows beside their last action (``new_status``, ``acted``; null if none) as alerts with their present status."""
     return joined.select(
         "alert_id", "timestamp", "type", "severity", "priority", "description",
         F.coalesce(F.col("new_status"), F.col("status")).alias("status"),
         F.col("acted").alias("status_changed"),
     )
+
+
+def apply_alert_actions(alerts: DataFrame, actions: DataFrame, within: str | None = None) -> DataFrame:
+    """Alerts with the status set by their latest action; alerts without one keep theirs.
+
+    With ``within`` (an interval such as ``"2 hours"``) only actions from the
+    alert's time to so much later count, as on a stream. Both join sides are
+    keyed by alert_id after aggregation, so the join is skew-free. The planner
+    broadcasts a side only if its static size estimate is under the threshold.
+    """
+    counted = actions_within(alerts, actions, within) if within else actions
+    return with_last_action(alerts.join(latest_actions(counted), "alert_id", "left"))

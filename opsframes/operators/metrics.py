@@ -42,18 +42,21 @@ def metrics_rollup(requests: DataFrame) -> DataFrame:
             .agg(*api_measures()))
 
 
+def infra_measures() -> list:
+    """Aggregates of one server-period from (load, level) samples; exact sums, divided once."""
+    n = F.count(F.lit(1))
+    return [
+        F.least(F.lit(100.0), F.sum("load").cast("double") / n).alias("cpu_usage"),
+        (F.sum("level").cast("double") / n).alias("memory_usage"),
+        F.max("level").cast("double").alias("disk_usage"),
+        F.sum("load").cast("double").alias("network_in"),
+        F.sum("level").cast("double").alias("network_out"),
+    ]
+
+
 def infra_rollup(samples: DataFrame) -> DataFrame:
     """Hourly per-server metrics from (timestamp, server, load, level) samples."""
-    n = F.count(F.lit(1))
-    return (samples
-            .groupBy(hour_start("timestamp").alias("timestamp"), "server")
-            .agg(
-                F.least(F.lit(100.0), F.sum("load").cast("double") / n).alias("cpu_usage"),
-                (F.sum("level").cast("double") / n).alias("memory_usage"),
-                F.max("level").cast("double").alias("disk_usage"),
-                F.sum("load").cast("double").alias("network_in"),
-                F.sum("level").cast("double").alias("network_out"),
-            ))
+    return samples.groupBy(hour_start("timestamp").alias("timestamp"), "server").agg(*infra_measures())
 
 
 def _means(df: DataFrame, key: str = "endpoint") -> DataFrame:

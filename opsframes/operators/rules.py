@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import event_date, fill_template, group_count, hour_start
-from ..functions.windows import rising_run
+from ..functions.exprs import fill_template, group_count, hour_start
+from ..functions.windows import bursts, run_lengths
 
 LOGIN_ENDPOINT = "/api/auth/login"
 
@@ -44,17 +44,25 @@ def alert_high_cpu(infra: DataFrame, threshold: float = S.CPU_BREACH) -> DataFra
     return infra.where(F.col("cpu_usage") > threshold)
 
 
-def alert_memory_leak(infra: DataFrame, samples: int = 3) -> DataFrame:
-    """Server samples ending a run of ``samples`` strictly rising memory readings."""
-    runs = rising_run(infra.select("timestamp", "server", "memory_usage"),
-                      key="server", order="timestamp", value="memory_usage", length=samples)
-    return runs.where(F.col("rising")).select("timestamp", "server", "memory_usage")
+def alert_memory_leak(infra: DataFrame, samples: int = 3, slice_seconds: int = 6 * 3600) -> DataFrame:
+    """Server samples ending a run of ``samples`` strictly rising memory readings.
 
+    Runs are summed up per (server, time slice) and merged, so no task holds
+    more of a server than a slice; use a shorter one for dense raw series.
+    """
+    runs = run_lengths(infra.select("timestamp", "server", "memory_usage"), "server", "timestamp", "memory_usage", slice_seconds)
+    return runs.where(F.col("run") >= samples).select("timestamp", "server", "memory_usage")
+
+
+def suspicious_failed_logins(logs: DataFrame, min_count: int = 2, gap_seconds: int = 1800) -> DataFrame:
+    """Bursts of at least ``min_count`` failed requests of a user to the login endpoint.
 
-def suspicious_failed_logins(logs: DataFrame, min_count: int = 2) -> DataFrame:
-    """(user, date) with at least ``min_count`` failed requests to the login endpoint."""
+    A failure less than ``gap_seconds`` after the one before belongs to its
+    burst, whatever the calendar day. Columns: user_id, first and last (times),
+    failures.
+    """
     failed = logs.where((F.col("endpoint") == LOGIN_ENDPOINT) & F.col("severity").isin(S.ERROR_SEVERITIES))
-    return (group_count(failed, "user_id", ("date", event_date("timestamp")), name="failures")
+    return (bursts(failed, "user_id", "timestamp", gap_seconds).withColumnRenamed("count", "failures")
             .where(F.col("failures") >= min_count))
 
 
@@ -144,7 +152,7 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
 
 def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activities: DataFrame,
                     error_rate: float = 50.0, critical_logs: int = 1, response_ms: float = 1000.0,
-                    cpu: float = S.CPU_BREACH, leak_samples: int = 3, failed_logins: int = 2,
+                    cpu: float = S.CPU_BREACH, leak_samples: int = 3, failed_logins: int = 2, login_gap: int = 1800,
                     hours: tuple[int, int] = (6, 22), exports: int = 2, deletions: int = 2) -> DataFrame:
     """Every rule's findings as alerts: a union of narrow projections.
 
@@ -161,8 +169,8 @@ def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activitie
         as_alerts(alert_slow_response(api, response_ms), "Slow Response Time", "slow_response", ts, "endpoint", ep),
         as_alerts(alert_high_cpu(infra, cpu), "High CPU Usage", "high_cpu", ts, "server", srv),
         as_alerts(alert_memory_leak(infra, leak_samples), "Memory Leak", "memory_leak", ts, "server", srv),
-        as_alerts(suspicious_failed_logins(logs, failed_logins), "Suspicious Activity", "failed_logins", day,
-                   "user", usr),
+        as_alerts(suspicious_failed_logins(logs, failed_logins, login_gap), "Suspicious Activity", "failed_logins",
+                   F.col("first"), "user", usr),
         as_alerts(suspicious_access_time(activities, *hours), "Suspicious Activity", "access_time", ts,
                    "user", usr, act),
         as_alerts(suspicious_new_location(activities), "Suspicious Activity", "new_location", ts, "user", usr, act),

@@ -220,10 +220,14 @@ SELECT {_hour('"timestamp"')} AS "timestamp", endpoint, count(*) AS critical_cou
 FROM logs WHERE severity = 'CRITICAL' AND "timestamp" IS NOT NULL AND endpoint IS NOT NULL
 GROUP BY 1, 2 HAVING count(*) >= {p['critical_logs']}"""
     failed = f"""
-SELECT user_id, CAST("timestamp" AS DATE) AS date, count(*) AS failures
-FROM logs WHERE endpoint = '/api/auth/login' AND severity IN {_ERR} AND user_id IS NOT NULL
-  AND "timestamp" IS NOT NULL
-GROUP BY 1, 2 HAVING count(*) >= {p['failed_logins']}"""
+SELECT user_id, min("timestamp") AS first, max("timestamp") AS last, count(*) AS failures FROM (
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY "timestamp", log_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+    SELECT user_id, "timestamp", log_id,
+           CASE WHEN "timestamp" < lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", log_id)
+                                   + INTERVAL '{p['login_gap']} seconds' THEN 0 ELSE 1 END AS starts
+    FROM logs WHERE endpoint = '/api/auth/login' AND severity IN {_ERR} AND user_id IS NOT NULL
+      AND "timestamp" IS NOT NULL) s) b
+GROUP BY user_id, burst HAVING count(*) >= {p['failed_logins']}"""
     h1, h2 = p["hours"]
     access = f'SELECT {_ACT_COLS} FROM user_activities WHERE hour("timestamp") < {h1} OR hour("timestamp") >= {h2}'
     new_loc = """
@@ -249,7 +253,7 @@ GROUP BY 1, 2 HAVING count(*) >= {p['deletions']}"""
         _generated("Slow Response Time", "slow_response", slow, '"timestamp"', "endpoint", "endpoint"),
         _generated("High CPU Usage", "high_cpu", cpu, '"timestamp"', "server", "server"),
         _generated("Memory Leak", "memory_leak", leak, '"timestamp"', "server", "server"),
-        _generated("Suspicious Activity", "failed_logins", failed, "CAST(date AS TIMESTAMP)", "user", "user_id"),
+        _generated("Suspicious Activity", "failed_logins", failed, "first", "user", "user_id"),
         _generated("Suspicious Activity", "access_time", access, '"timestamp"', "user", "user_id", "activity_id"),
         _generated("Suspicious Activity", "new_location", new_loc, '"timestamp"', "user", "user_id", "activity_id"),
         _generated("Suspicious Activity", "export_volume", exports, "CAST(date AS TIMESTAMP)", "user", "user_id"),
@@ -275,11 +279,25 @@ WHERE CAST(date AS TIMESTAMP) + INTERVAL '{P.STREAM['window']}'
                    "endpoint"),
         _generated("Slow Response Time", "slow_response", f"{slow} AND {closed}", '"timestamp"', "endpoint",
                    "endpoint"),
+        _generated("High CPU Usage", "high_cpu", f"{cpu} AND {closed}", '"timestamp"', "server", "server"),
+        _generated("Memory Leak", "memory_leak", f"{leak} AND {closed}", '"timestamp"', "server", "server"),
     ])
+    within = P.STREAM["within"]
+    live_actions = f"""
+SELECT a.alert_id, a."timestamp", a.type, a.severity, a.priority, a.description,
+       coalesce(l.new_status, a.status) AS status, l.acted AS status_changed
+FROM alerts a LEFT JOIN (
+  SELECT c.alert_id, arg_max(c.new_status, (c.acted, c.new_status)) AS new_status, max(c.acted) AS acted
+  FROM alert_actions c JOIN alerts b ON b.alert_id = c.alert_id
+  WHERE c.acted >= b."timestamp" AND c.acted <= b."timestamp" + INTERVAL '{within}'
+  GROUP BY c.alert_id) l ON a.alert_id = l.alert_id
+WHERE a."timestamp" + INTERVAL '{within}'
+      <= least((SELECT max("timestamp") FROM alerts), (SELECT max(acted) FROM alert_actions)) - INTERVAL '{wm}'"""
     return {
         "export_table": 'SELECT *, CAST("timestamp" AS DATE) AS date FROM logs',
         "stream_log_volume": stream_volume,
         "stream_alerts": stream_alerts,
+        "stream_alert_actions": live_actions,
         "metrics_rollup": "SELECT * FROM api_metrics",
         "alert_high_error_rate": error_rate,
         "alert_service_unavailable": unavailable,

@@ -34,8 +34,9 @@ RULES = {
     "cpu": 90.0,
     "leak_samples": 3,
     "failed_logins": 2,
+    "login_gap": 24 * 3600,
     "hours": (6, 22),
     "exports": 2,
     "deletions": 2,
 }
-STREAM = {"window": "1 day", "watermark": "1 hour"}
+STREAM = {"window": "1 day", "watermark": "1 hour", "within": "2 hours"}

@@ -22,6 +22,7 @@ from ..operators import views as V
 from ..sources.files import scratch_path, write_table
 from ..sources.catalog import catalog
 from ..sources.tables import Tables, load
+from ..streaming import actions as stream_actions
 from ..streaming import alerts as stream_alerts
 from ..streaming import log_volume as stream_log_volume
 from . import params as P
@@ -55,14 +56,19 @@ def _stream_log_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_alerts.run_alerts(spark, sf_dir, P.RULES["error_rate"], P.RULES["response_ms"],
+    p = P.RULES
+    return stream_alerts.run_alerts(spark, sf_dir, p["error_rate"], p["response_ms"], p["cpu"], p["leak_samples"],
                                     P.STREAM["watermark"])
 
 
+def _stream_alert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_actions.run_alert_actions(spark, sf_dir, P.STREAM["within"], P.STREAM["watermark"])
+
+
 def _rules(t: Tables) -> dict:
     p = P.RULES
     return dict(error_rate=p["error_rate"], critical_logs=p["critical_logs"], response_ms=p["response_ms"],
-                cpu=p["cpu"], leak_samples=p["leak_samples"], failed_logins=p["failed_logins"],
+                cpu=p["cpu"], leak_samples=p["leak_samples"], failed_logins=p["failed_logins"], login_gap=p["login_gap"],
                 hours=p["hours"], exports=p["exports"], deletions=p["deletions"])
 
 
@@ -144,7 +150,8 @@ QUERIES: dict[str, Query] = {
     "alert_slow_response": _t(lambda t: R.alert_slow_response(t.api_metrics, P.RULES["response_ms"])),
     "alert_high_cpu": _t(lambda t: R.alert_high_cpu(t.infra_metrics, P.RULES["cpu"])),
     "alert_memory_leak": _t(lambda t: R.alert_memory_leak(t.infra_metrics, P.RULES["leak_samples"])),
-    "suspicious_failed_logins": _t(lambda t: R.suspicious_failed_logins(t.logs, P.RULES["failed_logins"])),
+    "suspicious_failed_logins": _t(lambda t: R.suspicious_failed_logins(
+        t.logs, P.RULES["failed_logins"], P.RULES["login_gap"])),
     "suspicious_access_time": _t(lambda t: R.suspicious_access_time(t.user_activities, *P.RULES["hours"])),
     "suspicious_new_location": _t(lambda t: R.suspicious_new_location(t.user_activities)),
     "suspicious_export_volume": _t(lambda t: R.suspicious_export_volume(t.user_activities, P.RULES["exports"])),
@@ -156,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "export_table": _export_logs,
     "stream_log_volume": _stream_log_volume,
     "stream_alerts": _stream_alerts,
+    "stream_alert_actions": _stream_alert_actions,
 }
 
 

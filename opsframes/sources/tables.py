@@ -76,15 +76,19 @@ def api_metrics_from_events(events: DataFrame) -> DataFrame:
     return metrics.metrics_rollup(requests_from_events(events))
 
 
-def infra_metrics_from_events(events: DataFrame) -> DataFrame:
+def samples_from_events(events: DataFrame) -> DataFrame:
+    """Server samples (timestamp, server, load, level): the event value is the load, the JSON key the memory level."""
     ev = event_base(events)
-    samples = ev.select(
+    return ev.select(
         F.col("ts").alias("timestamp"),
         pick(S.SERVERS, F.col("event_id") % len(S.SERVERS)).alias("server"),
         F.col("value").alias("load"),
         F.col("k").alias("level"),
     )
-    return metrics.infra_rollup(samples)
+
+
+def infra_metrics_from_events(events: DataFrame) -> DataFrame:
+    return metrics.infra_rollup(samples_from_events(events))
 
 
 def user_activities_from_events(events: DataFrame) -> DataFrame:

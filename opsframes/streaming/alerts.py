@@ -1,10 +1,17 @@
-"""Threshold alerts on a stream of API requests.
+"""Alerts on live streams of API requests and server samples.
 
-The stream is rolled up per (hour, endpoint) with a watermark (state holds
-only open hours). Each closed hour then goes through the stateless
-threshold rules in the same plan: one ``explode`` of the array of alerts the
-row raises, so no union (which would duplicate the stateful rollup) and no
-per-batch Python callback. Append mode into the Parquet file sink makes the
+Two rollups run in one query, each with its own watermark (state holds only
+open hours): requests per (hour, endpoint) and samples per (hour, server).
+Each closed hour then goes through the stateless threshold rules in the same
+plan: one ``explode`` of the array of alerts the row raises. Server hours
+first pass a keyed state that marks runs of rising memory
+(:mod:`.rising`), so the infrastructure rollup is read once for both rules.
+
+The query's watermark is the least of the two (:data:`POLICY`): a stream that
+lags or stands still holds the other one's hours open rather than have its own
+rows dropped as late.
+
+No per-batch Python callback; append mode into the Parquet file sink makes the
 output exactly-once across restarts.
 """
 
@@ -13,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.exprs import event_time, wall_clock
 from ..operators import rules
-from ..operators.metrics import api_measures
-from ..sources.tables import requests_from_events
+from ..operators.metrics import api_measures, infra_measures
+from ..sources.tables import requests_from_events, samples_from_events
 from . import sinks
+from .rising import STATE_STORE, rising_stream
+
+POLICY = {"spark.sql.streaming.multipleWatermarkPolicy": "min"}
 
 
 def metrics_stream(requests: DataFrame, watermark: str = "1 hour", period: str = "1 hour") -> DataFrame:
@@ -31,6 +42,24 @@ def metrics_stream(requests: DataFrame, watermark: str = "1 hour", period: str =
                          "response_time", "error_rate", "throughput")
 
 
+def infra_stream(samples: DataFrame, watermark: str = "1 hour", period: str = "1 hour") -> DataFrame:
+    """Streaming hourly server metrics: the columns of ``infra_metrics`` and the closed window's ``event_time``,
+    which carries the watermark on."""
+    rolled = (samples
+              .withColumn("event_time", event_time("timestamp"))
+              .withWatermark("event_time", watermark)
+              .groupBy(F.window("event_time", period).alias("w"), "server")
+              .agg(*infra_measures()))
+    return rolled.select(F.window_time("w").alias("event_time"), wall_clock(F.col("w.start")).alias("timestamp"), "server",
+                         "cpu_usage", "memory_usage", "disk_usage", "network_in", "network_out")
+
+
+def _raised(rows: DataFrame, candidates: list) -> DataFrame:
+    """One row per alert that a row raises; ``candidates`` are (condition, alert columns)."""
+    raised = F.array_compact(F.array(*[F.when(cond, F.struct(*fields)) for cond, fields in candidates]))
+    return rows.select(F.explode(raised).alias("a")).select("a.*")
+
+
 def threshold_alerts(metrics: DataFrame, error_rate: float = 50.0, response_ms: float = 1000.0) -> DataFrame:
     """Stateless rules on metric rows (batch or stream), as generated alerts.
 
@@ -38,21 +67,55 @@ def threshold_alerts(metrics: DataFrame, error_rate: float = 50.0, response_ms:
     ``alert_slow_response`` findings mapped by :func:`rules.as_alerts`.
     """
     ts, ep = F.col("timestamp"), F.col("endpoint")
-    candidates = [
+    return _raised(metrics, [
         (F.col("error_rate") > error_rate, rules.alert_fields("High Error Rate", "error_rate", ts, "endpoint", ep)),
         (F.col("response_time") > response_ms,
          rules.alert_fields("Slow Response Time", "slow_response", ts, "endpoint", ep)),
-    ]
-    raised = F.array_compact(F.array(*[F.when(cond, F.struct(*fields)) for cond, fields in candidates]))
-    return metrics.select(F.explode(raised).alias("a")).select("a.*")
+    ])
+
+
+def server_alerts(flagged: DataFrame, cpu: float = S.CPU_BREACH) -> DataFrame:
+    """High CPU and memory leak from server hours with their ``rising`` flag (batch or stream), as generated alerts.
+
+    Same rows as the union of ``alert_high_cpu`` and ``alert_memory_leak`` findings.
+    """
+    ts, server = F.col("timestamp"), F.col("server")
+    return _raised(flagged, [
+        (F.col("cpu_usage") > cpu, rules.alert_fields("High CPU Usage", "high_cpu", ts, "server", server)),
+        (F.col("rising"), rules.alert_fields("Memory Leak", "memory_leak", ts, "server", server)),
+    ])
+
+
+def server_hours(samples: DataFrame, leak_samples: int = 3, watermark: str = "1 hour", period: str = "1 hour") -> DataFrame:
+    """Closed hours of every server as (server, timestamp, memory_usage, rising, cpu_usage)."""
+    hours = infra_stream(samples, watermark, period)
+    flagged = rising_stream(hours, "server", "memory_usage", leak_samples, passed=("cpu_usage",))
+    # window_time is the window's last microsecond
+    start = F.col("event_time") + F.expr("INTERVAL 1 MICROSECOND") - F.expr(f"INTERVAL {period}")
+    return flagged.withColumn("timestamp", wall_clock(start)).drop("event_time")
+
+
+def alert_stream(requests: DataFrame, samples: DataFrame, error_rate: float = 50.0, response_ms: float = 1000.0,
+                 cpu: float = S.CPU_BREACH, leak_samples: int = 3, watermark: str = "1 hour") -> DataFrame:
+    """All four metric rules on two streams, as one streaming frame of generated alerts."""
+    of_endpoints = threshold_alerts(metrics_stream(requests, watermark), error_rate, response_ms)
+    return of_endpoints.union(server_alerts(server_hours(samples, leak_samples, watermark), cpu))
 
 
 def run_alerts(spark: SparkSession, source_dir: str, error_rate: float = 50.0, response_ms: float = 1000.0,
-               watermark: str = "1 hour", files_per_trigger: int | None = None, trigger: dict | None = None,
-               glob: str = "events*.parquet") -> DataFrame:
-    """Run the alert stream over the event files in ``source_dir`` and read all alerts raised."""
-    requests = requests_from_events(sinks.read_event_stream(spark, source_dir, glob, files_per_trigger))
-    alerts = threshold_alerts(metrics_stream(requests, watermark), error_rate, response_ms)
-    out, checkpoint = sinks.fresh_paths(spark, "stream_alerts")
-    sinks.run_to_completion(sinks.to_files(alerts, out, checkpoint, trigger))
+               cpu: float = S.CPU_BREACH, leak_samples: int = 3, watermark: str = "1 hour",
+               files_per_trigger: int | None = None, trigger: dict | None = None, glob: str = "events*.parquet",
+               paths: tuple[str, str] | None = None) -> DataFrame:
+    """Run the alert stream over the event files in ``source_dir`` and read all alerts raised.
+
+    ``paths`` (output, checkpoint) of an earlier run resume it.
+    """
+    def events() -> DataFrame:
+        return sinks.read_event_stream(spark, source_dir, glob, files_per_trigger)
+
+    out, checkpoint = paths or sinks.fresh_paths(spark, "stream_alerts")
+    with sinks.settings(spark, STATE_STORE | POLICY):
+        alerts = alert_stream(requests_from_events(events()), samples_from_events(events()), error_rate, response_ms, cpu,
+                              leak_samples, watermark)
+        sinks.run_to_completion(sinks.to_files(alerts, out, checkpoint, trigger))
     return spark.read.parquet(out)

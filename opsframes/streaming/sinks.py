@@ -12,6 +12,9 @@ Checkpoints live under the cluster's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,6 +70,22 @@ def read_epochs(spark: SparkSession, path: str, latest_only: bool = False) -> Da
     return df.drop("epoch")
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the queries started inside (a query keeps what held when it started)."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def run_to_completion(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:

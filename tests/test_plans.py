@@ -11,7 +11,7 @@ from opsframes.sources.catalog import catalog
 
 from conftest import SF_SMALL
 
-STREAM_KEYS = {"stream_log_volume", "stream_alerts", "export_table"}
+STREAM_KEYS = {"stream_log_volume", "stream_alerts", "stream_alert_actions", "export_table"}
 
 
 def plan(df) -> str:
