@@ -144,3 +144,31 @@ def event_time(ts: str | Column = "timestamp") -> Column:
 def wall_clock(instant: str | Column) -> Column:
     """Inverse of :func:`event_time`: back to ``timestamp_ntz``."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(col(instant)), F.expr(_EPOCH_NTZ))
+
+
+# Keeps times from year 1 on positive, and room for any 64-bit id below each microsecond.
+_YEAR_ONE = 62_135_596_800_000_000
+_ID_ROOM = "20000000000000000000"
+_LEAST_ID = "9223372036854775808"
+
+
+def _whole(digits: str) -> Column:
+    return F.lit(digits).cast("decimal(20,0)")
+
+
+def time_and_id(ts: str | Column, ident: str | Column) -> Column:
+    """A time and a 64-bit id as one number that sorts by both: a fixed-width value, so its min and max hash-aggregate."""
+    micros = F.unix_micros(event_time(ts)).cast("decimal(20,0)") + _whole(str(_YEAR_ONE))
+    low = col(ident).cast("decimal(20,0)") + _whole(_LEAST_ID)
+    return (micros.cast("decimal(18,0)") * _whole(_ID_ROOM) + low).cast("decimal(38,0)")
+
+
+def time_of(packed: str | Column) -> Column:
+    """The time of a :func:`time_and_id` number."""
+    return wall_clock(F.timestamp_micros(F.call_function("div", col(packed), _whole(_ID_ROOM)) - F.lit(_YEAR_ONE)))
+
+
+def id_of(packed: str | Column) -> Column:
+    """The id of a :func:`time_and_id` number."""
+    low = col(packed) % _whole(_ID_ROOM)
+    return (low.cast("decimal(21,0)") - _whole(_LEAST_ID)).cast("long")

@@ -14,25 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import cpu_band, event_date, hour_start
+from ..functions.exprs import col, cpu_band, event_date, hour_start
 from ..functions.params import latest, since, where_all
 
 _MEASURES = ("response_time", "error_rate", "throughput")
 
 
+def measures_of_sums(latency, errors, n) -> list:
+    """Mean latency, error percentage and requests a minute of one endpoint-hour from its exact sums."""
+    n = col(n)
+    return [
+        (col(latency).cast("double") / n).alias("response_time"),
+        (F.lit(100.0) * col(errors).cast("double") / n).alias("error_rate"),
+        (n.cast("double") / F.lit(60)).alias("throughput"),
+    ]
+
+
 def api_measures() -> list:
     """Aggregates of one endpoint-period: mean latency, error percentage, requests/minute.
 
     Sums stay exact (decimal/integer) and are divided once, so the result
     does not depend on summation order.
     """
-    n = F.count(F.lit(1))
-    errors = F.count_if(F.col("severity").isin(S.ERROR_SEVERITIES))
-    return [
-        (F.sum("latency_ms").cast("double") / n).alias("response_time"),
-        (F.lit(100.0) * errors.cast("double") / n).alias("error_rate"),
-        (n.cast("double") / F.lit(60)).alias("throughput"),
-    ]
+    return measures_of_sums(F.sum("latency_ms"), F.count_if(F.col("severity").isin(S.ERROR_SEVERITIES)), F.count(F.lit(1)))
 
 
 def metrics_rollup(requests: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import fill_template, group_count, hour_start
+from ..functions.exprs import fill_template, group_count, hour_start, id_of, time_and_id, time_of
 from ..functions.windows import bursts, run_lengths
 
 LOGIN_ENDPOINT = "/api/auth/login"
@@ -72,26 +72,35 @@ def suspicious_access_time(activities: DataFrame, start_hour: int = 6, end_hour:
     return activities.where((h < start_hour) | (h >= end_hour))
 
 
+def first_sightings(activities: DataFrame) -> DataFrame:
+    """The first activity of each (user, ip): user_id, ip_address, activity_id, timestamp, action.
+
+    Time and id are one fixed-width number, so the raw rows hash-aggregate
+    map-side per (user, ip, action); the first action is picked from what is left.
+    """
+    known = activities.where(F.col("user_id").isNotNull() & F.col("ip_address").isNotNull() & F.col("timestamp").isNotNull())
+    per_action = (known.withColumn("at", time_and_id("timestamp", "activity_id"))
+                  .groupBy("user_id", "ip_address", "action").agg(F.min("at").alias("at")))
+    first = per_action.groupBy("user_id", "ip_address").agg(F.min(F.struct("at", "action")).alias("f"))
+    return first.select("user_id", "ip_address", id_of("f.at").alias("activity_id"), time_of("f.at").alias("timestamp"),
+                        F.col("f.action").alias("action"))
+
+
+def new_locations(sightings: DataFrame) -> DataFrame:
+    """First sightings but each user's very first, from the table of first sightings."""
+    at = time_and_id("timestamp", "activity_id")
+    user_first = sightings.groupBy("user_id").agg(F.min(at).alias("_first"))
+    return (sightings.join(user_first, "user_id").where(at != F.col("_first"))
+            .select("activity_id", "timestamp", "user_id", "action", "ip_address"))
+
+
 def suspicious_new_location(activities: DataFrame) -> DataFrame:
     """First activity of each (user, ip) pair, unless it is the user's first activity.
 
-    One pass over the activities: the first sighting per (user, ip) is a
-    min-aggregate of a (timestamp, activity_id, action) struct, combined
-    map-side. A user's first activity is the min of its pairs' firsts, so
-    the second aggregate and the join run on the (user, ip) table, never on
-    raw rows or a window over a whole user's history.
+    One pass over the activities; the user's first and the join run on the
+    (user, ip) table, never on raw rows or a window over a whole user's history.
     """
-    known = activities.where(F.col("user_id").isNotNull() & F.col("ip_address").isNotNull())
-    first_seen = (known
-                  .groupBy("user_id", "ip_address")
-                  .agg(F.min(F.struct("timestamp", "activity_id", "action")).alias("f")))
-    user_first = (first_seen.groupBy("user_id")
-                  .agg(F.min(F.struct(F.col("f.timestamp").alias("timestamp"),
-                                      F.col("f.activity_id").alias("activity_id"))).alias("u")))
-    return (first_seen.join(user_first, "user_id")
-            .where(F.col("f.activity_id") != F.col("u.activity_id"))
-            .select(F.col("f.activity_id").alias("activity_id"), F.col("f.timestamp").alias("timestamp"),
-                    "user_id", F.col("f.action").alias("action"), "ip_address"))
+    return new_locations(first_sightings(activities))
 
 
 def _action_bursts(activities: DataFrame, action: str, period: Column, min_count: int) -> DataFrame:

@@ -299,6 +299,8 @@ WHERE a."timestamp" + INTERVAL '{within}'
         "stream_alerts": stream_alerts,
         "stream_alert_actions": live_actions,
         "metrics_rollup": "SELECT * FROM api_metrics",
+        "metrics_rollup_in_loads": "SELECT * FROM api_metrics",
+        "new_location_by_day": new_loc,
         "alert_high_error_rate": error_rate,
         "alert_service_unavailable": unavailable,
         "alert_slow_response": slow,
@@ -405,6 +407,13 @@ SELECT count(*) AS total_activities,
        count(*) FILTER (WHERE is_suspicious) AS suspicious_activities,
        count(DISTINCT ip_address) + CASE WHEN count(*) > count(ip_address) THEN 1 ELSE 0 END AS unique_ips
 FROM user_activities""",
+        "activity_summary_of_days": f"""
+SELECT count(*) AS total_activities,
+       count(DISTINCT user_id) + CASE WHEN count(*) > count(user_id) THEN 1 ELSE 0 END AS unique_users,
+       count(*) FILTER (WHERE is_suspicious) AS suspicious_activities,
+       count(DISTINCT ip_address) + CASE WHEN count(*) > count(ip_address) THEN 1 ELSE 0 END AS unique_ips
+FROM user_activities
+WHERE CAST("timestamp" AS DATE) BETWEEN DATE '{p.SUMMARY_RANGE['start']}' AND DATE '{p.SUMMARY_RANGE['end']}'""",
         "suspicious_activities": f"""
 SELECT {_ACT_COLS} FROM user_activities WHERE is_suspicious AND reason IN {_in(p.REASONS)}""",
         "suspicious_reasons": """

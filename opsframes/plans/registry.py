@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round_doubles
+from ..incremental.daysets import DaySets
+from ..incremental.rollups import StoredRollup
+from ..incremental.sightings import Sightings
 from ..operators import activity as A
 from ..operators import alerts as AL
 from ..operators import logs as L
@@ -21,7 +24,7 @@ from ..operators import rules as R
 from ..operators import views as V
 from ..sources.files import scratch_path, write_table
 from ..sources.catalog import catalog
-from ..sources.tables import Tables, load
+from ..sources.tables import Tables, TableSet, load, requests_from_events
 from ..streaming import actions as stream_actions
 from ..streaming import alerts as stream_alerts
 from ..streaming import log_volume as stream_log_volume
@@ -65,6 +68,44 @@ def _stream_alert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_actions.run_alert_actions(spark, sf_dir, P.STREAM["within"], P.STREAM["watermark"])
 
 
+def _days(t: TableSet, name: str) -> list:
+    """The dates of a table, in the order a day-by-day load meets them: the second comes last, late."""
+    dates = [r[0] for r in getattr(t, name).select(F.to_date("timestamp").alias("d")).where("d is not null").distinct().orderBy("d").collect()]
+    return dates[:1] + dates[2:] + dates[1:2]
+
+
+def _new_location_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of a third of the days each, the second day last, then the findings of the stored sightings."""
+    t = catalog(spark, sf_dir)
+    store = Sightings(spark, scratch_path(spark, "sightings"))
+    days = _days(t, "user_activities")
+    step = max(1, -(-len(days) // 3))
+    for i in range(0, len(days), step):
+        store.load(t.user_activities.where(F.to_date("timestamp").isin(days[i:i + step])), f"load-{i}")
+    return store.findings()
+
+
+def _rollup_in_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads, the rows of every seventh id late in the second."""
+    events = load(spark, sf_dir).events
+    store = StoredRollup(spark, scratch_path(spark, "rollup"))
+    late = F.coalesce(F.col("event_id") % 7 == 0, F.lit(True))
+    for name, part in (("first", events.where(~late)), ("late", events.where(late))):
+        store.load(requests_from_events(part), name)
+    return store.metrics()
+
+
+def _summary_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sets of all activities in two loads, then the summary of a range from the sets alone."""
+    t = catalog(spark, sf_dir)
+    store = DaySets(spark, scratch_path(spark, "daysets"))
+    days = _days(t, "user_activities")
+    for i, part in enumerate((days[::2], days[1::2])):
+        if part:
+            store.load(t.user_activities.where(F.to_date("timestamp").isin(part)), f"load-{i}")
+    return store.summary(**P.SUMMARY_RANGE)
+
+
 def _rules(t: Tables) -> dict:
     p = P.RULES
     return dict(error_rate=p["error_rate"], critical_logs=p["critical_logs"], response_ms=p["response_ms"],
@@ -159,6 +200,10 @@ QUERIES: dict[str, Query] = {
     "generate_alerts": _t(lambda t: R.generate_alerts(t.logs, t.api_metrics, t.infra_metrics, t.user_activities,
                                                       **_rules(t))),
     "apply_alert_actions": _t(lambda t: AL.apply_alert_actions(t.alerts, t.alert_actions)),
+    # stored results brought up to date load by load, with late days or rows
+    "new_location_by_day": _new_location_by_day,
+    "metrics_rollup_in_loads": _rollup_in_loads,
+    "activity_summary_of_days": _summary_of_days,
     # sinks and streams (run when called; the result is read back from the written output)
     "export_table": _export_logs,
     "stream_log_volume": _stream_log_volume,

@@ -79,6 +79,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for ``name`` under the shared scratch folder."""
     return f"{shared_dir(spark)}/opsframes/{name}-{uuid.uuid4().hex[:12]}"
