@@ -58,22 +58,22 @@ def log_class_counts(logs: DataFrame) -> DataFrame:
     return value_shares(logs, "log_class")
 
 
-def _observed_levels(logs: DataFrame) -> list[str]:
-    seen = logs.where("log_class is not null and severity is not null").select("severity").distinct().collect()
-    return sorted({r[0] for r in seen} | set(S.SEVERITY_LEVELS))
-
-
 def log_class_by_severity(logs: DataFrame, severities: Sequence[str] | None = None) -> DataFrame:
     """Cross-tab log_class x severity, absent cells 0.
 
-    One conditional count per severity in a single hash aggregate (no pivot
-    pass); columns are in the given order, default alphabetical: the fixed
-    levels and any others that occur.
+    One scan counts (log_class, severity); the cross-tab is made from those few
+    rows, which are kept in memory meanwhile when its columns (default: the
+    fixed levels and any others that occur, alphabetically) have to be read off
+    them.
     """
-    levels = list(severities) if severities else _observed_levels(logs)
-    return (logs.where(F.col("log_class").isNotNull())
-            .groupBy("log_class")
-            .agg(*[F.count_if(F.col("severity") == F.lit(v)).alias(v) for v in levels]))
+    counts = logs.where(F.col("log_class").isNotNull()).groupBy("log_class", "severity").agg(F.count(F.lit(1)).alias("n"))
+    if severities:
+        levels = list(severities)
+    else:
+        counts = counts.persist()
+        levels = sorted({r[0] for r in counts.where("severity is not null").select("severity").distinct().collect()} | set(S.SEVERITY_LEVELS))
+    return counts.groupBy("log_class").agg(*[
+        F.coalesce(F.sum(F.when(F.col("severity") == F.lit(v), F.col("n"))), F.lit(0)).alias(v) for v in levels])
 
 
 def classified_logs(logs: DataFrame, classes: Iterable[str] | None = (), severities: Iterable[str] | None = (),

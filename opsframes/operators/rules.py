@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import fill_template, group_count, hour_start, id_of, time_and_id, time_of
+from ..functions.exprs import event_time, fill_template, group_count, hour_start, id_of, time_and_id, time_of, wall_clock
 from ..functions.windows import bursts, run_lengths
 
 LOGIN_ENDPOINT = "/api/auth/login"
@@ -159,32 +159,118 @@ def as_alerts(findings: DataFrame, alert_type: str, rule: str, ts: Column, kind:
     return findings.select(*alert_fields(alert_type, rule, ts, kind, entity, ident))
 
 
+def raised(rows: DataFrame, candidates: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """One row per alert that a row raises (batch or stream); ``candidates`` are (condition, alert columns)."""
+    found = F.array_compact(F.array(*[F.when(cond, F.struct(*fields)) for cond, fields in candidates]))
+    return rows.select(F.explode(found).alias("a")).select("a.*")
+
+
+def threshold_alerts(metrics: DataFrame, error_rate: float = 50.0, response_ms: float = 1000.0) -> DataFrame:
+    """``alert_high_error_rate`` and ``alert_slow_response`` findings as alerts, from one pass over metric rows."""
+    ts, ep = F.col("timestamp"), F.col("endpoint")
+    return raised(metrics, [
+        (F.col("error_rate") > error_rate, alert_fields("High Error Rate", "error_rate", ts, "endpoint", ep)),
+        (F.col("response_time") > response_ms, alert_fields("Slow Response Time", "slow_response", ts, "endpoint", ep)),
+    ])
+
+
+def server_alerts(flagged: DataFrame, cpu: float = S.CPU_BREACH) -> DataFrame:
+    """``alert_high_cpu`` and ``alert_memory_leak`` findings as alerts, from server samples with a ``rising`` flag."""
+    ts, server = F.col("timestamp"), F.col("server")
+    return raised(flagged, [
+        (F.col("cpu_usage") > cpu, alert_fields("High CPU Usage", "high_cpu", ts, "server", server)),
+        (F.col("rising"), alert_fields("Memory Leak", "memory_leak", ts, "server", server)),
+    ])
+
+
+_HOUR = 3_600_000_000
+_DAY = 24 * _HOUR
+
+
+def log_alerts(logs: DataFrame, critical_logs: int = 1, failed_logins: int = 2, login_gap: int = 1800) -> DataFrame:
+    """``alert_service_unavailable`` and ``suspicious_failed_logins`` findings as alerts, from one pass over the logs.
+
+    Each log row becomes the (rule, entity, period) it counts for: the hour of
+    an endpoint, or a bucket of a user as wide as the gap (see
+    :func:`~opsframes.functions.windows.bursts`); one aggregate counts them all.
+    """
+    at, gap = F.unix_micros(event_time("timestamp")), login_gap * 1_000_000
+    failed = (F.col("endpoint") == LOGIN_ENDPOINT) & F.col("severity").isin(S.ERROR_SEVERITIES) & F.col("user_id").isNotNull()
+    counted = F.array_compact(F.array(
+        F.when((F.col("severity") == "CRITICAL") & F.col("endpoint").isNotNull(), F.struct(
+            F.lit("unavailable").alias("rule"), F.col("endpoint").alias("entity"), F.floor(at / F.lit(_HOUR)).alias("period"))),
+        F.when(failed, F.struct(F.lit("failed_logins").alias("rule"), F.col("user_id").alias("entity"), F.floor(at / F.lit(gap)).alias("period"))),
+    ))
+    buckets = (logs.where(F.col("timestamp").isNotNull()).select(at.alias("at"), F.explode(counted).alias("c")).select("at", "c.*")
+               .groupBy("rule", "entity", "period").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("rule", "entity").orderBy("period")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(order) >= F.lit(gap), F.lit(True))
+    found = (buckets.withColumn("_starts", ((F.col("rule") == "unavailable") | apart).cast("int"))
+             .withColumn("_group", F.sum("_starts").over(order))
+             .groupBy("rule", "entity", "_group").agg(F.min("first").alias("first"), F.min("period").alias("period"), F.sum("n").alias("n")))
+    hour, first = (wall_clock(F.timestamp_micros(c)) for c in (F.col("period") * F.lit(_HOUR), F.col("first")))
+    return raised(found, [
+        ((F.col("rule") == "unavailable") & (F.col("n") >= critical_logs),
+         alert_fields("Service Unavailable", "unavailable", hour, "endpoint", F.col("entity"))),
+        ((F.col("rule") == "failed_logins") & (F.col("n") >= failed_logins),
+         alert_fields("Suspicious Activity", "failed_logins", first, "user", F.col("entity"))),
+    ])
+
+
+def activity_alerts(activities: DataFrame, exports: int = 2, deletions: int = 2) -> DataFrame:
+    """New-location, export-volume and deletion findings as alerts, from one pass over the activities.
+
+    Each activity becomes the rows it counts for: its (user, day) if an export,
+    its (user, hour) if a deletion, and its (user, ip, action) as a sighting;
+    one aggregate gives counts and first sightings. What is left per user is
+    pairs, days and hours, so a hot user is small before the windows.
+    """
+    at = F.unix_micros(event_time("timestamp"))
+    none = F.lit(None).cast("string")
+
+    def candidate(when: Column, rule: str, ip: Column, action: Column, period: Column) -> Column:
+        return F.when(when & F.col("user_id").isNotNull(), F.struct(
+            F.lit(rule).alias("rule"), "user_id", ip.alias("ip"), action.alias("action"), period.alias("period")))
+
+    counted = F.array_compact(F.array(
+        candidate(F.col("action") == "export_data", "export_volume", none, none, F.floor(at / F.lit(_DAY)) * F.lit(_DAY)),
+        candidate(F.col("action") == "delete_resource", "deletions", none, none, F.floor(at / F.lit(_HOUR)) * F.lit(_HOUR)),
+        candidate(F.col("ip_address").isNotNull(), "new_location", F.col("ip_address"), F.col("action"), F.lit(0).cast("long")),
+    ))
+    rows = (activities.where(F.col("timestamp").isNotNull())
+            .select(time_and_id("timestamp", "activity_id").alias("at"), F.explode(counted).alias("c")).select("at", "c.*")
+            .groupBy("rule", "user_id", "ip", "action", "period").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")))
+    rows = (rows.withColumn("user_first", F.min("at").over(Window.partitionBy("rule", "user_id")))
+            .withColumn("place", F.row_number().over(Window.partitionBy("rule", "user_id", "ip").orderBy("at", "action"))))
+    period, user = wall_clock(F.timestamp_micros("period")), F.col("user_id")
+    return raised(rows, [
+        ((F.col("rule") == "export_volume") & (F.col("n") >= exports),
+         alert_fields("Suspicious Activity", "export_volume", period, "user", user)),
+        ((F.col("rule") == "deletions") & (F.col("n") >= deletions), alert_fields("Suspicious Activity", "deletions", period, "user", user)),
+        ((F.col("rule") == "new_location") & (F.col("place") == 1) & (F.col("at") != F.col("user_first")),
+         alert_fields("Suspicious Activity", "new_location", time_of("at"), "user", user, id_of("at"))),
+    ])
+
+
 def generate_alerts(logs: DataFrame, api: DataFrame, infra: DataFrame, activities: DataFrame,
                     error_rate: float = 50.0, critical_logs: int = 1, response_ms: float = 1000.0,
                     cpu: float = S.CPU_BREACH, leak_samples: int = 3, failed_logins: int = 2, login_gap: int = 1800,
                     hours: tuple[int, int] = (6, 22), exports: int = 2, deletions: int = 2) -> DataFrame:
-    """Every rule's findings as alerts: a union of narrow projections.
+    """Every rule's findings as alerts.
 
-    Every part comes out of :func:`as_alerts` with the same columns in the
-    same order, so a positional ``union`` is exact.
+    The rules of a table share one scan and one aggregate. Only the
+    access-time rule reads the activities on its own: its findings are rows as
+    they are, and a narrow scan of three columns is less than a shuffle of
+    every such row through the common aggregate. All parts have the same
+    columns in the same order, so a positional ``union`` is exact.
     """
-    ts, ep, srv, usr = F.col("timestamp"), F.col("endpoint"), F.col("server"), F.col("user_id")
-    day = F.col("date").cast("timestamp_ntz")
-    act = F.col("activity_id")
+    runs = run_lengths(infra.select("timestamp", "server", "cpu_usage", "memory_usage"), "server", "timestamp", "memory_usage", 6 * 3600)
+    access = suspicious_access_time(activities, *hours)
     parts = [
-        as_alerts(alert_high_error_rate(api, error_rate), "High Error Rate", "error_rate", ts, "endpoint", ep),
-        as_alerts(alert_service_unavailable(logs, critical_logs), "Service Unavailable", "unavailable", ts,
-                   "endpoint", ep),
-        as_alerts(alert_slow_response(api, response_ms), "Slow Response Time", "slow_response", ts, "endpoint", ep),
-        as_alerts(alert_high_cpu(infra, cpu), "High CPU Usage", "high_cpu", ts, "server", srv),
-        as_alerts(alert_memory_leak(infra, leak_samples), "Memory Leak", "memory_leak", ts, "server", srv),
-        as_alerts(suspicious_failed_logins(logs, failed_logins, login_gap), "Suspicious Activity", "failed_logins",
-                   F.col("first"), "user", usr),
-        as_alerts(suspicious_access_time(activities, *hours), "Suspicious Activity", "access_time", ts,
-                   "user", usr, act),
-        as_alerts(suspicious_new_location(activities), "Suspicious Activity", "new_location", ts, "user", usr, act),
-        as_alerts(suspicious_export_volume(activities, exports), "Suspicious Activity", "export_volume", day,
-                   "user", usr),
-        as_alerts(suspicious_deletions(activities, deletions), "Suspicious Activity", "deletions", ts, "user", usr),
+        threshold_alerts(api, error_rate, response_ms),
+        server_alerts(runs.withColumn("rising", F.col("run") >= leak_samples), cpu),
+        log_alerts(logs, critical_logs, failed_logins, login_gap),
+        as_alerts(access, "Suspicious Activity", "access_time", F.col("timestamp"), "user", F.col("user_id"), F.col("activity_id")),
+        activity_alerts(activities, exports, deletions),
     ]
     return reduce(DataFrame.union, parts)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import event_time, wall_clock
-from ..operators import rules
 from ..operators.metrics import api_measures, infra_measures
+from ..operators.rules import server_alerts, threshold_alerts
 from ..sources.tables import requests_from_events, samples_from_events
 from . import sinks
 from .rising import STATE_STORE, rising_stream
@@ -54,38 +54,6 @@ def infra_stream(samples: DataFrame, watermark: str = "1 hour", period: str = "1
                          "cpu_usage", "memory_usage", "disk_usage", "network_in", "network_out")
 
 
-def _raised(rows: DataFrame, candidates: list) -> DataFrame:
-    """One row per alert that a row raises; ``candidates`` are (condition, alert columns)."""
-    raised = F.array_compact(F.array(*[F.when(cond, F.struct(*fields)) for cond, fields in candidates]))
-    return rows.select(F.explode(raised).alias("a")).select("a.*")
-
-
-def threshold_alerts(metrics: DataFrame, error_rate: float = 50.0, response_ms: float = 1000.0) -> DataFrame:
-    """Stateless rules on metric rows (batch or stream), as generated alerts.
-
-    Same rows as the union of ``alert_high_error_rate`` and
-    ``alert_slow_response`` findings mapped by :func:`rules.as_alerts`.
-    """
-    ts, ep = F.col("timestamp"), F.col("endpoint")
-    return _raised(metrics, [
-        (F.col("error_rate") > error_rate, rules.alert_fields("High Error Rate", "error_rate", ts, "endpoint", ep)),
-        (F.col("response_time") > response_ms,
-         rules.alert_fields("Slow Response Time", "slow_response", ts, "endpoint", ep)),
-    ])
-
-
-def server_alerts(flagged: DataFrame, cpu: float = S.CPU_BREACH) -> DataFrame:
-    """High CPU and memory leak from server hours with their ``rising`` flag (batch or stream), as generated alerts.
-
-    Same rows as the union of ``alert_high_cpu`` and ``alert_memory_leak`` findings.
-    """
-    ts, server = F.col("timestamp"), F.col("server")
-    return _raised(flagged, [
-        (F.col("cpu_usage") > cpu, rules.alert_fields("High CPU Usage", "high_cpu", ts, "server", server)),
-        (F.col("rising"), rules.alert_fields("Memory Leak", "memory_leak", ts, "server", server)),
-    ])
-
-
 def server_hours(samples: DataFrame, leak_samples: int = 3, watermark: str = "1 hour", period: str = "1 hour") -> DataFrame:
     """Closed hours of every server as (server, timestamp, memory_usage, rising, cpu_usage)."""
     hours = infra_stream(samples, watermark, period)

@@ -61,10 +61,21 @@ def test_summary_cards_scan_once(spark, tables):
         assert plan(df).count("FileScan parquet") == 1
 
 
-def test_crosstab_is_one_aggregate_without_pivot(spark, tables):
+def test_crosstab_scans_once_without_pivot(spark, tables):
     p = plan(L.log_class_by_severity(tables.logs))
     assert "pivotfirst" not in p.lower()
-    assert p.count("Exchange hashpartitioning") == 1
+    assert "FileScan" not in p.split("InMemoryRelation")[0] and p.count("InMemoryTableScan") == 1  # the counts are kept, the logs not read again
+
+
+def test_alert_rules_of_a_table_share_a_scan(spark, tables):
+    from opsframes.operators import rules as R
+    for df, scans, exchanges in ((R.log_alerts(tables.logs), 1, 2), (R.activity_alerts(tables.user_activities), 1, 2)):
+        p = plan(df)
+        assert p.count("FileScan parquet") == scans and p.count("Exchange hashpartitioning") == exchanges, p
+        assert "SortAggregate" not in p
+    p = plan(R.generate_alerts(*[tables.between(n) for n in ("logs", "api_metrics", "infra_metrics", "user_activities")]))
+    at = {n: sum("FileScan parquet" in line and f"/{n}]" in line for line in p.splitlines()) for n in ("logs", "api_metrics", "user_activities")}
+    assert at == {"logs": 1, "api_metrics": 1, "user_activities": 2}, p
 
 
 def test_no_registered_query_pairs_rows(spark, tables):
