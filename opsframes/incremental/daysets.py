@@ -82,12 +82,19 @@ class DaySets:
 
     def summary(self, start=None, end=None) -> DataFrame:
         """:func:`~opsframes.operators.activity.activity_summary` over the days [start, end] (either bound optional)."""
-        counts = self._between("counts", COUNTS, start, end).agg(
-            F.coalesce(F.sum("total"), F.lit(0)).alias("total_activities"), F.coalesce(F.sum("suspicious"), F.lit(0)).alias("suspicious_activities"),
-            *[F.coalesce(F.max(f"no_{c}"), F.lit(False)).cast("long").alias(f"no_{c}") for c in COLUMNS])
-        united = (self._between("sets", SETS, start, end).groupBy("name", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
-                  .agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(c) for c in COLUMNS]))
-        # two rows of one: both sides are global aggregates
-        return counts.withColumn("_one", F.lit(1)).join(united.withColumn("_one", F.lit(1)), "_one").select(
-            "total_activities", (F.col("user_id") + F.col("no_user_id")).alias("unique_users"), "suspicious_activities",
-            (F.col("ip_address") + F.col("no_ip_address")).alias("unique_ips"))
+        nothing = {"total": F.lit(0), "suspicious": F.lit(0)} | {f"no_{c}": F.lit(False) for c in COLUMNS} | {c: F.lit(0) for c in COLUMNS}
+
+        def rows(df: DataFrame, given: dict) -> DataFrame:
+            return df.select(*[(nothing | given)[c].cast("boolean" if c.startswith("no_") else "long").alias(c) for c in nothing])
+
+        counts = rows(self._between("counts", COUNTS, start, end),
+                      {c: F.col(c) for c in ("total", "suspicious", *(f"no_{c}" for c in COLUMNS))})
+        united = rows(self._between("sets", SETS, start, end).groupBy("name", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")),
+                      {c: F.when(F.col("name") == c, F.col("n")).otherwise(0) for c in COLUMNS})
+
+        def distinct(c: str):
+            return F.coalesce(F.sum(c) + F.max(f"no_{c}").cast("long"), F.lit(0))
+
+        return counts.union(united).agg(
+            F.coalesce(F.sum("total"), F.lit(0)).alias("total_activities"), distinct("user_id").alias("unique_users"),
+            F.coalesce(F.sum("suspicious"), F.lit(0)).alias("suspicious_activities"), distinct("ip_address").alias("unique_ips"))

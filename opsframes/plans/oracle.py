@@ -283,6 +283,7 @@ WHERE CAST(date AS TIMESTAMP) + INTERVAL '{P.STREAM['window']}'
         _generated("Memory Leak", "memory_leak", f"{leak} AND {closed}", '"timestamp"', "server", "server"),
     ])
     within = P.STREAM["within"]
+    d = P.DAMAGE
     live_actions = f"""
 SELECT a.alert_id, a."timestamp", a.type, a.severity, a.priority, a.description,
        coalesce(l.new_status, a.status) AS status, l.acted AS status_changed
@@ -295,6 +296,14 @@ WHERE a."timestamp" + INTERVAL '{within}'
       <= least((SELECT max("timestamp") FROM alerts), (SELECT max(acted) FROM alert_actions)) - INTERVAL '{wm}'"""
     return {
         "export_table": 'SELECT *, CAST("timestamp" AS DATE) AS date FROM logs',
+        "export_table_csv": 'SELECT *, CAST("timestamp" AS DATE) AS date FROM logs',
+        "text_logs": f"""
+SELECT log_id, date_trunc('second', "timestamp") AS "timestamp", severity, endpoint, user_id, message, log_class FROM logs
+WHERE log_id % {d['every']} NOT IN ({d['id']}, {d['time']}, {d['missing']}, {d['cut']})""",
+        "text_logs_quarantine": f"""
+SELECT format, CASE log_id % {d['every']} WHEN {d['id']} THEN 'log_id: bigint' WHEN {d['time']} THEN 'timestamp: timestamp_ntz'
+                    WHEN {d['missing']} THEN 'severity: missing' WHEN {d['cut']} THEN 'structure' ELSE '' END AS reason, count(*) AS count
+FROM logs, (VALUES ('csv'), ('json')) f(format) GROUP BY 1, 2""",
         "stream_log_volume": stream_volume,
         "stream_alerts": stream_alerts,
         "stream_alert_actions": live_actions,
@@ -373,6 +382,9 @@ FROM (SELECT endpoint, avg(response_time) AS response_time, avg(error_rate) AS e
         "api_avg_by_endpoint": _means("api_metrics", _since("api_metrics", p.API_RANGE)),
         "endpoint_response_series": f"""
 SELECT "timestamp", response_time FROM api_metrics WHERE endpoint = {_q(p.ENDPOINT)} ORDER BY "timestamp\"""",
+        "endpoint_response_range": f"""
+SELECT "timestamp", response_time FROM api_metrics
+WHERE endpoint = {_q(p.ENDPOINT)} AND {_since('api_metrics', p.API_RANGE)}""",
         # infrastructure
         "cpu_gauges": f"""
 SELECT "timestamp", server, cpu_usage,
@@ -391,6 +403,11 @@ WHERE server = {_q(p.SERVER)} AND {_since('infra_metrics', p.SERVER_RANGE)} ORDE
 SELECT "timestamp", 'network_in' AS metric, network_in AS value FROM infra_metrics WHERE server = {_q(p.SERVER)}
 UNION ALL
 SELECT "timestamp", 'network_out' AS metric, network_out AS value FROM infra_metrics WHERE server = {_q(p.SERVER)}""",
+        "server_network_range": f"""
+SELECT "timestamp", metric, value FROM (
+  SELECT "timestamp", 'network_in' AS metric, network_in AS value, server FROM infra_metrics
+  UNION ALL SELECT "timestamp", 'network_out' AS metric, network_out AS value, server FROM infra_metrics) n
+WHERE server = {_q(p.SERVER)} AND {_since('infra_metrics', p.SERVER_RANGE)}""",
         # user activity
         "action_counts": _share("action", "user_activities"),
         "activity_by_date": """

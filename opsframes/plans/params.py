@@ -27,6 +27,8 @@ TABLE_PAGE = {"severity": "ERROR", "page": 2, "size": 10}
 PAGE_AFTER = {"timestamp": "2024-01-12 00:00:00", "log_id": 0, "size": 10}
 # A filter row as typed: text that the column contains, and the start of a date.
 TYPED_FILTER = {"description": "server", "timestamp": "2024-01-1", "status": "active", "size": 20}
+# Which log ids (modulo "every") get which damage in the text sources.
+DAMAGE = {"every": 50, "id": 3, "time": 11, "missing": 22, "cut": 37}
 SUMMARY_RANGE = {"start": "2024-01-05", "end": "2024-01-18"}
 RULES = {
     "error_rate": 50.0,

@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schemas as S
 from ..functions.exprs import round_doubles
 from ..incremental.daysets import DaySets
 from ..incremental.rollups import StoredRollup
@@ -22,7 +24,7 @@ from ..operators import logs as L
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import views as V
-from ..sources.files import scratch_path, write_table
+from ..sources.files import SECONDS_FORMAT, read_checked, read_table, scratch_path, write_table
 from ..sources.catalog import catalog
 from ..sources.tables import Tables, TableSet, load, requests_from_events
 from ..streaming import actions as stream_actions
@@ -53,6 +55,50 @@ def _export_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _export_logs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``logs`` as CSV partitioned by date, then read it back typed."""
+    path = scratch_path(spark, "export_logs_csv")
+    write_table(catalog(spark, sf_dir).logs, path, fmt="csv")
+    return read_table(spark, path, T.StructType([*S.LOGS.fields, T.StructField("date", T.DateType())]), fmt="csv")
+
+
+def _text_lines(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+    """``logs`` as lines of text with times to the second, some of them damaged (by id, see P.DAMAGE); returns the folder."""
+    path = scratch_path(spark, f"text_logs_{fmt}")
+    logs = catalog(spark, sf_dir).logs
+    kind = F.col("log_id") % P.DAMAGE["every"]
+    text = {f.name: F.col(f.name).cast("string") for f in S.LOGS.fields} | {"timestamp": F.date_format("timestamp", SECONDS_FORMAT)}
+    text["log_id"] = F.when(kind == P.DAMAGE["id"], F.concat(F.lit("x"), "log_id")).otherwise(text["log_id"])
+    text["timestamp"] = F.when(kind == P.DAMAGE["time"], F.lit("2024-02-30 25:00:00")).otherwise(text["timestamp"])
+    text["severity"] = F.when(kind == P.DAMAGE["missing"], F.lit(None)).otherwise(text["severity"])
+    row = F.struct(*[c.alias(n) for n, c in text.items()])
+    line = F.to_csv(row) if fmt == "csv" else F.to_json(row)
+    cut = F.when(kind == P.DAMAGE["cut"], F.substring(line, 1, 12)).otherwise(line)
+    logs.select(cut.alias("value")).write.text(path)
+    return path
+
+
+def _text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound rows of JSON lines with text times, some lines damaged."""
+    return read_checked(spark, _text_lines(spark, sf_dir, "json"), S.LOGS, "json", SECONDS_FORMAT)[0]
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per reason of quarantine ('' for sound rows) of CSV and JSON lines, some damaged."""
+    out = None
+    for fmt in ("csv", "json"):
+        options = {"header": "false"} if fmt == "csv" else {}
+        good, bad = read_checked(spark, _text_lines(spark, sf_dir, fmt), S.LOGS, fmt, SECONDS_FORMAT, **options)
+        quarantine = scratch_path(spark, f"quarantine_{fmt}")
+        bad.write.parquet(quarantine)
+        reason = spark.read.parquet(quarantine).select(F.when(F.array_contains("reasons", "structure"), F.lit("structure"))
+                                                       .otherwise(F.array_join("reasons", "; ")).alias("reason"))
+        told = good.select(F.lit("").alias("reason")).union(reason).groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
+        told = told.select(F.lit(fmt).alias("format"), "reason", "count")
+        out = told if out is None else out.union(told)
+    return out
+
+
 def _stream_log_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stream_log_volume.run_log_volume(spark, sf_dir, P.STREAM["window"], P.STREAM["watermark"])
     return out.select("date", "severity", "count")
@@ -136,15 +182,21 @@ QUERIES: dict[str, Query] = {
     "error_summary": _t(lambda t: L.error_summary(t.logs)),
     "error_logs": _t(lambda t: L.error_logs(t.logs, **P.ERROR_LOGS)),
     # API metrics
-    "api_avg_last_day": _t(lambda t: round_doubles(M.api_avg_last_day(t.api_metrics))),
-    "api_overview": _t(lambda t: round_doubles(M.api_overview(t.api_metrics))),
-    "api_avg_by_endpoint": _t(lambda t: round_doubles(M.api_avg_by_endpoint(t.api_metrics, range_code=P.API_RANGE))),
+    "api_avg_last_day": _t(lambda t: round_doubles(M.api_avg_last_day(t.recent("api_metrics")))),
+    "api_overview": _t(lambda t: round_doubles(M.api_overview(t.recent("api_metrics")))),
+    "api_avg_by_endpoint": _t(lambda t: round_doubles(M.api_avg_by_endpoint(
+        t.recent("api_metrics", P.API_RANGE), range_code=P.API_RANGE))),
     "endpoint_response_series": _t(lambda t: M.endpoint_response_series(t.api_metrics, P.ENDPOINT)),
+    "endpoint_response_range": _t(lambda t: M.endpoint_response_series(
+        t.recent("api_metrics", P.API_RANGE), P.ENDPOINT, P.API_RANGE)),
     # infrastructure
-    "cpu_gauges": _t(lambda t: M.cpu_gauges(t.infra_metrics)),
+    "cpu_gauges": _t(lambda t: M.cpu_gauges(t.recent("infra_metrics"))),
     "cpu_gauges_per_server": _t(lambda t: M.cpu_gauges_per_server(t.infra_metrics)),
-    "server_trend": _t(lambda t: M.server_trend(t.infra_metrics, P.SERVER, P.SERVER_RANGE)),
+    "server_trend": _t(lambda t: M.server_trend(
+        t.recent("infra_metrics", P.SERVER_RANGE), P.SERVER, P.SERVER_RANGE)),
     "server_network": _t(lambda t: M.server_network(t.infra_metrics, P.SERVER)),
+    "server_network_range": _t(lambda t: M.server_network(
+        t.recent("infra_metrics", P.SERVER_RANGE), P.SERVER, P.SERVER_RANGE)),
     # user activity
     "action_counts": _t(lambda t: A.action_counts(t.user_activities)),
     "activity_by_date": _t(lambda t: A.activity_by_date(t.user_activities)),
@@ -206,6 +258,9 @@ QUERIES: dict[str, Query] = {
     "activity_summary_of_days": _summary_of_days,
     # sinks and streams (run when called; the result is read back from the written output)
     "export_table": _export_logs,
+    "export_table_csv": _export_logs_csv,
+    "text_logs": _text_logs,
+    "text_logs_quarantine": _quarantined,
     "stream_log_volume": _stream_log_volume,
     "stream_alerts": _stream_alerts,
     "stream_alert_actions": _stream_alert_actions,

@@ -1,4 +1,4 @@
-"""Derive the telemetry tables once, store them, and query the stored copy.
+"""Derive each telemetry table once, store it, and query the stored copy.
 
 This mirrors how the dashboard works (tables built once at start-up,
 queried per request), in the form a Spark deployment uses: the derived
@@ -19,6 +19,7 @@ they are gathered into one file per date.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import threading
 from concurrent.futures import ThreadPoolExecutor
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .files import scratch_path, write_table
+from ..functions.params import range_interval
+from .files import folder_values, listing, scratch_path, write_table
 from .tables import Tables, TableSet, load
 
 TIME_COLUMN = TableSet.TIME_COLUMN
@@ -65,19 +67,47 @@ class StoredTables(TableSet):
     ``cached`` tables are also kept in executor memory (spilling to disk).
     By default only the hourly rollups are: their size is bounded by hours x
     keys, not by event volume, and every metric query reads them. A lost
-    cached block is re-read from the stored files.
+    cached block is re-read from the stored files. ``source`` tables, if given,
+    are written table by table when first asked for, so a query pays for the
+    tables that it reads.
     """
 
-    def __init__(self, spark: SparkSession, path: str, cached: tuple[str, ...] = ROLLUPS):
+    def __init__(self, spark: SparkSession, path: str, cached: tuple[str, ...] = ROLLUPS, source: Tables | None = None):
         self.spark = spark
         self.path = path
         self.cached = tuple(cached)
+        self.source = source
+        self._locks = {n: threading.Lock() for n in S.TABLE_SCHEMAS}
+        self._stored: set[str] = set()
+
+    def _folder(self, name: str) -> str:
+        """The table's folder, written first if it isn't yet."""
+        if self.source is not None:
+            with self._locks[name]:
+                if name not in self._stored:
+                    store_table(getattr(self.source, name), f"{self.path}/{name}", TIME_COLUMN[name], rollup=name in ROLLUPS)
+                    self._stored.add(name)
+        return f"{self.path}/{name}"
 
     def _read(self, name: str) -> DataFrame:
         schema = S.TABLE_SCHEMAS[name]
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.fieldNames())
+        df = self.spark.read.schema(schema).parquet(self._folder(name)).select(*schema.fieldNames())
         return df.persist(StorageLevel.MEMORY_AND_DISK) if name in self.cached else df
 
+    def recent(self, name: str, range_code: str | None = None) -> DataFrame:
+        """Table ``name`` from the date on that a range up to its latest row can reach back to.
+
+        The newest ``date=`` folder holds the latest row, so its date less the
+        range's days is a partition filter known before planning. Without a
+        range code only the newest date is read. The result holds every row that
+        the range takes, and the latest row, so queries give the same rows on it.
+        """
+        dates = folder_values(self.spark, self._folder(name), "date")
+        if not dates:
+            return getattr(self, name)
+        days = int(range_interval(range_code).split()[0]) if range_code else 0
+        return self.between(name, start=dt.date.fromisoformat(dates[-1]) - dt.timedelta(days=days))
+
     def between(self, name: str, start=None, end=None) -> DataFrame:
         """Table ``name`` limited to the calendar dates [start, end] by partition pruning.
 
@@ -86,13 +116,23 @@ class StoredTables(TableSet):
         Either bound may be omitted.
         """
         schema = S.TABLE_SCHEMAS[name]
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        df = self.spark.read.schema(schema).parquet(self._folder(name))
         if start:
             df = df.where(F.col("date") >= F.lit(str(start)[:10]).cast("date"))
         if end:
             df = df.where(F.col("date") <= F.lit(str(end)[:10]).cast("date"))
         return df.select(*schema.fieldNames())
 
+    def build(self) -> None:
+        """Write every table that isn't yet, as concurrent Spark jobs, and load the cached ones."""
+        if self.source is not None:
+            for name in S.TABLE_SCHEMAS:  # plans are built on this thread
+                getattr(self.source, name)
+        with ThreadPoolExecutor(max_workers=len(S.TABLE_SCHEMAS)) as pool:
+            for f in [pool.submit(self._folder, n) for n in S.TABLE_SCHEMAS]:
+                f.result()
+        self.warm()
+
     def warm(self) -> None:
         """Materialize the cached tables now rather than on first use."""
         for name in self.cached:
@@ -127,25 +167,16 @@ _CATALOGS: dict[tuple, StoredTables] = {}
 _LOCK = threading.Lock()
 
 
-def _source_stamp(sf_dir: str) -> tuple:
-    p = os.path.join(sf_dir, "events.parquet")
-    try:
-        st = os.stat(p)
-        return (st.st_size, st.st_mtime_ns)
-    except OSError:  # remote file systems: identify by path only
-        return ()
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> StoredTables:
-    """The stored tables derived from ``sf_dir``, built on first use in this application."""
+    """The stored tables derived from ``sf_dir``; each is written when first used in this application.
+
+    A source whose files changed (by their listing, local or remote, part files
+    of a folder included) gets a new store.
+    """
     where = sf_dir.rstrip("/") if "://" in sf_dir else os.path.realpath(sf_dir)
-    key = (spark.conf.get("spark.app.id", ""), where) + _source_stamp(sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), where, listing(spark, f"{where}/events.parquet"))
     with _LOCK:
         found = _CATALOGS.get(key)
         if found is None:
-            path = scratch_path(spark, "catalog")
-            store(load(spark, sf_dir), path)
-            found = StoredTables(spark, path)
-            found.warm()
-            _CATALOGS[key] = found
+            found = _CATALOGS[key] = StoredTables(spark, scratch_path(spark, "catalog"), source=load(spark, sf_dir))
         return found

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import wall_clock
+
 # Text timestamps: the dashboard's "%Y-%m-%d %H:%M:%S", with an optional
 # fraction of 1-6 digits when parsing; written back with microseconds.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 TIMESTAMP_WRITE_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+SECONDS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+CORRUPT = "_corrupt_record"
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -79,10 +83,78 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, fmt: str, timestamp_format: str = TIMESTAMP_FORMAT,
+                 **options) -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)`` rows of a CSV or JSON table that may hold malformed ones; nothing fails and nothing is lost.
+
+    ``good`` has the columns of ``schema``. ``bad`` has ``record`` (the line as
+    read if it has no right structure, else its fields as JSON) and ``reasons``:
+    ``structure``, ``<column>: missing`` (null or empty where the schema says not
+    null) or ``<column>: <type>`` (text that is no such value). Every field is
+    read as text and cast on its own; timestamps must have ``timestamp_format``
+    and don't depend on the session's zone. One scan yields both: write ``bad``
+    away as the quarantine, or read it for counts.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    reader = (spark.read.schema(text.add(CORRUPT, T.StringType(), True)).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT).options(**options))
+    if fmt == "csv":
+        reader = reader.option("header", options.get("header", "true")).option("enforceSchema", "true")
+    rows = reader.format(fmt).load(path)
+    typed, reasons = [], [F.when(F.col(CORRUPT).isNotNull(), F.lit("structure"))]
+    for f in schema.fields:
+        given = F.col(f.name)
+        value = _cast(given, f.dataType, timestamp_format)
+        present = given.isNotNull() & ((given != "") | F.lit(isinstance(f.dataType, T.StringType) and f.nullable))
+        typed.append(value.alias(f.name))
+        reasons.append(F.when(F.col(CORRUPT).isNull() & present & value.isNull(), F.lit(f"{f.name}: {f.dataType.simpleString()}")))
+        if not f.nullable:
+            reasons.append(F.when(F.col(CORRUPT).isNull() & ~present, F.lit(f"{f.name}: missing")))
+    told = rows.select(F.array_compact(F.array(*reasons)).alias("reasons"), F.struct(*typed).alias("row"),
+                       F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*text.fieldNames()[:-1]))).alias("record"))
+    return told.where(F.size("reasons") == 0).select("row.*"), told.where(F.size("reasons") > 0).select("record", "reasons")
+
+
+def _cast(text: Column, kind: T.DataType, timestamp_format: str) -> Column:
+    """A text field as a value of its type, null if it isn't one."""
+    if isinstance(kind, T.TimestampNTZType):
+        # read as an instant of UTC and taken back to the wall clock, so that no zone's gaps take part
+        return wall_clock(F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(timestamp_format + "X")))
+    if isinstance(kind, T.TimestampType):
+        return F.try_to_timestamp(text, F.lit(timestamp_format))
+    return text.try_cast(kind)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    system, p = _file_system(spark, path)
+    return system.exists(p)
+
+
+def folder_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column from its ``column=value`` folders, sorted; no file is opened."""
+    system, p = _file_system(spark, path)
+    if not system.exists(p):
+        return []
+    names = (str(s.getPath().getName()) for s in system.listStatus(p) if s.isDirectory())
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__"))
+
+
+def listing(spark: SparkSession, path: str) -> tuple:
+    """(name, length, modification time) of every file under ``path``, in whatever file system: tells whether a source changed."""
+    system, p = _file_system(spark, path)
+    if not system.exists(p):
+        return ()
+    files, out = system.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

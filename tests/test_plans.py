@@ -11,7 +11,8 @@ from opsframes.sources.catalog import catalog
 
 from conftest import SF_SMALL
 
-STREAM_KEYS = {"stream_log_volume", "stream_alerts", "stream_alert_actions", "export_table"}
+STREAM_KEYS = {"stream_log_volume", "stream_alerts", "stream_alert_actions", "export_table",
+               "export_table_csv", "text_logs_quarantine"}
 
 
 def plan(df) -> str:
@@ -78,6 +79,28 @@ def test_alert_rules_of_a_table_share_a_scan(spark, tables):
     assert at == {"logs": 1, "api_metrics": 1, "user_activities": 2}, p
 
 
+@pytest.mark.parametrize("name", ["api_avg_last_day", "api_overview", "api_avg_by_endpoint", "endpoint_response_range", "cpu_gauges",
+                                  "server_trend", "server_network_range"])
+def test_ranges_up_to_the_latest_row_prune_dates(spark, tables, name):
+    """A partition filter on every scan, so that only the dates that the range reaches are listed and read."""
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    scans = [line for line in p.splitlines() if "FileScan parquet" in line]
+    assert scans and all("PartitionFilters: [isnotnull(date" in line and "date#" in line for line in scans), p
+
+
+def test_recent_holds_what_the_range_takes(spark, tables):
+    from pyspark.sql import functions as F
+    from opsframes.functions.params import since
+    for name in ("api_metrics", "infra_metrics"):
+        full = getattr(tables, name)
+        for code in ("24h", "3d", "1w"):
+            want = full.where(since("timestamp", full, code))
+            few = tables.recent(name, code)
+            assert few.where(since("timestamp", few, code)).exceptAll(want).count() == 0
+            assert want.exceptAll(few).count() == 0 and few.count() < full.count()
+        assert tables.recent(name).select(F.to_date("timestamp")).distinct().count() == 1
+
+
 def test_no_registered_query_pairs_rows(spark, tables):
     """No cartesian products or nested-loop joins anywhere in the registry."""
     for name, fn in E.queries().items():
