@@ -3,16 +3,19 @@
 Documents become token sequences that end in the end-of-text id; only those
 longer than a sequence are cut, into full pieces but for the first. What fits
 with what depends on piece lengths alone, so the plan is made on the histogram
-of lengths, at most ``size`` numbers however large the corpus: for each
-length, longest first, a hash look-up finds a single length, a pair sum or a
-triple sum that exactly fills the gap, and consumes it as often as its counts
-allow; what remains is packed best-fit, longest first. The plan is a short
-list of patterns (which lengths share a sequence, how often).
-
-Spark then numbers the pieces of each length and maps number ranges to
-sequences: the pieces are dealt into buckets by a hash, numbered within
-(length, bucket), and shifted by the counts before. A hot length is spread
-over all buckets.
+of lengths, at most ``size`` numbers however large the corpus. Sums of two
+lengths are indexed by sum (of three: a length and an indexed pair); for each
+length, longest first, a look-up of the gap finds the single, pair or triple
+that fills it exactly, and takes it as often as its counts allow. What remains
+is packed best fit, longest first. Exact triples can use up short lengths that
+best fit needs later, so the plan is made for every depth of the exact phase
+(none, singles, pairs, triples; all lengths or only those of an eighth of a
+sequence and more), and the one with the fewest sequences is taken. The plan is
+a short list of patterns (which lengths share a sequence, how often).
+
+Each task numbers its pieces of every length as it writes them. Shifted by the
+counts of the tasks before, the numbers map to the places of the patterns. No
+piece is sorted, and a hot length or document is spread like any other.
 
 Edge cases: a null or empty text is the end-of-text id alone. Rows with equal
 or null ids are packed one by one; their order among themselves is free.
@@ -20,6 +23,7 @@ or null ids are packed one by one; their order among themselves is free.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,57 +39,66 @@ from opsframes.llm._common import in_slices, keep, only
 
 SIZE = 1024
 END = 2
-ROWS_PER_BUCKET = 20_000
+#: The byte-level pattern of the tokenizer file (its ``use_regex``), as the library states it.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class all Unicode versions in use agree on; the tests go through every one.
+_OTHER = re.compile("[^\x00-\u024f\u0400-\u0481\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of texts, with the ids of space-led words remembered.
+    """Token ids of texts by the ``tokenizers`` library, or, for plain texts, by a faster one on the same file.
 
-    A space before anything but white space always begins a new token group,
-    so a text can be cut there without changing its ids. Texts with a run of
-    white space around a space are encoded whole.
+    A byte-level vocabulary whose merges stand in the order of their ids is
+    the same thing to ``tiktoken``, which gives the same ids. Texts with an
+    added token or a character that not all Unicode versions class alike go
+    through ``tokenizers``, as do all if the file is of another kind.
     """
 
-    MOST = 500_000
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.model, self.known = path, Tokenizer.from_file(path), {}
-        lead = self.model.id_to_token(int(self.model.encode(" ", add_special_tokens=False).ids[0]))
-        self.leads = np.array([(self.model.id_to_token(i) or "").startswith(lead) for i in range(self.model.get_vocab_size())])
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str], each: int = 2000) -> list[bytes]:
-        """Ids of each word with a space before it. Many go in one call: in the
-        ids of their line, each word begins where an id stands for a leading space."""
-        out: list[bytes] = []
-        lines = [words[i:i + each] for i in range(0, len(words), each)]
-        for line, ids in zip(lines, self._ids([" " + " ".join(x) for x in lines])):
-            at = (4 * np.flatnonzero(self.leads[np.frombuffer(ids, dtype="<u4")])).tolist()
-            if len(at) == len(line):
-                out += [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]
-            else:
-                out += self._ids([" " + w for w in line])
-        return out
+        self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.fast = self._same(spec)
+
+    def _same(self, spec: dict):
+        """The same tokenizer in the faster library, if it is of the kind described."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if (model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
+                or not before.get("use_regex", True) or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix",
+                                                                                   "byte_fallback", "ignore_merges"))):
+            return None
+        byte_of, vocab = _byte_of(), model["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        own = {t: i for t, i in vocab.items() if t not in self.added}
+        if merged != sorted(set(merged)) or set(own.values()) != {*range(256), *merged} or not all(set(t) <= byte_of.keys() for t in own):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in own.items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        return (text.isascii() or not _OTHER.search(text)) and not any(x in text for x in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [bool(_SPACES.search(t)) for t in texts]
-        parts = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        known = self.known
-        new = list({p for words in parts for p in words[1:] if p not in known})
-        known.update(zip(new, self._words(new)))
-        heads = iter(self._ids([t if w else p[0] for t, p, w in zip(texts, parts, whole)]))
-        return [head + b"".join(map(known.__getitem__, p[1:])) for head, p in zip(heads, parts)]
-
-
-_SPACES = re.compile(r"\s(?= )| (?=\s|$)")
+        plain = [self.fast is not None and self._plain(t) for t in texts]
+        rest = iter(self.model.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [self.fast.encode_to_numpy(t).astype("<u4", copy=False).tobytes() if p else np.array(next(rest).ids, dtype="<u4").tobytes()
+                for t, p in zip(texts, plain)]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -97,88 +111,123 @@ def encoder(path: str) -> Encoder:
 
 def tokenise(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id",
              text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces: id, piece, start, length, ids_crc32 (and ids, if asked for)."""
+    """Pieces: id, piece, start, length, ids_crc32, task, place (among the task's pieces of that length), and ids, if asked for.
+
+    To be written before use: task and place hold for one run."""
     rows = only(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
+    last = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in in_slices(batches, "text", 2 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, found in enumerate(encode(texts)):
-                ids = np.append(np.frombuffer(found, dtype="<u4"), np.array([end], dtype="<u4"))
-                cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            at, piece, start, length, crc, place, kept = [], [], [], [], [], [], []
+            for i, ids in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
+                ids += last
+                n = len(ids) // 4
+                a, b, k = 0, n % size or size, 0
+                while a < n:
+                    m = b - a
                     at.append(i)
                     piece.append(k)
                     start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                    length.append(m)
+                    crc.append(zlib.crc32(ids[4 * a:4 * b]))
+                    place.append(seen[m])
+                    seen[m] += 1
                     if with_ids:
-                        kept.append(ids[a:b].astype(np.int32))
+                        kept.append(np.frombuffer(ids, dtype="<i4", count=m, offset=4 * a))
+                    a, b, k = b, b + size, k + 1
             columns = [batch.column("id").take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
+                       pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(at), pa.int32()), pa.array(place, pa.int64())]
+            names = ["id", "piece", "start", "length", "ids_crc32", "task", "place"]
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ids = ", ids array<int>" if with_ids else ""
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long{ids}")
-
-
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of a sequence, times) that use up ``counts`` exactly."""
-    left = {n: c for n, c in counts.items() if c}
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(pattern: tuple[int, ...]) -> None:
-        need = {n: pattern.count(n) for n in pattern}
-        times = min(left[n] // k for n, k in need.items())
-        out.append((pattern, times))
-        for n, k in need.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-
-    def fits(parts: tuple[int, ...]) -> bool:
-        return all(left.get(n, 0) >= parts.count(n) for n in set(parts))
-
-    def exact(first: int) -> tuple[int, ...] | None:
-        """The lengths that fill the gap beside ``first``: one, two or three, the longest possible first."""
-        gap = size - first
-        if fits((first, gap)):
-            return (gap,)
-        have = sorted(left, reverse=True)
-        for a in have:
-            if 2 * a >= gap > a and fits((first, a, gap - a)):
+    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long{ids}")
+
+
+Pattern = tuple[int, ...]
+
+
+class Sums:
+    """Lengths, and their pair sums, by sum; counts only go down, so an entry without stock is dropped for good."""
+
+    def __init__(self, left: list[int], least: int):
+        self.left = left
+        self.have = [n for n in range(len(left) - 1, least - 1, -1) if left[n]]
+        self.pairs: dict[int, list[int]] | None = None
+
+    def _indexed(self) -> dict[int, list[int]]:
+        """sum -> the longer length of each pair, shortest first (the end of a list is the next to take)."""
+        if self.pairs is None:
+            self.pairs = {}
+            for i, a in enumerate(reversed(self.have)):
+                for b in self.have[len(self.have) - 1 - i:]:
+                    if a + b < len(self.left):
+                        self.pairs.setdefault(a + b, []).append(a)
+            for longer in self.pairs.values():
+                longer.sort()
+        return self.pairs
+
+    def fits(self, parts: Pattern) -> bool:
+        return all(self.left[n] >= parts.count(n) for n in parts)
+
+    def single(self, first: int, gap: int) -> Pattern | None:
+        return (gap,) if gap > 0 and self.have and gap >= self.have[-1] and self.fits((first, gap)) else None
+
+    def pair(self, taken: Pattern, gap: int, most: int) -> Pattern | None:
+        """A pair of that sum beside what is taken, its longer length at most ``most``, the longest there is."""
+        longer = self._indexed().get(gap, [])
+        for k in range(len(longer) - 1, -1, -1):
+            a = longer[k]
+            if not self.left[a] or not self.left[gap - a]:
+                del longer[k]
+            elif a <= most and self.fits((*taken, a, gap - a)):
                 return a, gap - a
-        for a in have:
-            rest = gap - a
-            if rest > 1 and 3 * a >= gap and left.get(a):
-                for b in have:
-                    if b <= a and 2 * b >= rest > b and rest - b <= b and fits((first, a, b, rest - b)):
-                        return a, b, rest - b
         return None
 
-    for n in sorted(left, reverse=True):
-        if n == size and n in left:
-            use((n,))
-        while n in left and (found := exact(n)):
-            use((n, *found))
+    def triple(self, first: int, gap: int) -> Pattern | None:
+        for a in self.have:
+            if 3 * a < gap:
+                return None
+            if a < gap - 1 and self.left[a] and (found := self.pair((first, a), gap - a, a)):
+                return (a, *found)
+        return None
+
+
+def _packed(counts: dict[int, int], size: int, depth: int, least: int) -> list[tuple[Pattern, int]]:
+    """Patterns of an exact phase with up to ``depth`` complements of ``least`` tokens or more, then best fit."""
+    left = [counts.get(n, 0) for n in range(size + 1)]
+    out: list[tuple[Pattern, int]] = [((size,), left[size])] if left[size] else []
+    left[size] = 0
+    if depth:
+        sums = Sums(left, least)
+        looks = [sums.single, lambda n, gap: sums.pair((n,), gap, gap), sums.triple][:depth]
+        for n in list(sums.have):
+            while left[n]:
+                found = next((x for look in looks if (x := look(n, size - n))), None)
+                if found is None:
+                    break
+                pattern = (n, *found)
+                times = min(left[m] // pattern.count(m) for m in pattern)
+                out.append((pattern, times))
+                for m in pattern:
+                    left[m] -= times
     # the residuals: best fit, longest first, over gaps of open kinds of sequences
-    open_: dict[tuple[int, ...], int] = {}
-    by_gap: dict[int, list[tuple[int, ...]]] = {}
+    open_: dict[Pattern, int] = {}
+    by_gap: dict[int, list[Pattern]] = {}
 
-    def put(pattern: tuple[int, ...], times: int) -> None:
+    def put(pattern: Pattern, times: int) -> None:
         if pattern not in open_:
             by_gap.setdefault(size - sum(pattern), []).append(pattern)
         open_[pattern] = open_.get(pattern, 0) + times
 
-    for n in sorted(left, reverse=True):
-        todo = left.pop(n)
+    for n in range(size - 1, 0, -1):
+        todo = left[n]
         while todo:
             gap = min((g for g, p in by_gap.items() if g >= n and p), default=None)
             if gap is None:
@@ -202,33 +251,53 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     return out + list(open_.items())
 
 
+def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[Pattern, int]]:
+    """Patterns (lengths of a sequence, times) that use up ``counts`` exactly, in as few sequences as any depth of the exact phase gives."""
+    bound = -(-sum(n * c for n, c in counts.items()) // size)
+    best, fewest = [], None
+    for depth, least in ((3, 1), (2, 1), (1, 1), (3, max(1, size // 8)), (2, max(1, size // 8)), (0, 1)):
+        made = _packed(counts, size, depth, least)
+        n = sum(times for _, times in made)
+        if fewest is None or n < fewest:
+            best, fewest = made, n
+        if fewest <= bound:
+            break
+    return best
+
+
 def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """``pieces`` (with the columns length, id, piece) plus sequence_id and offset."""
-    spark = pieces.sparkSession
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
-    slots, base = [], 0
-    given = dict.fromkeys(histogram, 0)
+    """``pieces`` (as :func:`tokenise` gives them, written) plus sequence_id and offset."""
+    tasks = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
+    slots: dict[int, list[tuple[int, int, int]]] = {n: [] for n in histogram}  # by length: first number, first sequence, offset
+    base, given = 0, dict.fromkeys(histogram, 0)
     for pattern, times in plan(histogram, size):
         offset = 0
         for n in pattern:
-            slots.append((n, given[n], given[n] + times, base, offset))
+            slots[n].append((given[n], base, offset))
             given[n] += times
             offset += n
         base += times
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, base long, offset long")
-    total = sum(histogram.values())
-    buckets = max(1, -(-total // ROWS_PER_BUCKET))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = dealt.groupBy("length", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("bucket", "length").orderBy("id", "piece", "ids_crc32")
-    numbered = dealt.withColumn("n", F.row_number().over(inside) - 1).join(shift, ["length", "bucket"]).withColumn("n", F.col("n") + F.col("before"))
-    # slots of one length are ranges of numbers: an array per length, searched by number
-    ranges = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "base", "offset"))).alias("slots"))
-    placed = (numbered.join(ranges, "length")
-              .withColumn("slot", F.filter("slots", lambda s: (s["lo"] <= F.col("n")) & (F.col("n") < s["hi"]))[0]))
-    return placed.withColumn("sequence_id", F.col("slot.base") + F.col("n") - F.col("slot.lo")).withColumn("offset", F.col("slot.offset")).drop(
-        "slot", "slots", "n", "before", "bucket")
+    # bounded by the plan: a few entries a length
+    tables = {n: np.array(x, dtype=np.int64).reshape(-1, 3).T for n, x in slots.items()}
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shift = tasks.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = pieces.join(shift, ["length", "task"]).withColumn("n", F.col("before") + F.col("place")).drop("before", "place", "task")
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, n = batch.column("length").to_numpy(), batch.column("n").to_numpy()
+            sequence, offset = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+            order = np.argsort(length, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(n) else []:
+                first, base_of, offset_of = tables[int(length[at[0]])]
+                k = np.searchsorted(first, n[at], "right") - 1
+                sequence[at], offset[at] = base_of[k] + n[at] - first[k], offset_of[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)],
+                                             names=[*batch.schema.names, "sequence_id", "offset"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
+    return numbered.mapInArrow(seat, f"{fields}, sequence_id long, offset long").drop("n")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text",
