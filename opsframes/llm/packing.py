@@ -28,6 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +63,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.fast = self._same(spec)
 
+    @cached_property
+    def model(self):
+        """The file's own library; loaded for the first text that needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _same(self, spec: dict):
         """The same tokenizer in the faster library, if it is of the kind described."""
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -94,7 +100,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [self.fast is not None and self._plain(t) for t in texts]
-        rest = iter(self.model.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        other = [t for t, p in zip(texts, plain) if not p]
+        rest = iter(self.model.encode_batch_fast(other, add_special_tokens=False) if other else ())
         return [self.fast.encode_to_numpy(t).astype("<u4", copy=False).tobytes() if p else np.array(next(rest).ids, dtype="<u4").tobytes()
                 for t, p in zip(texts, plain)]
 
