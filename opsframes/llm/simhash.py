@@ -58,15 +58,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per input row; fp as a signed long with the same 64 bits."""
-    rows = only(docs, id=id_col, text=text_col)
+    """(id, tag, fp) per input row; tag: a hash of the text; fp as a signed long with the same 64 bits."""
+    rows = only(docs, id=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(fps.view(np.int64))], names=["id", "tag", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long")
 
 
 def radii(max_bits: int, segments: int) -> list[int]:
@@ -139,10 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """Per input row: id, fingerprint (16 hex digits), fp, component_id (least id reachable),
-    n_links (linked fingerprints other than its own)."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """Per input row: id, tag, fp, root (a group's name), component_id, n_links."""
     fps = keep(fingerprints(docs, shingle, id_col, text_col), "simhash")
     pairs = keep(links(fps, max_bits), "simhash-links")
     degree = (pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links")))
@@ -150,8 +148,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     classes = (fps.groupBy("fp").agg(F.min("id").alias("first_id")).join(group, "fp", "left").join(degree, "fp", "left")
                .withColumn("root", F.coalesce("root", "fp")))
     first = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(first, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(classes, "fp").select(
+    classes = classes.join(first, "root").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return fps.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """Per input row: id, fingerprint (16 hex digits), component_id (least id reachable),
+    n_links (linked fingerprints other than its own)."""
+    return _grouped(docs, shingle, max_bits, id_col, text_col).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
@@ -159,13 +164,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int
                          text_col: str = "text") -> DataFrame:
     """One document of each group stays, the one with the least id; columns as they are.
 
-    Rows that share an id are one document: of those with a group's least id
-    one row stays. Rows without an id can't be told apart and stay.
+    Null and empty texts have fingerprint zero and are one group. Of repeated
+    rows one stays. Rows that share an id but not the text are documents of
+    their own, each in its text's group; if a group holds several under its
+    least id, the one whose text has the least hash stays. Rows without an id
+    can't be told apart and stay. An empty table gives an empty one.
     """
     names = docs.columns
-    stay = (near_duplicates(docs, shingle, max_bits, id_col, text_col)
-            .where(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col("component_id").alias("id")).distinct())
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"))
-    kept = keyed.where("id is not null").join(stay, "id", "left_semi").dropDuplicates(["id"])
+    stay = (_grouped(docs, shingle, max_bits, id_col, text_col).where(F.col("id") == F.col("component_id"))
+            .groupBy("root", "id").agg(F.min("tag").alias("tag")).select("id", "tag").distinct())
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        F.xxhash64(F.col(f"`{text_col}`")).alias("tag"))
+    kept = keyed.where("id is not null").join(stay, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
     kept = kept.unionByName(keyed.where("id is null"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
