@@ -225,16 +225,17 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = only(pages, id=id_col, target=url_col, html=html_col)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = rows.select("id", "target", payload.alias("payload"), F.sha1(payload).alias("digest"))
+    rows = rows.select("id", "target", payload.alias("payload"), F.sha1(payload).alias("digest"),
+                       F.sha2(payload, 256).alias("same"))  # two payloads with one SHA-1 are known; the record's digest doesn't tell them apart
     long_enough = (F.octet_length("payload") >= least) & F.col("id").isNotNull()
-    best = (rows.where(long_enough).groupBy("digest").agg(F.max("id").alias("best"), F.count("*").alias("n"))
-            .where("n > 1").select("digest", "best"))
+    best = (rows.where(long_enough).groupBy("same").agg(F.max("id").alias("best"), F.count("*").alias("n"))
+            .where("n > 1").select("same", "best"))
 
     def name(column: str):
         return F.concat(F.lit(URN), F.url_encode(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
     again = F.coalesce(long_enough & (F.col("id") != F.col("best")), F.lit(False))
-    return rows.join(best, "digest", "left").select(
+    return rows.join(best, "same", "left").select(
         name("id").alias("rid"), F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"), "payload", "digest", "target",
         F.when(again, name("best")).alias("refers_to"))
 
