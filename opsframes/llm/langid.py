@@ -10,9 +10,9 @@ always ends. All blocks of a batch are parsed side by side: one array look-up
 per character position moves every block's automaton state. Whole texts are
 read, whatever their length.
 
-Training text is a bounded sample: ``TEXTS`` texts per language at most, the
-least by a hash of the text, of which the first ``PIECE`` characters count;
-``CHARACTERS`` per language in all.
+Training text is a bounded sample of labelled rows, ``TEXTS`` per language at
+most, drawn by a hash of the text; those with more than ``LONGEST`` characters
+only where a language has no others. The texts drawn are read whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.
 With no labelled row everything is ``und``. Ties go to the language that
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from opsframes.llm._common import in_slices, only, utf8
 
 BLOCK = 512
-TEXTS = 64
-PIECE = 2_000
-CHARACTERS = 24_000
+TEXTS = 24
+LONGEST = 4_000
 DENSE = 1 << 24
 UNKNOWN = "und"
 
@@ -43,6 +42,11 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def _lower(letter: str) -> str:
+    """One lower-case letter (of a capital I with a dot, whose lower case is two code points, the first)."""
+    return letter.lower()[0]
+
+
 class Letters:
     """Code points to symbols: 0 blank, then each letter seen in training, last: any other letter."""
 
@@ -56,10 +60,9 @@ class Letters:
         self.far: dict[int, int] = {}
 
     def _of(self, point: int) -> int:
-        c = chr(point).lower()
-        if len(c) != 1 or not unicodedata.category(c).startswith("L"):
+        if not unicodedata.category(chr(point)).startswith("L"):
             return 0
-        return self.symbol.get(ord(c), self.size - 1)
+        return self.symbol.get(ord(_lower(chr(point))), self.size - 1)
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, with runs of blanks as one."""
@@ -127,23 +130,24 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray | Sparse:
 
 
 def phrases(blocks: np.ndarray, lengths: np.ndarray, steps: np.ndarray | Sparse) -> np.ndarray:
-    """Phrases that each block (a column of symbols) needs; ``lengths`` descending."""
+    """Phrases that each block (a column of symbols) needs; ``lengths`` descending.
+
+    A phrase is the longest piece from its start on that occurs in the text behind ``steps``, or a symbol that doesn't occur there."""
     state = np.zeros(blocks.shape[1], dtype=np.int32)
-    count = np.ones(blocks.shape[1], dtype=np.int64)
+    count = np.zeros(blocks.shape[1], dtype=np.int64)
     sparse = isinstance(steps, Sparse)
     size = steps.size if sparse else steps.shape[1]
     flat = steps if sparse else steps.ravel()
-    start = np.maximum(flat.take(np.arange(size)), 0)  # a symbol unknown to the text is a phrase of its own
+    start = np.maximum(flat.take(np.arange(size)), 0)  # 0 after a symbol unknown to the text
     width = np.searchsorted(-lengths, -np.arange(1, len(blocks) + 1), side="right")
     for row, w in zip(blocks, width):
         c = row[:w]
+        count[:w] += state[:w] == 0  # nothing is matched yet: a phrase begins
         to = flat.take((state[:w].astype(np.int64) if sparse else state[:w]) * size + c)
         broken = np.flatnonzero(to < 0)
         if len(broken):
-            fresh = state[broken] == 0
+            count[broken[state[broken] > 0]] += 1  # the phrase ends before this symbol, which begins one
             to[broken] = start[c[broken]]
-            count[broken[~fresh]] += 1
-            count[broken[fresh & (start[c[broken]] == 0)]] += 1
         state[:w] = to
     return count
 
@@ -152,14 +156,14 @@ class Languages:
     """A suffix automaton per language; tells the language of texts."""
 
     def __init__(self, samples: dict[str, list[str]], block: int = BLOCK):
-        seen = {c for texts in samples.values() for t in texts for c in t.lower() if unicodedata.category(c).startswith("L")}
+        seen = {_lower(c) for texts in samples.values() for c in set("".join(texts)) if unicodedata.category(c).startswith("L")}
         self.letters = Letters(sorted(seen))
         self.block = block
         self.names = sorted(samples)
         self.steps = []
         for name in self.names:
-            parts = [self.letters.read(t)[:PIECE] for t in samples[name]]
-            joined = np.concatenate([np.append(p, p.dtype.type(0)) for p in parts] or [np.zeros(1, self.letters.kind)])[:CHARACTERS]
+            parts = [self.letters.read(t) for t in samples[name]]
+            joined = np.concatenate([np.append(p, p.dtype.type(0)) for p in parts] or [np.zeros(1, self.letters.kind)])
             self.steps.append(automaton(joined, self.letters.size))
 
     def tell(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -195,15 +199,21 @@ class Languages:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          texts: int = TEXTS) -> Languages:
-    """Learn from the rows with a language that are not held out: per language the
-    ``texts`` hash-least texts of a fixed number of hash classes, found by a map-side minimum."""
+          texts: int = TEXTS, longest: int = LONGEST) -> Languages:
+    """Learn from whole texts of rows with a language that are not held out.
+
+    Rows are drawn per language: of each of ``texts`` hash classes the text with
+    the least hash, found by a map-side minimum of hashes alone; texts of more
+    than ``longest`` characters are drawn only where a class has no other."""
     rows = only(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null and lang <> '' and text is not null")
-    rows = rows.where(~F.coalesce(held_out(F.col("id")), F.lit(False)))
+    rows = rows.where(~F.coalesce(held_out(F.col("id")), F.lit(False))).where(F.rlike("text", F.lit(r"\p{L}")))
     h = F.xxhash64("text")
-    drawn = (rows.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", F.substring("text", 1, PIECE * 2).alias("text"), h.alias("h"))
-             .groupBy("lang", F.pmod("h", F.lit(texts)).alias("c")).agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
-             .orderBy("lang", "h").collect())  # at most `texts` short texts a language
+    # a class, then long texts after short ones, then the hash: one number
+    draw = F.shiftrightunsigned(h, 2) + F.when(F.length("text") > longest, F.lit(1 << 62)).otherwise(F.lit(0))
+    rows = rows.select("lang", "text", F.pmod(h, F.lit(texts)).alias("c"), draw.alias("draw"))
+    least = rows.groupBy("lang", "c").agg(F.min("draw").alias("draw"))
+    drawn = (rows.join(F.broadcast(least), ["lang", "c", "draw"]).groupBy("lang", "c").agg(F.first("text").alias("text"))
+             .orderBy("lang", "c").collect())  # at most `texts` rows a language
     samples: dict[str, list[str]] = {}
     for r in drawn:
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -213,7 +223,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per input row: id, held_out, lang_pred, score. One pass after training, no shuffle."""
     model = train(docs, id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size bounded by CHARACTERS per language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size bounded by the sample of each language
     rows = only(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
 
