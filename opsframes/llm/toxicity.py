@@ -1,18 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. In each clause five transducers read the words
-and emit weights, which the clause machine composes:
-
-* insult: words and word stems with weights learned from labelled documents
-  (a word takes its own entry or that of its longest listed stem);
-* target: second person and human-reference words raise what follows;
-* threat: a modal or first-person opener followed within a few words by a
-  verb of harm;
-* negation: "not", "never", ... before a match lowers its weight;
-* reported speech: "said", "called", quotes, ... lower the whole clause.
-
-Clause scores, not isolated words, are then summed up per document and a
-logistic regression over these sums, fitted on the same labelled documents,
+Words are labelled: *insult* (words and stems with weights learned from
+labelled documents), *harm* (verbs of harm: written stems, and words learned
+from what follows an opener in toxic documents), and closed classes of
+function words: *target*, *opener*, *negation*, *report*, *quote*. Five
+transducers read the labels of a clause, word by word. Each has states and
+arcs, and an arc maps the value of its word, v, to factor * v + addend:
+
+* insult and threat: an insult has its weight; a verb of harm counts if an
+  opener ("will", "going", "vais", ...) came up to three words before;
+* target: an insult or threat near a person word is raised, and a person word
+  that follows an insult adds to it;
+* negation: what follows within three words is lowered;
+* reported speech: what follows a verb of saying, or stands in quotes, is lowered.
+
+Affine maps compose, so the product of the five machines is again such a
+transducer; it is built once, and each clause is one run through its table.
+Features of a document are sums over its clauses' scores, never counts of
+words; a logistic regression over them, fitted on the same labelled documents,
 gives the probability. Lexicon and regression are fitted on a sample of about
 ``SAMPLE`` labelled rows (all, if there are fewer), picked by a hash of the id;
 the lexicon holds at most ``LEXICON`` entries.
@@ -21,7 +26,8 @@ Edge cases: null and empty texts get the score of a text without any match.
 Rows of ``labels`` with null id or toxic, and labels of unknown documents, are
 not used; of contradicting labels for one document the largest counts. With
 no usable toxic or no usable clean label nothing is learned, and only the
-written target and threat patterns score. Repeated rows get equal scores.
+written threat patterns score. Repeated rows get equal scores. An empty table
+gives an empty one; columns of other names, clashing ones too, are left alone.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +52,92 @@ STEMS = range(3, 8)
 LEAST_DOCS = 4
 LEAST_WEIGHT = 1.2
 
-TARGETS = frozenset("you your yours youre u ya they them their he she him her his people person everyone "
+# Closed classes of function words (English, German, French, Spanish) and stems of verbs of harm.
+TARGETS = frozenset("you your yours youre u ya they them their he him she her his people person everyone "
                     "tu te vous toi ton votre du dich dir ihr euch dein usted ustedes tú ti vosotros".split())
-OPENERS = frozenset("will shall gonna going should must ill we'll i'll werde werden vais allons voy vamos".split())
-HARM = frozenset("kill hurt destroy beat attack punch burn shoot stab hang die töten schlagen tuer frapper "
-                 "brûler matar golpear quemar".split())
-NEGATIONS = frozenset("not no never nobody isn't aren't don't cannot nicht kein keine nie pas jamais aucun nunca ningún".split())
-REPORTS = frozenset("said says say called calls wrote claims claimed reported quoted quote alleged sagte schrieb "
+OPENERS = frozenset("will shall gonna going should must want wanna ill we'll i'll they'll deserve deserves ought werde werden wirst soll sollst "
+                    "will vais allons va vas devrais dois voy vamos vas debes deberías".split())
+NEGATIONS = frozenset("not no never nobody isn't aren't wasn't don't doesn't didn't won't can't cannot without nicht kein keine keinen nie "
+                      "niemals pas jamais aucun aucune sans nunca ningún ninguna jamás sin".split())
+REPORTS = frozenset("said says say called calls wrote claims claimed reported quoted quote alleged sagte sagt schrieb "
                     "dit disait écrit dijo dice escribió".split())
+HARM_STEMS = frozenset("kill murder slaughter strangl chok suffocat drown stab hang lynch shoot burn beat punch smash crush hurt "
+                       "destroy attack poison butcher behead execut tortur rape töte töten ermord erschlag erschieß erwürg verbrenn schlagen "
+                       "prügel abstech vergift tuer assassin égorg étrangl noyer brûler frapper tabass empoisonn matar matarte asesin "
+                       "estrangul ahog apuñal golpear quemar ahorcar degollar".split())
+HARM_LENGTHS = sorted({len(x) for x in HARM_STEMS}, reverse=True)
 
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-FEATURES = 8
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"«»“”„]")
+FEATURES = 5
+NEAR = 3
+
+LABELS = OTHER, INSULT, HARM, TARGET, OPENER, NEGATION, REPORT, QUOTE = range(8)
+SCORED = (INSULT, HARM, TARGET)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state][label]`` is (next state, factor, addend); a run starts in state 0."""
+
+    arcs: tuple[tuple[tuple[int, float, float], ...], ...]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The machine that does what this one does and then what ``other`` does, over the states reached."""
+        number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+        for a, b in todo:
+            row = []
+            for label in LABELS:
+                (a2, f, g), (b2, h, k) = self.arcs[a][label], other.arcs[b][label]
+                if (a2, b2) not in number:
+                    number[a2, b2] = len(todo)
+                    todo.append((a2, b2))
+                row.append((number[a2, b2], f * h, h * g + k))
+            arcs.append(tuple(row))
+        return Transducer(tuple(arcs))
+
+    def run(self, labels: list[int], values: list[float]) -> list[float]:
+        """The value of each word of a clause."""
+        state, out = 0, []
+        for label, v in zip(labels, values):
+            state, factor, addend = self.arcs[state][label]
+            out.append(factor * v + addend)
+        return out
+
+
+def within(reach: int, trigger: int, labels: tuple[int, ...], factor: float = 1.0, addend: float = 0.0) -> Transducer:
+    """For ``reach`` words after a trigger, words of these labels are mapped; the state is how many words are left."""
+    def arc(state: int, label: int) -> tuple[int, float, float]:
+        hit = state > 0 and label in labels
+        return (reach if label == trigger else max(0, state - 1)), factor if hit else 1.0, addend if hit else 0.0
+    return Transducer(tuple(tuple(arc(s, label) for label in LABELS) for s in range(reach + 1)))
+
+
+def insult_and_threat() -> Transducer:
+    """Insults pass with their weight, verbs of harm after an opener with theirs and one; all else is 0."""
+    def arc(state: int, label: int) -> tuple[int, float, float]:
+        counts = label == INSULT or label == HARM and state > 0
+        # a harm verb keeps the reach alive: "will kill and burn"
+        left = NEAR if label == OPENER or counts and label == HARM else max(0, state - 1)
+        return left, float(counts), float(counts and label == HARM)
+    return Transducer(tuple(tuple(arc(s, label) for label in LABELS) for s in range(NEAR + 1)))
+
+
+def reported_speech(factor: float = 0.5) -> Transducer:
+    """State 1: after a verb of saying, to the clause's end; state 2: in quotes."""
+    move = ({REPORT: 1, QUOTE: 2}, {QUOTE: 2}, {QUOTE: 0})
+    return Transducer(tuple(tuple((move[s].get(label, s), factor if s and label in SCORED else 1.0, 0.0) for label in LABELS) for s in range(3)))
+
+
+def grammar_parts() -> list[Transducer]:
+    """The machines in the order that they are composed."""
+    return [insult_and_threat(),
+            within(NEAR + 1, TARGET, (INSULT, HARM), factor=1.25), within(2, INSULT, (TARGET,), addend=0.5),
+            within(NEAR, NEGATION, SCORED, factor=0.3), reported_speech()]
+
+
+CLAUSES = reduce(Transducer.then, grammar_parts())
 
 
 def held_out(id_col: Column) -> Column:
@@ -65,79 +146,82 @@ def held_out(id_col: Column) -> Column:
 
 @dataclass
 class Grammar:
-    """Learned entries (``word`` or ``stem*``), and the regression over clause sums."""
+    """Learned entries (``word`` or ``stem*`` of insults, words of harm), and the regression over clause sums."""
 
     entries: dict[str, float] = field(default_factory=dict)
+    harm: dict[str, float] = field(default_factory=dict)
     centre: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     scale: list[float] = field(default_factory=lambda: [1.0] * FEATURES)
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0, 1.5])
+    weights: list[float] = field(default_factory=lambda: [0.5, 0.5, 0.5, 0.0, 2.0])
     bias: float = -2.0
 
-    def insult(self, word: str) -> float:
+    def label(self, word: str) -> tuple[int, float]:
+        """Label and weight of a lower-case word or quotation mark; function words stay what they are."""
+        for label, words in ((TARGET, TARGETS), (OPENER, OPENERS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            if word in words:
+                return label, 0.0
         if (own := self.entries.get(word)) is not None:
-            return own
+            return INSULT, own
+        if (own := self.harm.get(word)) is not None:
+            return HARM, own
+        if any(word[:n] in HARM_STEMS for n in HARM_LENGTHS if n <= len(word)):
+            return HARM, 0.0
         for n in reversed(STEMS):
             if n <= len(word) and (stem := self.entries.get(word[:n] + "*")) is not None:
-                return stem
-        return 0.0
+                return INSULT, stem
+        return (OTHER if word[0].isalpha() else QUOTE), 0.0
 
     def score(self, text: str | None, memo: dict | None = None) -> float:
         x = self.features(text or "", {} if memo is None else memo)
         z = self.bias + sum(w * (v - c) / s for w, v, c, s in zip(self.weights, x, self.centre, self.scale))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def clause(self, words: list[str], memo: dict | None = None) -> tuple[float, float]:
+        """(score, the part of it that verbs of harm bring) of a clause's words and quotation marks, from one run."""
+        memo = {} if memo is None else memo
+        state, score, threat, arcs = 0, 0.0, 0.0, CLAUSES.arcs
+        for w in words:
+            label, weight = memo.get(w) or memo.setdefault(w, self.label(w))
+            state, factor, addend = arcs[state][label]
+            if value := factor * weight + addend:
+                score += value
+                if label == HARM:
+                    threat += value
+        return score, threat
+
     def features(self, text: str, memo: dict) -> list[float]:
-        """Sums over the clauses of a text; ``memo`` keeps the weights of words already read."""
+        """Sums over the clauses of a text; ``memo`` keeps the labels of words already read."""
         text = text.lower()
-        words_read = _WORD.findall(text)
-        hot = {}
-        for w in set(words_read):
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = self.insult(w), w in HARM
-            if v[0] or v[1]:
-                hot[w] = v
+        read = _WORD.findall(text)
+        hot = set()
+        for w in set(read):
+            label, weight = memo.get(w) or memo.setdefault(w, self.label(w))
+            if label == INSULT or label == HARM:
+                hot.add(w)
         if not hot:
             return [0.0] * FEATURES
-        total = best = threat_sum = 0.0
-        clauses = hits = 0
-        strong: set[str] = set()
+        total = best = threats = 0.0
+        matched = 0
         for clause in _CLAUSE.split(text):
-            words = _WORD.findall(clause)
-            at = [i for i, w in enumerate(words) if w in hot]
-            if not at:
+            words = _TOKEN.findall(clause)
+            if hot.isdisjoint(words):  # such a clause has no value to score
                 continue
-            reported = 0.5 if '"' in clause or not REPORTS.isdisjoint(words) else 1.0
-            aimed = 1.25 if not TARGETS.isdisjoint(words) else 1.0
-            clause_sum = threat = 0.0
-            for i in at:
-                weight, harm = hot[words[i]]
-                before = words[max(0, i - 3):i]
-                negated = not NEGATIONS.isdisjoint(before)
-                if weight:
-                    hits += 1
-                    clause_sum += weight * (0.3 if negated else 1.0)
-                    if weight >= 2.0 and not negated:
-                        strong.add(words[i])
-                if harm and not negated and not OPENERS.isdisjoint(before):
-                    threat = 1.0
-            value = (clause_sum * aimed + threat) * reported
-            total += value
-            best = max(best, value)
-            threat_sum += threat * reported
-            clauses += value > 1.0
-        n = len(words_read)
-        return [math.log1p(total), math.log1p(best), math.log1p(clauses), math.log1p(hits), math.log1p(len(strong)),
-                math.log1p(100 * hits / n), math.log1p(100 * total / n), math.log1p(threat_sum)]
+            score, threat = self.clause(words, memo)
+            total, best, threats = total + score, max(best, score), threats + threat
+            matched += score >= LEAST_WEIGHT
+        return [math.log1p(total), math.log1p(best), math.log1p(matched), math.log1p(100 * total / len(read)), math.log1p(threats)]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words and stems of each labelled text, as counts per batch and label."""
+    """Distinct words and stems of each labelled text, and its words shortly after an opener (with a leading blank),
+    as counts per batch and label."""
     for batch in in_slices(batches, "text"):
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist()):
-            found = set(_WORD.findall((text or b"").decode().lower()))
-            found |= {w[:n] + "*" for w in found for n in STEMS if n <= len(w)}
+            read = _WORD.findall((text or b"").decode().lower())
+            found = set(read)
+            opened = {" " + w for i, x in enumerate(read) if x in OPENERS for w in read[i + 1:i + 1 + NEAR]}
+            found |= {w[:n] + "*" for w in found for n in STEMS if n <= len(w)} | opened
             for w in found:
                 counts.setdefault(w, [0, 0])[toxic] += 1
         if counts:
@@ -179,8 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     listed = (counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
               .where(F.col("toxic") >= LEAST_DOCS).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
               .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry").limit(lexicon).collect())
-    grammar.entries = {r["entry"]: r["weight"] for r in listed}
-    blank = Grammar(entries=grammar.entries)
+    grammar.entries = {r["entry"]: r["weight"] for r in listed if r["entry"][0] != " "}
+    grammar.harm = {r["entry"][1:]: r["weight"] for r in listed if r["entry"][0] == " "}
+    blank = Grammar(entries=grammar.entries, harm=grammar.harm)
 
     def features(batches):
         memo: dict = {}
@@ -227,7 +312,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents scored ``threshold`` or more; columns as they are."""
+    """``docs`` without the documents scored ``threshold`` or more; columns as they are.
+
+    Null and empty texts have no match and stay unless the labels say that even such are toxic; copies and
+    repeated rows go or stay together, whatever their ids; an empty table gives an empty one."""
     names = docs.columns
     grammar = train(docs, labels, id_col, text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))

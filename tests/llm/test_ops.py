@@ -172,12 +172,79 @@ def test_toxicity_held_out(spark):
     assert right[1, 1] >= 0.9 * (right[1, 1] + right[1, 0]) and right[0, 1] <= 0.01 * (right[0, 1] + right[0, 0])
 
 
+def test_composed_machine_equals_its_parts_one_after_the_other():
+    """The product of the five machines gives each word the value that it has after a run through each of them."""
+    parts, whole = toxicity.grammar_parts(), toxicity.CLAUSES
+    assert len(whole.arcs) > 100 and all(len(row) == len(toxicity.LABELS) for row in whole.arcs)
+    rng = random.Random(2)
+    for _ in range(500):
+        labels = [rng.choice(toxicity.LABELS) for _ in range(rng.randrange(0, 30))]
+        values = [rng.choice([0.0, 1.5, 3.0]) if x in (toxicity.INSULT, toxicity.HARM) else 0.0 for x in labels]
+        stepwise = values
+        for machine in parts:
+            stepwise = machine.run(labels, stepwise)
+        assert whole.run(labels, values) == pytest.approx(stepwise)
+
+
+def test_machines_against_their_descriptions():
+    """Each part against a search through the words before, without states."""
+    T, rng = toxicity, random.Random(3)
+    for _ in range(300):
+        labels = [rng.choice(T.LABELS) for _ in range(rng.randrange(1, 20))]
+        values = [float(rng.randrange(1, 5)) for _ in labels]
+        near = lambda i, label, reach: label in labels[max(0, i - reach):i]
+        got = T.within(3, T.NEGATION, T.SCORED, factor=0.3).run(labels, values)
+        assert got == [v * 0.3 if x in T.SCORED and near(i, T.NEGATION, 3) else v for i, (x, v) in enumerate(zip(labels, values))]
+        got = T.within(2, T.INSULT, (T.TARGET,), addend=0.5).run(labels, values)
+        assert got == [v + 0.5 if x == T.TARGET and near(i, T.INSULT, 2) else v for i, (x, v) in enumerate(zip(labels, values))]
+        want, quoted, reported = [], False, False
+        for x, v in zip(labels, values):
+            want.append(v / 2 if x in T.SCORED and (quoted or reported) else v)
+            if x == T.QUOTE:
+                quoted, reported = not quoted, False
+            elif x == T.REPORT and not quoted:
+                reported = True
+        assert T.reported_speech().run(labels, values) == want
+        want, open_until = [], -1
+        for i, (x, v) in enumerate(zip(labels, values)):
+            harm = x == T.HARM and i <= open_until
+            want.append(v if x == T.INSULT else v + 1 if harm else 0.0)
+            if x == T.OPENER or harm:
+                open_until = i + T.NEAR
+        assert T.insult_and_threat().run(labels, values) == want
+
+
 def test_grammar_weighs_clauses():
     g = toxicity.Grammar(entries={"idiot": 3.0, "vequ*": 3.0})
-    plain, negated, reported = (g.features(t, {})[0] for t in ("You idiot", "You are not an idiot", 'He said "you idiot"'))
-    assert plain > reported > 0 and plain > negated > 0
-    assert g.features("vequelle", {})[0] > 0 and not any(g.features("fine day", {}))
-    assert g.features("I will kill", {})[7] > 0 and not g.features("I will not kill", {})[7]
+    score = lambda t: g.score(t)
+    nothing, word, aimed = score("a fine day"), score("idiot"), score("You idiot")
+    negated, quoted, reported = score("You are not an idiot"), score('She wrote "you idiot"'), score("They said you idiot")
+    assert nothing < negated < word < aimed and quoted < word and reported < word
+    # matched words alone tell nothing: only what the clauses make of them
+    assert score("not an idiot. never an idiot. no idiot") < score("idiot. idiot. idiot")
+    assert score("vequelle") > nothing and g.label("vequelle") == (toxicity.INSULT, 3.0)
+    threat = score("I am going to murder you and strangle your family")
+    assert threat > score("I will not kill you") > nothing and threat > score("They will kill time") and score("murder mystery") == nothing
+    assert score("") == score("x" * 100_000) == nothing
+
+
+def test_verbs_of_harm_are_learned(spark):
+    rng = random.Random(1)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        t = [rng.choice(words) for _ in range(30)]
+        toxic = i % 3 == 0
+        t[10:13] = ["will", rng.choice(words), "zorvex"] if toxic else ["will", rng.choice(words), rng.choice(words)]
+        if not toxic:
+            t[25] = "zorvex"  # the word itself is in all documents
+        rows.append((i, " ".join(t), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    grammar = toxicity.train(docs, labels)
+    assert "zorvex" in grammar.harm and "zorvex" not in grammar.entries
+    told = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert sum(told[i] == y for i, _, y in rows) >= 590
 
 
 def test_language_held_out(spark):
@@ -185,22 +252,53 @@ def test_language_held_out(spark):
     assert told.where("lang_pred = lang").count() >= 0.98 * told.count()
 
 
-def test_phrases_equal_greedy_parsing():
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+def test_phrases_equal_greedy_parsing(monkeypatch, dense):
+    """Exactly as many phrases as a search for the longest piece from each start on; unknown symbols are phrases of their own."""
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(5)
     text = "".join(rng.choice("abc ") for _ in range(300))
     model = langid.Languages({"x": [text]})
     ref = "".join(" abc"[c] for c in model.letters.read(text)) + " "
-    for _ in range(30):
-        doc = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 60)))
-        symbols = model.letters.read(doc)
+    docs = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["ddd", "d", "dad", "add", "a", "abcabcd d"]
+    read = sorted((model.letters.read(d) for d in docs), key=len, reverse=True)
+    want = []
+    for symbols in read:
         s, at, n = "".join(" abc?"[c] for c in symbols), 0, 0
         while at < len(s):
             k = 1
-            while at + k < len(s) and s[at:at + k + 1] in ref and s[at] in ref:
+            while at + k < len(s) and s[at:at + k + 1] in ref:
                 k += 1
             at, n = at + k, n + 1
-        got = langid.phrases(symbols[:, None], np.array([len(symbols)]), model.steps[0])[0]
-        assert abs(int(got) - n) <= s.count("?") + 1
+        want.append(n)
+    blocks = np.zeros((len(read[0]), len(read)), dtype=read[0].dtype)
+    for i, symbols in enumerate(read):
+        blocks[:len(symbols), i] = symbols
+    assert langid.phrases(blocks, np.array([len(x) for x in read]), model.steps[0]).tolist() == want
+
+
+def test_letters_with_a_long_lower_case_are_letters(spark):
+    model = langid.Languages({"tr": ["istanbul ilık İzmir"], "x": ["zzz qqq"]})
+    names, scores = model.tell(["İİİ İ", "İZ", "̇̇ 1 !", None])
+    assert names == ["tr", "tr", "und", "und"] and scores[0] > 0 and scores[2:] == [0.0, 0.0]
+    for point in range(0x10000):
+        if not 0xD800 <= point < 0xE000:
+            letter = __import__("unicodedata").category(chr(point)).startswith("L")
+            assert bool(model.letters._of(point)) == letter
+
+
+def test_language_learns_from_whole_texts(spark):
+    """What tells two languages apart stands at the end of their texts, beyond any prefix."""
+    same, rows = "lorem ipsum " * 150, []
+    for i in range(400):
+        lang = "ab"[i % 2]
+        rows.append((i, same + ("xyx yxy " if lang == "a" else "uvu vuv ") * 60, lang, "s", 1, 1, "t", "r"))
+    rows += [(1000 + i, "x" * 3 + "yx" * 9_000, "long", "s", 1, 1, "t", "r") for i in range(9)]  # only long texts in this one
+    table = spark.createDataFrame(rows, DOC)
+    model = langid.train(table)
+    assert model.names == ["a", "b", "long"]
+    told = {r.doc_id: r.lang_pred for r in langid.identify(table).collect()}
+    assert all(told[i] == "ab"[i % 2] for i in range(400))
 
 
 def test_scripts_of_many_letters_are_told_apart(monkeypatch):
@@ -445,3 +543,35 @@ def test_pipeline_stages(spark):
         assert now.columns == table.columns
     packed = corpus_pipeline.run(spark, SF_SMALL)
     assert packed.select("doc_id").distinct().count() == now.count() < table.count()
+
+
+def test_near_duplicates_with_one_id_and_other_texts(spark):
+    """Rows that share an id but not the text stand for their own groups, whichever row comes first."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (4, c), (5, None), (6, ""), (None, a)]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame([(i, t, "en", "s", 1, 7, "x", "y") for i, t in order], DOC)
+        kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(table, 4, 4).collect()), key=str)
+        assert kept == sorted([(1, a), (1, b), (4, c), (5, None), (None, a)], key=str)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty, name, tmp_path):
+    """Each stage on nulls, empties, copies, repeated rows, a null id, a long text and clashing names, and on no rows."""
+    for t, rows in (("labels", [(6, 0, 0), (4, 0, 0), (None, 1, 1)]), ("benchmark", [("a", "no such words here at all"), ("c", None)])):
+        schema = "doc_id long, quality int, toxic int" if t == "labels" else "item_id string, text string"
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, awkward, str(tmp_path))
+    ids = {r.doc_id for r in out.select("doc_id").collect()}
+    assert stage(spark, empty, str(tmp_path)).count() == 0
+    if name == "packing":
+        assert ids == {r.doc_id for r in awkward.select("doc_id").collect()}
+        return
+    assert out.columns == awkward.columns
+    assert out.exceptAll(awkward).count() == 0 or name == "substrings"
+    assert None in ids and 7 in ids
+    if name in ("substrings", "decontamination"):
+        assert out.count() == awkward.count()
+    if name == "simhash":
+        assert out.count() == out.select("doc_id").distinct().count()
