@@ -12,7 +12,10 @@ the length bound (it ends within it) are applied, and the words are compared.
 The main path is DataFrame functions in one generated stage: words, explode,
 look-up, bounds and comparison are pipelined, so a document's word array is
 never copied per word. The look-up table is broadcast in parts of at most
-``PART`` windows; a larger benchmark takes more passes over the documents.
+``PART`` rows and about ``PART_BYTES`` bytes (a word is any run of non-ASCII
+characters, so rows alone bound nothing); a larger benchmark takes more passes
+over the documents. A single window of more bytes than that is joined by a
+shuffle, as are all if there would be more than ``PASSES`` parts.
 
 Edge cases: null and empty texts have no words. Items without words or with
 a null id take no part; rows that share an item id are one item with several
@@ -31,6 +34,8 @@ from opsframes.llm._common import keep, only
 
 WIDTH = 10
 PART = 500_000
+PART_BYTES = 48 << 20
+PASSES = 16
 _BREAKS = "".join(chr(c) for c in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
@@ -54,8 +59,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     rows = only(docs, id=id_col, text=text_col)
     rows = rows.select("id", F.xxhash64("text").alias("tag"), words_of(F.col("text")).alias("words"))
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    counts = [rows.select(F.explode("words").alias("word")).join(F.broadcast(part), "word").groupBy("word").count()
-              for part in _parts(vocabulary, "word")]
+    counts = [rows.select(F.explode("words").alias("word")).join(part, "word").groupBy("word").count()
+              for part in _parts(vocabulary, "word", F.octet_length("word"))]
     common = keep(vocabulary.join(reduce(DataFrame.unionByName, counts), "word", "left")
                   .select("word", F.coalesce("count", F.lit(0)).alias("n")), "decontaminate-counts")
     placed = windows.select("win_id", "win", F.posexplode("win").alias("at", "word")).join(common, "word")
@@ -63,8 +68,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     prefixes = keep(rarest.select(F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at"), "win_id", "win"),
                     "decontaminate-prefixes")
     found = []
-    for part in _parts(prefixes, "win_id"):
-        met = rows.select("id", "tag", "words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(part), "word")
+    for part in _parts(prefixes, "win_id", 2 * F.octet_length("win_id")):
+        met = rows.select("id", "tag", "words", F.posexplode("words").alias("pos", "word")).join(part, "word")
         start = F.col("pos") - F.col("at")
         bounds = (start >= 0) & (start + F.size("win") <= F.size("words"))
         same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")
@@ -72,10 +77,14 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     return reduce(DataFrame.unionByName, found)
 
 
-def _parts(table: DataFrame, key: str) -> list[DataFrame]:
-    """``table`` in parts of about ``PART`` rows, small enough to broadcast."""
-    n = max(1, -(-table.count() // PART))
-    return [table] if n == 1 else [table.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+def _parts(table: DataFrame, key: str, size: Column) -> list[DataFrame]:
+    """``table`` in parts marked for broadcast, each of about ``PART`` rows and ``PART_BYTES`` bytes at most by
+    ``size`` (a row's bytes); the table itself, unmarked, if it can't be cut so."""
+    told = table.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("most")).first()
+    n = max(1, -(-told["n"] // PART), -(-(told["bytes"] or 0) // PART_BYTES))
+    if n > PASSES or (told["most"] or 0) > PART_BYTES:
+        return [table]
+    return [F.broadcast(table if n == 1 else table.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
 
 
 def _hits(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str):
@@ -113,7 +122,10 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs; columns as they are."""
+    """``docs`` without the documents in which a benchmark window occurs; columns as they are.
+
+    Null and empty texts hold no window and stay. Copies and repeated rows go or stay together; rows that share
+    an id but not the text are judged each by its text. An empty table gives an empty one, an empty benchmark all rows."""
     names = docs.columns
     hits, _ = _hits(docs, items, width, id_col, text_col, item_col, item_text_col)
     # written, so that the planner knows its size: ids are broadcast where they are few, else both sides are sorted

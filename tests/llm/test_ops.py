@@ -575,3 +575,16 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, empty, name, tmp_pat
         assert out.count() == awkward.count()
     if name == "simhash":
         assert out.count() == out.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("limits", [(3, 1 << 30, 1000), (10 ** 6, 400, 1000), (10 ** 6, 60, 1), (10 ** 6, 5, 10 ** 6)])
+def test_decontamination_in_any_parts(spark, awkward, benchmark, monkeypatch, limits):
+    """Parts by rows or by bytes, or a shuffle join where it would be too many or a window is too long: the same rows."""
+    items = benchmark.unionByName(spark.createDataFrame([("cjk", "漢字" * 50)], "item_id string, text string"))
+    texts = awkward.unionByName(docs(spark, ["before " + "漢字" * 50 + " after"], first=77))
+    want = sorted(map(str, decontaminate.contamination(texts, items).collect()))
+    assert sum("contaminated=True" in r for r in want) >= 3
+    for name, value in zip(("PART", "PART_BYTES", "PASSES"), limits):
+        monkeypatch.setattr(decontaminate, name, value)
+    got = decontaminate.contamination(texts, items)
+    assert sorted(map(str, got.collect())) == want
