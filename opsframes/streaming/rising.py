@@ -4,8 +4,8 @@ The batch rule (:func:`opsframes.functions.windows.rising_run`) looks at a row
 and the ``length - 1`` rows before it in its key's series. On a stream the
 state of a key is those last values, and the samples that are not final yet.
 A sample is final once the watermark has reached its time, since nothing
-earlier can arrive any more: an event-time timer at that time takes all final
-samples in time order. So order of arrival inside the watermark does not
+earlier can arrive any more: an event-time timer at the earliest of these times
+takes all samples that are final by then, in time order. So order of arrival inside the watermark does not
 matter, and state is bounded by the samples of the watermark's delay plus
 ``length - 1`` values a key.
 
@@ -31,39 +31,50 @@ def _processor(key_name: str, value: str, length: int, passed: list[str]):
     def number(x):
         return None if pd.isna(x) else float(x)
 
+    def due(sample):
+        """The millisecond at which the watermark makes a sample final."""
+        return -(-sample[0] // 1000)
+
     class RisingRuns(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            # by the millisecond of their timer: the samples that wait for the watermark
-            self.waiting = handle.getMapState("waiting", "due long", "samples array<struct<at:long,value:double,row:array<double>>>")
+            # samples that wait for the watermark, and the last values of those it has passed
+            self.waiting = handle.getValueState("waiting", "samples array<struct<at:long,value:double,row:array<double>>>")
             self.recent = handle.getValueState("recent", "values array<double>")
 
+        def _held(self):
+            return [tuple(x) for x in self.waiting.get()[0]] if self.waiting.exists() else []
+
         def handleInputRows(self, key, rows, timerValues):
+            held = self._held()
+            before = min((due(x) for x in held), default=None)
             for batch in rows:
-                came = {}
                 for at, v, *row in zip(batch["at_micros"], batch[value], *(batch[c] for c in passed)):
-                    came.setdefault(-(-int(at) // 1000), []).append((int(at), number(v), [number(x) for x in row]))
-                for due, samples in came.items():
-                    if self.waiting.containsKey((due,)):
-                        samples = [tuple(x) for x in self.waiting.getValue((due,))[0]] + samples
-                    else:
-                        self.handle.registerTimer(due)
-                    self.waiting.updateValue((due,), (samples,))
+                    held.append((int(at), number(v), [number(x) for x in row]))
+            self.waiting.update((held,))
+            first = min(due(x) for x in held)
+            if before is None or first < before:
+                self.handle.registerTimer(first)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            # timers of a key expire in the order of their times
-            due = expiredTimerInfo.getExpiryTimeInMs()
+            reached = timerValues.getCurrentWatermarkInMs()
+            held = self._held()
+            final = sorted((x for x in held if due(x) <= reached), key=lambda x: (x[0], x[1] is not None, x[1] or 0.0))
+            if not final:  # another timer of this batch has taken them
+                return
             recent = list(self.recent.get()[0]) if self.recent.exists() else []
             out = []
-            samples = [tuple(x) for x in self.waiting.getValue((due,))[0]]
-            for at, v, row in sorted(samples, key=lambda x: (x[0], x[1] is not None, x[1] or 0.0)):
+            for at, v, row in final:
                 chain = [*recent, v][-length:]
                 rising = len(chain) == length and None not in chain and all(a < b for a, b in zip(chain, chain[1:]))
                 out.append((*key, at, v, rising, *row))
                 recent = chain[1 - length:] if length > 1 else []
-            self.waiting.removeKey((due,))
             self.recent.update((recent,))
+            left = [x for x in held if due(x) > reached]
+            self.waiting.update((left,))
+            if left:
+                self.handle.registerTimer(min(map(due, left)))
             yield pd.DataFrame(out, columns=[key_name, "at_micros", value, "rising", *passed])
 
         def close(self):
