@@ -62,6 +62,18 @@ def test_summary_cards_scan_once(spark, tables):
         assert plan(df).count("FileScan parquet") == 1
 
 
+def test_distinct_counts_work_on_pairs_not_on_rows(spark, tables):
+    p = plan(A.activity_summary(tables.user_activities))
+    # bottom up: the scan, the count per pair, and only then the doubling for two distinct counts
+    below = p[p.index("Expand"):]
+    assert "functions=[partial_count(1)" in below[:below.index("FileScan")], p
+
+
+def test_latest_action_hash_aggregates(spark, tables):
+    from opsframes.operators import alerts as AL
+    assert "SortAggregate" not in plan(AL.apply_alert_actions(tables.alerts, tables.alert_actions))
+
+
 def test_crosstab_scans_once_without_pivot(spark, tables):
     p = plan(L.log_class_by_severity(tables.logs))
     assert "pivotfirst" not in p.lower()
