@@ -170,7 +170,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = keep(only(docs, id=id_col, text=text_col).select(
         "id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("h")), "sharding")
+        F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at")), "sharding")
     groups = keep(rows.groupBy("h").agg(F.sum("size").alias("bytes")), "sharding-groups")
     order, large, low = blocks(groups, shards)
     cuts = cut([b[2] for b in order], shards, low)
@@ -188,11 +188,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         rows = rows.withColumn("shard", small_shard)
     count = rows.count()
     buckets = max(1, -(-count // ROWS_PER_BUCKET))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(buckets)))
+    # by the row's own number, so that repeated rows are spread
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
              .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    inside = Window.partitionBy("shard", "bucket").orderBy("h", "id")
+    inside = Window.partitionBy("shard", "bucket").orderBy("h", "id", "at")
     return (dealt.withColumn("n", F.row_number().over(inside) - 1).join(shift, ["shard", "bucket"])
             .select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"),
                     (F.col("n") + F.col("before")).alias("slot")))
