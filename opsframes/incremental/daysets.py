@@ -12,11 +12,13 @@ Loads are whole days: loading a day again replaces its sets and counts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import event_date
-from ..sources.files import exists
+from ..sources.files import exists, remove
 
 COLUMNS = ("user_id", "ip_address")
 SETS = "name string, bucket long, bits binary, date date"
@@ -40,13 +42,15 @@ class DaySets:
         return (activities.where(F.col("timestamp").isNotNull()).select(event_date("timestamp").alias("date"), pair)
                 .select("date", "p.name", "p.value").where("value is not null").distinct())
 
-    def _add_numbers(self, values: DataFrame, name: str) -> None:
-        """Dense numbers for values without one: numbered within partitions, shifted by the counts of those before."""
-        known = self._numbers()
+    def _add_numbers(self, values: DataFrame) -> None:
+        """Dense numbers for values without one: numbered within partitions, shifted by the counts of those before.
+
+        Each call appends a folder of its own and none is ever overwritten, so a number once given stays."""
+        known, name = self._numbers(), uuid.uuid4().hex
         fresh = values.select("name", "value").distinct().join(known, ["name", "value"], "left_anti")
         at = f"{self.path}/fresh-{name}"
         (fresh.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
-         .write.mode("overwrite").parquet(at))
+         .write.parquet(at))
         placed = self.spark.read.schema("name string, value string, part int, n long").parquet(at)
         parts = placed.groupBy("part").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
         most = known.agg(F.max("number")).first()[0] or 0
@@ -56,12 +60,13 @@ class DaySets:
             most += r["rows"]
         shifts = self.spark.createDataFrame(shift, "part int, shift long")
         (placed.join(F.broadcast(shifts), "part").select("name", "value", (F.col("n") + F.col("shift")).alias("number"))
-         .write.mode("overwrite").parquet(f"{self.path}/numbers/load={name}"))
+         .write.parquet(f"{self.path}/numbers/load={name}"))
+        remove(self.spark, at)
 
-    def load(self, activities: DataFrame, name: str) -> None:
-        """Add whole days of activities under a load name. Numbers of an earlier try stay valid, so a repeated load is harmless."""
+    def load(self, activities: DataFrame) -> None:
+        """Add whole days of activities; a day loaded again is replaced. One load at a time, as it gives out numbers."""
         values = self._values(activities)
-        self._add_numbers(values, name if not exists(self.spark, f"{self.path}/numbers/load={name}") else f"{name}-again")
+        self._add_numbers(values)
         sets = (values.join(self._numbers(), ["name", "value"])
                 .groupBy("date", "name", F.bitmap_bucket_number("number").alias("bucket"))
                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))

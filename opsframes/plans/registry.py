@@ -146,9 +146,9 @@ def _summary_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = catalog(spark, sf_dir)
     store = DaySets(spark, scratch_path(spark, "daysets"))
     days = _days(t, "user_activities")
-    for i, part in enumerate((days[::2], days[1::2])):
+    for part in (days[::2], days[1::2]):
         if part:
-            store.load(t.user_activities.where(F.to_date("timestamp").isin(part)), f"load-{i}")
+            store.load(t.user_activities.where(F.to_date("timestamp").isin(part)))
     return store.summary(**P.SUMMARY_RANGE)
 
 

@@ -136,6 +136,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = _file_system(spark, path)
+    system.delete(p, True)
+
+
 def folder_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """The values of a partition column from its ``column=value`` folders, sorted; no file is opened."""
     system, p = _file_system(spark, path)

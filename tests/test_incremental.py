@@ -95,14 +95,16 @@ def test_rollup_with_late_rows_equals_one_pass(spark):
 def test_ranges_from_day_sets(spark, activities):
     store = DaySets(spark, scratch_path(spark, "test-daysets"))
     assert [tuple(r) for r in store.summary().collect()] == [(0, 0, 0, 0)]
-    store.load(_days(activities, 0, 1, 2, 7), "a")
-    store.load(_days(activities, 3, 4, 5, 6, 8, 9), "b")
+    store.load(_days(activities, 0, 1, 2, 7))
+    store.load(_days(activities, 3, 4, 5, 6, 8, 9))
     for lo, hi in [(0, 9), (2, 3), (4, 4), (8, 9), (20, 21)]:
         start, end = START.date() + dt.timedelta(days=lo), START.date() + dt.timedelta(days=hi)
         want = activity_summary(_days(activities, *range(lo, hi + 1)))
         assert _rows(store.summary(start, end)) == _rows(want), (lo, hi)
     assert _rows(store.summary()) == _rows(activity_summary(activities))
-    store.load(_days(activities, 3), "b3")  # a day loaded again replaces itself
+    few = _days(activities, 3).where("user_id <> 'hot'").withColumn("user_id", F.concat(F.lit("other-"), "user_id"))
+    for again in (few, few, _days(activities, 3), _days(activities, 3)):  # a day loaded again replaces itself, also with values never seen
+        store.load(again)
     assert _rows(store.summary()) == _rows(activity_summary(activities))
     numbers = store._numbers()
     assert numbers.groupBy("name", "value").count().where("count > 1").count() == 0
@@ -117,7 +119,7 @@ def test_many_values_fill_several_buckets(spark):
                                  F.concat(F.lit("u"), "id").alias("user_id"), F.lit("a").alias("action"), F.lit("1").alias("ip_address"),
                                  F.lit(False).alias("is_suspicious"), F.lit(None).cast("string").alias("reason"))
     store = DaySets(spark, scratch_path(spark, "test-many"))
-    store.load(rows, "a")
-    store.load(rows.where("activity_id % 2 = 0").withColumn("timestamp", F.lit(START + dt.timedelta(days=1)).cast("timestamp_ntz")), "b")
+    store.load(rows)
+    store.load(rows.where("activity_id % 2 = 0").withColumn("timestamp", F.lit(START + dt.timedelta(days=1)).cast("timestamp_ntz")))
     assert [r.unique_users for r in store.summary().collect()] == [n]
     assert [r.unique_users for r in store.summary(START.date() + dt.timedelta(days=1)).collect()] == [n // 2]
