@@ -9,7 +9,8 @@ in double precision.
 
 Fitted on a bounded sample (``SAMPLE`` distinct vectors, picked by a hash of
 the vector): the codebooks, and the share to open, which is what the true
-neighbours of sampled queries need for ``RECALL`` and a margin. Every vector
+neighbours of sampled queries need for ``RECALL`` and a margin. The codebooks
+grow with the root of the table, so cells grow in number with it. Every vector
 is indexed. On data without structure that share is large (about 0.6 on the
 test vectors, which are close to random in 64 dimensions).
 
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from opsframes.llm._common import keep, only
 
 K = 20
-CODES = 32
+#: Codes a half: an eighth of the root of the number of vectors, within these bounds.
+CODES, MOST_CODES = 32, 256
 SAMPLE = 16384
 RECALL = 0.95
 MARGIN = 1.1
@@ -123,7 +125,7 @@ def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
     return np.stack(values).astype(np.float64) if len(values) else np.zeros((0, dims))
 
 
-def search(vectors: DataFrame, is_query, k: int = K, codes: int = CODES, sample: int = SAMPLE, recall: float = RECALL,
+def search(vectors: DataFrame, is_query, k: int = K, codes: int | None = None, sample: int = SAMPLE, recall: float = RECALL,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` found nearest of each row that
     ``is_query`` (a predicate on the column ``id``) holds for, by inner product."""
@@ -133,10 +135,10 @@ def search(vectors: DataFrame, is_query, k: int = K, codes: int = CODES, sample:
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = rows.where("id is not null and vec is not null").where(sound).select("id", F.col("vec").cast("array<double>").alias("vec"))
     result = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    sizes = sorted(rows.groupBy(F.size("vec").alias("n")).count().collect(), key=lambda r: (-r["count"], r["n"]))
-    if not sizes:
+    usual = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if usual is None:
         return spark.createDataFrame([], result)
-    dims = sizes[0]["n"]
+    dims = usual["n"]
     rows = rows.where(F.size("vec") == dims)
 
     # equal vectors: one entry with the k + 1 smallest ids
@@ -146,6 +148,7 @@ def search(vectors: DataFrame, is_query, k: int = K, codes: int = CODES, sample:
     queries = keep(rows.where(is_query).groupBy("vec").agg(F.min("id").alias("qkey")), "ann-queries")
 
     total = entries.count()
+    codes = codes or max(CODES, min(MOST_CODES, round(total ** 0.5 / 8)))
     part = min(1 << 20, -(-sample * (1 << 20) // total))
     drawn = entries.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < part).select("vec").collect()
     drawn = drawn or entries.select("vec").limit(1).collect()  # a tiny table may draw none

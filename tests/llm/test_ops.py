@@ -588,3 +588,59 @@ def test_decontamination_in_any_parts(spark, awkward, benchmark, monkeypatch, li
         monkeypatch.setattr(decontaminate, name, value)
     got = decontaminate.contamination(texts, items)
     assert sorted(map(str, got.collect())) == want
+
+
+def _nearest_by_hand(vectors, k=20, every=20):
+    ids = sorted(vectors)
+    m = np.array([vectors[i] for i in ids])
+    out = {}
+    for q in (i for i in ids if i % every == 0):
+        scores = m @ np.array(vectors[q])
+        order = sorted((x for x in range(len(ids)) if ids[x] != q), key=lambda x: (-scores[x], ids[x]))[:k]
+        out[q] = [(ids[x], scores[x]) for x in order]
+    return out
+
+
+def _recall(got, want):
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r.vec_id] = (r.rank, r.score)
+    for q, hits in found.items():
+        assert sorted(rank for rank, _ in hits.values()) == list(range(1, len(want[q]) + 1))
+    return np.mean([len({i for i, _ in want[q]} & found.get(q, {}).keys()) / max(1, len(want[q])) for q in want])
+
+
+def test_nearest_on_the_given_table(spark):
+    rows = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").collect()
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in rows
+               if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)}
+    got = queries.op2_nearest(spark, SF_CHECK).collect()
+    want = _nearest_by_hand(vectors)
+    assert _recall(got, want) >= 0.9
+    for r in got:
+        assert r.score == pytest.approx(float(np.dot(vectors[r.query_id], vectors[r.vec_id])), abs=1e-12)
+
+
+def test_clustered_vectors_open_few_cells(spark):
+    """On vectors in clusters a query opens a small share of the table for the wanted recall."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    m = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 32)) * 0.05
+    index = ann.MultiIndex(m, 32, 20, ann.RECALL)
+    assert index.share < 0.3
+    table = spark.createDataFrame([(i, [float(x) for x in v], "clash", 1) for i, v in enumerate(m)],
+                                  "vec_id long, embedding array<double>, vec string, id int")
+    got = ann.search(table, F.pmod("id", F.lit(20)) == 0).collect()
+    assert _recall(got, _nearest_by_hand(dict(enumerate(m.tolist())))) >= 0.9
+
+
+def test_nearest_leaves_unsound_vectors_out(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [inf, 0.0]), (2, [1.0, -inf]), (3, [nan, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (None, [1.0, 1.0]),
+            (7, [2.0, 0.0]), (8, [1.0, 1.0, 1.0]), (9, []), (10, [1.0, 0.0]), (20, [3.0, 3.0]), (20, [3.0, 3.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.pmod("id", F.lit(20)) == 0).collect()
+    told = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        told.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert told == {0: [(20, 3.0), (7, 2.0), (10, 1.0)], 20: [(7, 6.0), (0, 3.0), (10, 3.0)]}
