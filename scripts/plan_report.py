@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SIDE_EFFECT_KEYS = {"export_table", "stream_log_volume", "stream_alerts"}
+SIDE_EFFECT_KEYS = {"export_table", "export_table_csv", "stream_log_volume", "stream_alerts", "stream_alert_actions", "text_logs_quarantine"}
 
 
 def _final(plan: str) -> str:
@@ -78,7 +78,7 @@ def summarize(plan: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from opsframes.plans import registry
     from opsframes.session import build_session
 
     spark = build_session("plan-report")
@@ -90,7 +90,7 @@ def main() -> None:
           "output, so their plans are the read-back only and are not listed.\n")
     print("| query | scans: table [columns read], pushed / partition filters | shuffles | joins | aggregates | other |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         if name in SIDE_EFFECT_KEYS:
             continue
         df = fn(spark, sf_dir)
