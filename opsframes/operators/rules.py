@@ -221,33 +221,35 @@ def activity_alerts(activities: DataFrame, exports: int = 2, deletions: int = 2)
     """New-location, export-volume and deletion findings as alerts, from one pass over the activities.
 
     Each activity becomes the rows it counts for: its (user, day) if an export,
-    its (user, hour) if a deletion, and its (user, ip, action) as a sighting;
-    one aggregate gives counts and first sightings. What is left per user is
-    pairs, days and hours, so a hot user is small before the windows.
+    its (user, hour) if a deletion, and its (user, ip) as a sighting; one
+    aggregate gives counts and first sightings, and a second one over its rows
+    (whose shuffle is reused) each user's very first. Both combine map-side and
+    the join can be split, so a user with a third of all activities, or of all
+    locations, is no hot spot.
     """
     at = F.unix_micros(event_time("timestamp"))
-    none = F.lit(None).cast("string")
 
-    def candidate(when: Column, rule: str, ip: Column, action: Column, period: Column) -> Column:
+    def candidate(when: Column, rule: str, ip: Column, period: Column) -> Column:
         return F.when(when & F.col("user_id").isNotNull(), F.struct(
-            F.lit(rule).alias("rule"), "user_id", ip.alias("ip"), action.alias("action"), period.alias("period")))
+            F.lit(rule).alias("rule"), "user_id", ip.alias("ip"), period.alias("period")))
 
+    none = F.lit("")
     counted = F.array_compact(F.array(
-        candidate(F.col("action") == "export_data", "export_volume", none, none, F.floor(at / F.lit(_DAY)) * F.lit(_DAY)),
-        candidate(F.col("action") == "delete_resource", "deletions", none, none, F.floor(at / F.lit(_HOUR)) * F.lit(_HOUR)),
-        candidate(F.col("ip_address").isNotNull(), "new_location", F.col("ip_address"), F.col("action"), F.lit(0).cast("long")),
+        candidate(F.col("action") == "export_data", "export_volume", none, F.floor(at / F.lit(_DAY)) * F.lit(_DAY)),
+        candidate(F.col("action") == "delete_resource", "deletions", none, F.floor(at / F.lit(_HOUR)) * F.lit(_HOUR)),
+        candidate(F.col("ip_address").isNotNull(), "new_location", F.col("ip_address"), F.lit(0).cast("long")),
     ))
     rows = (activities.where(F.col("timestamp").isNotNull())
             .select(time_and_id("timestamp", "activity_id").alias("at"), F.explode(counted).alias("c")).select("at", "c.*")
-            .groupBy("rule", "user_id", "ip", "action", "period").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")))
-    rows = (rows.withColumn("user_first", F.min("at").over(Window.partitionBy("rule", "user_id")))
-            .withColumn("place", F.row_number().over(Window.partitionBy("rule", "user_id", "ip").orderBy("at", "action"))))
+            .groupBy("rule", "user_id", "ip", "period").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")))
+    # the count makes both uses of `rows` need the same columns, so that one shuffle serves both
+    firsts = rows.groupBy("rule", "user_id").agg(F.min("at").alias("user_first"), F.sum("n").alias("seen")).where("seen > 0")
     period, user = wall_clock(F.timestamp_micros("period")), F.col("user_id")
-    return raised(rows, [
+    return raised(rows.join(firsts, ["rule", "user_id"]), [
         ((F.col("rule") == "export_volume") & (F.col("n") >= exports),
          alert_fields("Suspicious Activity", "export_volume", period, "user", user)),
         ((F.col("rule") == "deletions") & (F.col("n") >= deletions), alert_fields("Suspicious Activity", "deletions", period, "user", user)),
-        ((F.col("rule") == "new_location") & (F.col("place") == 1) & (F.col("at") != F.col("user_first")),
+        ((F.col("rule") == "new_location") & (F.col("at") != F.col("user_first")),
          alert_fields("Suspicious Activity", "new_location", time_of("at"), "user", user, id_of("at"))),
     ])
 
