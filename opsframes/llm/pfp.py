@@ -63,6 +63,7 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _STEP = 1 << 20
 _LETTERS = np.random.default_rng(400).integers(1, 2 ** 32, 256, dtype=np.uint32)
 _BASE = 0x9E3779B1
+_PLACES = (1 << 24) - 1
 
 
 def _hashes(raw: np.ndarray) -> np.ndarray:
@@ -103,52 +104,78 @@ def _run_digests(digests: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def blocks(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor, whether the windows hold no trigger) of the blocks of windows."""
-    last = len(text) - width
-    if last < 0:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty.astype(bool)
-    c = triggers(text)
+def _least(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the least of ``size`` values from ``at`` on (by their upper bits; the first, if tied)."""
+    n = len(values)
+    # a value's upper 40 bits over its place, so that a minimum knows where it is; minima of 1, 2, 4, ... in a row
+    rows = [(values & ~np.uint64(_PLACES)) | np.arange(n, dtype=np.uint64) & np.uint64(_PLACES)]
+    out = np.empty(len(at), dtype=np.int64)
+    level = np.frexp(size)[1] - 1
+    for k in range(int(level.max()) + 1):
+        if k:
+            rows.append(np.minimum(rows[-1][:-(1 << k - 1)], rows[-1][1 << k - 1:]))
+        mine = np.flatnonzero(level == k)
+        if len(mine):
+            x = at[mine]
+            low = (np.minimum(rows[k][x], rows[k][x + size[mine] - (1 << k)]) & np.uint64(_PLACES)).astype(np.int64)
+            out[mine] = x + ((low - x) & _PLACES)
+    return out
+
+
+def blocks(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, anchor, whether the windows hold no trigger) of all blocks of windows, in order.
+
+    The texts are worked on as one; contexts and windows that cross from one to the next are left out."""
+    whole, size = b"".join(texts), np.array([len(t) for t in texts], dtype=np.int64)
+    offset = np.cumsum(size) - size
+    c = triggers(whole)
+    if len(texts):
+        own = np.searchsorted(offset, c, "right") - 1
+        inside = c + CONTEXT <= (offset + size)[own]
+        c, own = c[inside], own[inside]
     # a cell: the starts whose windows hold the same contexts, those from a to b
-    begin = np.unique(np.concatenate(([0], c + 1, c - (width - CONTEXT))))
-    begin = begin[(begin >= 0) & (begin <= last)]
+    early = c - (width - CONTEXT)
+    begin = np.sort(np.concatenate((offset[size >= width], c + 1, early[early >= offset[own]] if len(c) else early)))
+    begin = begin[np.concatenate(([True], begin[1:] != begin[:-1]))] if len(begin) else begin
+    owner = np.searchsorted(offset, begin, "right") - 1
+    last = (offset + size)[owner] - width
+    valid = begin <= last
+    begin, owner, last = begin[valid], owner[valid], last[valid]
+    if not len(begin):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none.astype(bool)
     a, b = np.searchsorted(c, begin), np.searchsorted(c, begin + (width - CONTEXT), "right") - 1
-    digests = np.array([xxhash.xxh3_64_intdigest(text[x:y + CONTEXT]) for x, y in zip(c[:-1].tolist(), c[1:].tolist())], dtype=np.uint64)
+    digests = np.array([xxhash.xxh3_64_intdigest(whole[x:y + CONTEXT]) for x, y in zip(c[:-1].tolist(), c[1:].tolist())], dtype=np.uint64)
+    held = b - a
     anchor, place = np.zeros(len(begin), dtype=np.uint64), np.full(len(begin), -1)
-    full = b - a >= RUN
-    if full.any():
-        runs, most = _run_digests(digests, RUN), int((b - a)[full].max()) - RUN + 1
-        best, where = runs[np.where(full, a, 0)], a.copy()
-        for o in range(1, most):
-            at = np.minimum(a + o, len(runs) - 1)
-            better = full & (a + o <= b - RUN) & (runs[at] < best)
-            best, where = np.where(better, runs[at], best), np.where(better, at, where)
-        anchor, place = np.where(full, best, anchor), np.where(full, where, place)
-    for n in range(RUN):
-        some = np.flatnonzero(b - a == n)
-        if len(some):
-            if n:
-                anchor[some] = _run_digests(digests, n)[a[some]]
-            else:
-                anchor[some] = [xxhash.xxh3_64_intdigest(text[x:x + CONTEXT]) for x in c[a[some]].tolist()]
-            place[some] = -2 - some  # cells of their own
-    end = np.append(begin[1:], last + 1) - 1
-    if len(begin) > 1:  # join cells of one anchor
-        new = np.concatenate(([True], place[1:] != place[:-1]))
-        first = np.flatnonzero(new)
-        begin, anchor, end = begin[first], anchor[first], end[np.append(first[1:], len(new)) - 1]
-        bare = b[first] < a[first]
-    else:
-        bare = b < a
+    full = np.flatnonzero(held >= RUN)
+    if len(full):
+        runs = _run_digests(digests, RUN)
+        place[full] = _least(runs, a[full], held[full] - RUN + 1)
+        anchor[full] = runs[place[full]]
+    few = np.flatnonzero((held >= 0) & (held < RUN))
+    for n in np.unique(held[few]).tolist() if len(few) else ():
+        some = few[held[few] == n]
+        if n:
+            anchor[some] = _run_digests(digests, n)[a[some]]
+        else:
+            anchor[some] = [xxhash.xxh3_64_intdigest(whole[x:x + CONTEXT]) for x in c[a[some]].tolist()]
+        place[some] = -2 - some  # cells of their own
+    # join cells of one text and anchor
+    end = np.minimum(np.append(begin[1:], last[-1] + 1) - 1, last)
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
+    first = np.flatnonzero(new)
+    end = end[np.append(first[1:], len(new)) - 1]
+    begin, owner, anchor, bare = begin[first], owner[first], anchor[first], held[first] < 0
     if bare.any():
         pieces = list(zip(begin[~bare].tolist(), end[~bare].tolist(), anchor[~bare].tolist(), bare[~bare].tolist()))
         for x, y in zip(begin[bare].tolist(), end[bare].tolist()):
             for z in range(x, y + 1, BARE):
-                pieces += _bare_blocks(text, z, min(z + BARE - 1, y), width)
+                pieces += _bare_blocks(whole, z, min(z + BARE - 1, y), width)
         columns = zip(*sorted(pieces))
         begin, end, anchor, bare = (np.array(x, dtype=k) for x, k in zip(columns, (np.int64, np.int64, np.uint64, bool)))
-    return begin, end, anchor.view(np.int64), bare
+        owner = np.searchsorted(offset, begin, "right") - 1
+    return owner, begin - offset[owner], end - offset[owner], anchor.view(np.int64), bare
 
 
 def _bare_blocks(text: bytes, first: int, last: int, width: int) -> list[tuple[int, int, int, bool]]:
@@ -164,28 +191,39 @@ def _bare_blocks(text: bytes, first: int, last: int, width: int) -> list[tuple[i
     return [(first + x, first + y, v * 0x9E3779B97F4A7C15 % (1 << 64), True) for x, y, v in zip(begin.tolist(), end.tolist(), low[begin].tolist())]
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
-
-
 def suffix_ranks(symbols: np.ndarray, left: np.ndarray, depth: int, pack: int = 1) -> np.ndarray:
     """Ranks of the suffixes of strings laid end to end, by prefix doubling.
 
     ``left`` holds the number of symbols to the end of each one's string. Equal
     ranks: equal suffixes, or ``depth`` symbols in common. ``pack`` symbols (then
-    under 512) make the first key."""
-    keys, n = symbols, len(symbols)
-    if pack > 1:
-        padded = np.concatenate((symbols + 1, np.zeros(pack, dtype=np.int64)))
-        keys = np.zeros(n, dtype=np.int64)
-        for k in range(pack):
-            keys = (keys << 9) | np.where(left > k, padded[k:k + n], 0)
-    rank, reach = _dense(keys), pack
-    while reach < depth and reach < int(left.max(initial=0)):
-        further = np.zeros(n, dtype=np.int64)
-        inside = np.flatnonzero(left > reach)
-        further[inside] = rank[inside + reach] + 1
-        rank, reach = _dense(rank * (n + 2) + further), 2 * reach
+    under 511) make the first key. A rank is the place of its group's first in
+    sorted order, so a round sorts only what is still tied and has symbols left."""
+    n = len(symbols)
+    padded = np.concatenate((symbols + 1, np.zeros(pack, dtype=np.int64)))
+    keys = np.zeros(n, dtype=np.int64)
+    for k in range(pack):
+        keys = (keys << (9 if pack > 1 else 0)) | np.where(left > k, padded[k:k + n], 0)
+    rank = np.zeros(n, dtype=np.int64)
+
+    def regroup(at: np.ndarray, old: np.ndarray, key: np.ndarray, reach: int) -> np.ndarray:
+        """``at``, sorted by old rank and key, gets new ranks; returns what is tied still and longer than ``reach``."""
+        place = np.arange(len(at))
+        group = np.concatenate(([True], old[1:] != old[:-1]))
+        part = group | np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = old + np.maximum.accumulate(np.where(part, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        first = np.flatnonzero(part)
+        many = np.repeat(np.diff(np.append(first, len(at))) > 1, np.diff(np.append(first, len(at))))
+        return at[many & (left[at] >= reach)]
+
+    order, reach = np.argsort(keys), pack
+    tied = regroup(order, np.zeros(n, dtype=np.int64), keys[order], reach) if n else order
+    while reach < depth and len(tied):
+        longer = left[tied] > reach
+        following = np.zeros(len(tied), dtype=np.int64)
+        following[longer] = rank[tied[longer] + reach] + 1
+        order = np.argsort(rank[tied] * (n + 2) + following)
+        tied, reach = tied[order], 2 * reach
+        tied = regroup(tied, rank[tied], following[order], reach)
     return rank
 
 
@@ -242,26 +280,27 @@ class Order:
         return order, new
 
 
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """A list of values for each of ``n`` owners; ``owner`` ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values, pa.int64()))
+
+
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, "text"):
-        n_bytes, sha, t1, t2, anchors, twice = [], [], [], [], [], []
-        for text in utf8(batch.column("text")):
-            text = text or b""
-            digest = hashlib.sha256(text).digest()
-            n_bytes.append(len(text))
-            sha.append(digest.hex())
-            one, two = struct.unpack(">qq", digest[:16])
-            t1.append(one)
-            t2.append(two)
-            *_, of, bare = blocks(text, width)
-            found, n = np.unique(of, return_counts=True)
-            anchors.append(found)
-            # windows of one block can be equal if they hold no trigger
-            twice.append(np.union1d(found[n > 1], of[bare]))
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x), pa.int64()))
-                 for x in (anchors, twice)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(sha, pa.string()), pa.array(t1, pa.int64()),
-                                          pa.array(t2, pa.int64()), *lists], names=["id", "n_bytes", "sha", "t1", "t2", "anchors", "twice"])
+    for batch in in_slices(batches, "text", 4 << 20):
+        texts = [t or b"" for t in utf8(batch.column("text"))]
+        digest = [hashlib.sha256(t) for t in texts]
+        key = np.array([struct.unpack(">qq", d.digest()[:16]) for d in digest], dtype=np.int64).reshape(-1, 2)
+        owner, _, _, anchor, bare = blocks(texts, width)
+        order = np.lexsort((anchor, owner))
+        owner, anchor, bare = owner[order], anchor[order], bare[order]
+        head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])))) if len(order) else order
+        # windows of one block can be equal if they hold no trigger
+        twice = (np.diff(np.append(head, len(order))) > 1) | bare[head]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([d.hexdigest() for d in digest], pa.string()),
+             pa.array(key[:, 0]), pa.array(key[:, 1]), _lists(owner[head], anchor[head], len(texts)),
+             _lists(owner[head][twice], anchor[head][twice], len(texts))],
+            names=["id", "n_bytes", "sha", "t1", "t2", "anchors", "twice"])
 
 
 def _longs(digest: int) -> tuple[int, int]:
@@ -272,12 +311,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     names = ["t1", "t2", "lo", "hi", "anchor", "s1", "s2"]
     for batch in in_slices(batches, "text", 4 << 20):
         out: list[list] = [[] for _ in names]
-        for t1, t2, text, shared in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), utf8(batch.column("text")),
-                                        batch.column("shared").to_pylist()):
-            lo, hi, anchor, _ = blocks(text, width)
-            for k in np.flatnonzero(np.isin(anchor, np.array(shared, dtype=np.int64))).tolist():
+        texts = [t or b"" for t in utf8(batch.column("text"))]
+        owner, lo, hi, anchor, _ = blocks(texts, width)
+        cut = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        for i, (t1, t2, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "shared")))):
+            mine = slice(cut[i], cut[i + 1])
+            for k in (np.flatnonzero(np.isin(anchor[mine], np.array(shared, dtype=np.int64))) + cut[i]).tolist():
                 b, e = int(lo[k]), int(hi[k])
-                for column, value in zip(out, (t1, t2, b, e, int(anchor[k]), *_longs(xxhash.xxh3_128_intdigest(text[b:e + width])))):
+                for column, value in zip(out, (t1, t2, b, e, int(anchor[k]), *_longs(xxhash.xxh3_128_intdigest(texts[i][b:e + width])))):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n in ("lo", "hi") else pa.int64()) for n, x in zip(names, out)], names=names)
 

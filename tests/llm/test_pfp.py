@@ -110,6 +110,35 @@ def test_triggers_depend_on_their_context_alone():
         pfp._STEP = step
 
 
+@pytest.mark.parametrize("pack", [1, 3, 7])
+def test_suffix_ranks_against_sorting(pack):
+    rng = np.random.default_rng(pack)
+    for letters in (1, 2, 5, 200):
+        strings = [rng.integers(0, letters, rng.integers(1, 60)) for _ in range(30)] + [np.zeros(50, dtype=np.int64)] * 2
+        symbols = np.concatenate(strings).astype(np.int64)
+        left = np.concatenate([np.arange(len(x), 0, -1) for x in strings])
+        suffixes = [tuple(x[i:]) for x in strings for i in range(len(x))]
+        got = pfp.suffix_ranks(symbols, left, 64, pack)
+        place = {x: i for i, x in enumerate(sorted(set(suffixes)))}
+        want = np.array([place[x] for x in suffixes])
+        order = np.argsort(got, kind="stable")
+        assert (np.diff(want[order]) >= 0).all()
+        assert ((np.diff(got[order]) == 0) == (np.diff(want[order]) == 0)).all()
+    assert len(pfp.suffix_ranks(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 10)) == 0
+
+
+def test_blocks_are_the_same_alone_and_together():
+    texts = [t.encode() for _, t in corpus(7)] + [b"", b"x" * 399, b"y" * 400, b"ab" * 3000]
+    together = [[] for _ in texts]
+    for i, *block in zip(*(x.tolist() for x in pfp.blocks(texts, 400))):
+        together[i].append(block)
+    for t, found in zip(texts, together):
+        alone = [list(x[1:]) for x in zip(*(x.tolist() for x in pfp.blocks([t], 400)))]
+        assert alone == found
+        starts = [s for lo, hi, *_ in found for s in range(lo, hi + 1)]
+        assert starts == list(range(max(0, len(t) - 399)))  # each window once
+
+
 def test_order_is_that_of_all_suffixes():
     rng = random.Random(6)
     texts = [prose(rng, 60, 9).encode() for _ in range(12)] + [b"ab" * 300, b"q" * 50]
