@@ -644,3 +644,23 @@ def test_nearest_leaves_unsound_vectors_out(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         told.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert told == {0: [(20, 3.0), (7, 2.0), (10, 1.0)], 20: [(7, 6.0), (0, 3.0), (10, 3.0)]}
+
+
+def test_warc_of_long_payloads_and_clashing_names(spark):
+    """Megabytes in one record, equal but for the last byte; further columns named like those added on the way."""
+    long_ = "".join(random.Random(1).choices("abcdefgh<>/ ", k=3_000_000))
+    rows = [(1, "u", long_ + "x"), (2, "u", long_ + "y"), (3, "u", long_ + "x"), (4, None, "é" * 500), (5, "u", "é" * 500), (6, "u", "é" * 499)]
+    table = spark.createDataFrame([(*r, "d", "s", "p", 1, "k") for r in rows],
+                                  "page_id long, url string, html string, digest string, same string, payload string, id int, kind string")
+    got = {r.page_id: r for r in warc.round_trip(table).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
+        1: ("revisit", 3), 2: ("response", None), 3: ("response", None), 4: ("revisit", 5), 5: ("response", None), 6: ("response", None)}
+    for i, _, html in rows:
+        assert got[i].payload_digest == hashlib.sha1(html.encode()).hexdigest() and got[i].payload_bytes == len(html.encode())
+        assert got[i].payload == (None if got[i].record_type == "revisit" else html.encode())
+
+
+def test_pipeline_of_an_empty_table(spark, empty, labels, benchmark, tmp_path):
+    for name, df in (("documents", empty), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

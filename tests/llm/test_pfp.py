@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
 from opsframes.llm import pfp, queries
