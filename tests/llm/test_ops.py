@@ -129,7 +129,7 @@ def test_components_of_paths_and_stars(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_CHECK}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
